@@ -1,0 +1,17 @@
+"""A new folder for each use, where all executors can reach it."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """Under spark.checkpoint.dir; where that is unset, as in tests, a temporary folder becomes it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/spanlake-{uuid.uuid4().hex}"

@@ -25,6 +25,8 @@ el los se las del con por para no es lo una su al""".split())
 #: A word takes part in a repetition if it stands in a window of so many words that occurs twice or more.
 WINDOW = 3
 KEEP = 0.5
+#: Chances that a rule abstains, votes good and votes bad, to begin with, of good and of bad texts, and the texts that this knowledge is worth.
+PRIOR, PRIOR_TEXTS = ((0.48, 0.50, 0.02), (0.45, 0.25, 0.30)), 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_function", "n_distinct", "n_letters", "n_upper", "n_wordlike")
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
@@ -82,23 +84,25 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
-    """For each rule, when it votes good and when bad; it abstains otherwise. All read the columns of `count`."""
-    c = F.col
+    """For each rule, when it votes good and when bad; it abstains otherwise. All read the columns of `count`.
+
+    Rules for faults only ever vote bad: that a text isn't all capitals says little for it.
+    """
+    c, never = F.col, F.lit(False)
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
     per_line = lambda x: c(x) / F.greatest(c("n_lines"), F.lit(1))
-    upper = c("n_upper") / F.greatest(c("n_letters"), F.lit(1))
     some = c("n_words") >= 10
     return {
         "length": (c("n_words") >= 100, c("n_words") < 50),
-        "word_length": (per_word("word_chars").between(3, 10), (per_word("word_chars") < 2.2) | (per_word("word_chars") > 14)),
-        "symbols": (per_word("n_symbols") <= 0.05, per_word("n_symbols") > 0.5),
-        "duplicate_lines": ((c("n_lines") >= 3) & (c("n_dup_lines") == 0), per_line("n_dup_lines") > 0.3),
-        "repetition": (some & (per_word("n_repeat_words") < 0.2), per_word("n_repeat_words") > 0.5),
         "function_words": (c("n_function") >= 3, some & (c("n_function") == 0)),
-        "capitals": (upper < 0.2, upper > 0.5),
-        "wordlike": (per_word("n_wordlike") >= 0.8, per_word("n_wordlike") < 0.5),
-        "variety": (some & (per_word("n_distinct") > 0.4), some & (per_word("n_distinct") < 0.2)),
         "sentences": (per_line("n_ended") >= 0.5, per_line("n_ended") < 0.1),
+        "word_length": (never, (per_word("word_chars") < 2.2) | (per_word("word_chars") > 14)),
+        "symbols": (never, per_word("n_symbols") > 0.1),
+        "duplicate_lines": (never, per_line("n_dup_lines") > 0.3),
+        "repetition": (never, per_word("n_repeat_words") > 0.3),
+        "capitals": (never, c("n_upper") > 0.5 * F.greatest(c("n_letters"), F.lit(1))),
+        "wordlike": (never, per_word("n_wordlike") < 0.7),
+        "variety": (never, some & (per_word("n_distinct") < 0.25)),
     }
 
 
@@ -107,25 +111,26 @@ def pattern() -> Column:
     return sum((F.when(good, 1).when(bad, 2).otherwise(0) * 3**k for k, (good, bad) in enumerate(rules().values())), F.lit(0)).cast("int")
 
 
-def posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each pattern, and for each rule how often a vote is right about good and about bad texts.
+def posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each pattern, and for each rule the chances of abstaining, voting good and voting bad, for good and for bad texts.
 
-    Abstaining tells nothing. Each rule starts as right in 7 of 10 cases, worth ten texts; the same ten stay as its prior.
+    Each rule starts from PRIOR, which stays worth PRIOR_TEXTS texts: a bad vote is rare on good texts.
     """
     n = len(rules())
     votes = patterns[:, None] // 3 ** np.arange(n) % 3
-    good, bad = votes == 1, votes == 2
-    right, prior = np.full((n, 2), 0.7), 0.7
-    p = np.full(len(patterns), prior)
+    one_hot = np.stack([votes == k for k in range(3)], 2).astype(float)  # pattern, rule, vote
+    prior = np.repeat(np.array(PRIOR)[:, None], n, axis=1)  # class, rule, vote
+    chance, share = prior.copy(), 0.8
+    p = np.full(len(patterns), share)
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + good @ np.log(right[:, 0] / (1 - right[:, 1])) + bad @ np.log((1 - right[:, 0]) / right[:, 1])
+        odds = np.log(share / (1 - share)) + np.einsum("prv,rv->p", one_hot, np.log(chance[0]) - np.log(chance[1]))
         last, p = p, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        g, b = weights * p, weights * (1 - p)
-        right = np.stack([(g @ good + 7) / (g @ (good | bad) + 10), (b @ bad + 7) / (b @ (good | bad) + 10)], 1)
-        prior = (g.sum() + 7) / (weights.sum() + 10)
+        for k, w in enumerate((weights * p, weights * (1 - p))):
+            chance[k] = (np.einsum("p,prv->rv", w, one_hot) + PRIOR_TEXTS * prior[k]) / (w.sum() + PRIOR_TEXTS)
+        share = (weights @ p + 0.8 * PRIOR_TEXTS) / (weights.sum() + PRIOR_TEXTS)
         if np.abs(p - last).max(initial=0) < 1e-9:
             break
-    return p, right
+    return p, chance
 
 
 def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:

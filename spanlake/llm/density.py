@@ -32,7 +32,9 @@ respond replies reply disclaimer alert skip""".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
-_CUT = re.compile(r"[\s_\-:]+")
+_CUT = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
+#: Marks that are part of an article where they stand inside one, and endings that mark as whole words do.
+TITLES, ENDINGS = frozenset(("header", "masthead", "banner")), ("nav", "menu", "sidebar", "footer", "advert", "cookies", "comments")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("html body table td th ul ol dl article section div main aside blockquote form button nav header footer".split())
@@ -52,15 +54,20 @@ def _unwanted(tag: str, attributes: str, node: Node) -> bool:
         return False
     if tag in DROPPED:
         return True
-    if tag == "header":
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        if node is None:
-            return True
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    if tag == "header" and node is None:
+        return True
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and any(w in MARKS for w in _CUT.split(value.lower())):
-            return tag != "article" or "comment" in value.lower()
+        if name in ("class", "id"):
+            words = {w.lower() for w in _CUT.split(value) if w}
+            if node is not None:
+                words -= TITLES
+            if words & MARKS or any(w.endswith(ENDINGS) for w in words):
+                if tag != "article" or any("comment" in w for w in words):
+                    return True
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
             return True
     return False

@@ -59,9 +59,9 @@ def m8_and(v):
 
 
 @register(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM texts), k AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'src' OR x = 'license')) AS b FROM t),
-n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM k) SELECT doc_id, a * ln(n / na) + CASE WHEN nb > 0 THEN b * ln(n / nb) ELSE 0e0 END AS score FROM k, n WHERE a + b > 0""")
+n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM k) SELECT doc_id, round(a * ln(n / na) + CASE WHEN nb > 0 THEN b * ln(n / nb) ELSE 0e0 END, 9) AS score FROM k, n WHERE a + b > 0""")
 def m9_score(v):
-    return S.score_samples(v.texts, "doc_id", "text", ["the", "license"])
+    return S.score_samples(v.texts, "doc_id", "text", ["the", "license"]).withColumn("score", F.round("score", 9))
 
 
 @register(rf"SELECT doc_id FROM texts WHERE list_contains({_TOKENS}, 'and') OR list_contains(regexp_split_to_array(lower(text), '\s+'), 'and')")

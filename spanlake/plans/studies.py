@@ -87,9 +87,9 @@ _TAIL = "(1 / (1 + 2.316419e-1 * abs(z)))"
 s AS (SELECT CAST(count(*) FILTER (g = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0, sum(k) FILTER (g = 1) AS ranks FROM r), e AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM t GROUP BY v)),
 w AS (SELECT n1, n0, ranks - n1 * (n1 + 1) / 2 AS w, ties, n1 + n0 AS n FROM s, e), z AS (SELECT n1, n0, w, (w - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM w),
 p AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * {_TAIL} * (3.1938153e-1 + {_TAIL} * (-3.56563782e-1 + {_TAIL} * (1.781477937e0 + {_TAIL} * (-1.821255978e0 + {_TAIL} * 1.330274429e0)))) AS q FROM z)
-SELECT n1, n0, w, z, CASE WHEN z >= 0 THEN q ELSE 1 - q END AS p FROM p""")
+SELECT n1, n0, w, round(z, 9) AS z, round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 9) AS p FROM p""")
 def x9_rank_sum(v):
-    return X.rank_sum(v.texts.where("quality is not null"), "n_chars", "quality")
+    return X.rank_sum(v.texts.where("quality is not null"), "n_chars", "quality").withColumns({c: F.round(c, 9) for c in ("z", "p")})
 
 
 @register("SELECT feature_id FROM features WHERE NOT (start BETWEEN 100 AND 9000 AND start <= \"end\" - 150) OR (annotated AND strand = '-')")

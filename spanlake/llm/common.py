@@ -79,3 +79,18 @@ def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def kept_rows(docs: DataFrame, verdict) -> DataFrame:
+    """The rows of `docs`, with all their columns, for which `verdict(bytes, offsets)` of column text is true; a null text counts as empty.
+
+    verdict: made on a worker by calling the argument once, so that what it sets up is set up once a task.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        judge = verdict()
+        for b in batches:
+            yield b.filter(pa.array(judge(*utf8(b.column(at))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, fold, sums, utf8
+from spanlake.llm.common import chunks, fold, kept_rows, sums, utf8
 
 #: Bounds of the labelled sample that the trees are counted on.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 32_768
@@ -149,13 +149,8 @@ def keep_identified(docs: DataFrame, trees: Trees | None = None, reject_bits: fl
     trees = trees or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("boolean")
-    def spoken(text):
-        import pandas as pd
-
-        column = pa.array(text, pa.string())
-        data, offsets = utf8(column)
-        bits = code_lengths(shared.value, data, offsets).min(1) if shared.value.langs else np.zeros(len(text))
-        return pd.Series(bits <= reject_bits * np.diff(offsets))
+    def verdict():
+        trees = shared.value
+        return lambda data, offsets: code_lengths(trees, data, offsets).min(1) <= reject_bits * np.diff(offsets) if trees.langs else np.ones(len(offsets) - 1, bool)
 
-    return docs.where(F.col("text").rlike(r"\p{L}")).where(spoken("text"))
+    return kept_rows(docs.where(F.col("text").rlike(r"\p{L}")), verdict)

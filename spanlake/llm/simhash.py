@@ -22,6 +22,8 @@ from spanlake.llm.common import stored, utf8
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, bits) of the blocks. By the pigeonhole principle some block differs in THRESHOLD // 3 = 1 bit at most.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Keys up to which a table of them is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Rows at an anchor up to which all its pairs are compared at once.
 SMALL = 64
 
@@ -197,10 +199,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _split(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id, nulls equal; the keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
+    keys = keys.select(F.col("doc_id").alias("__spanlake_key"))
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, docs["doc_id"].eqNullSafe(F.col("__spanlake_key")), how)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class of near duplicates, all columns: that with the smallest doc_id (of equal ones, the least by text)."""
-    firsts = classes(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")).where("n > 1")
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
-    return once.unionByName(twice.select("doc_id", "row.*").select(*docs.columns))
+    marked = stored(classes(docs), "classes")
+    out = stored(marked.groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "decided")
+    kept = _split(docs, out.where("not first"), "left_anti")
+    again = out.where("first and n > 1")
+    if again.isEmpty():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = _split(kept, again, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.struct("text", F.to_json(F.struct("text", *others)))).alias("row"))
+    return _split(kept, again, "left_anti").unionByName(one.select("doc_id", "row.*").select(*docs.columns))

@@ -19,11 +19,13 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fold
+from spanlake.llm.common import fold, kept_rows, utf8
 
 #: Bounds of the labelled sample: rows of either class, and bytes of a text.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = {1: 1500, 0: 4000}, 32_768
 WORDS, GRAM = 6, 6
+#: Distinct toxic texts that a gram must be in.
+GRAM_TEXTS = 6
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 32_768
 #: Bytes of a training sample for a dictionary; longer texts give several.
 PIECE = 4096
@@ -116,7 +118,7 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int] | None = None) -> Mo
     """From (label, text) pairs; counts: labelled rows of either class, so that the sample's share of it doesn't bias the scores."""
     plain = {y: _fresh([b" " + b" ".join(words(t.encode())) + b" " for label, t in rows if label == y]) for y in (0, 1)}
     toxic: Counter[bytes] = Counter(g for t in plain[1] for g in _grams(t))
-    toxic = Counter({g: c for g, c in toxic.items() if c >= 6})
+    toxic = Counter({g: c for g, c in toxic.items() if c >= GRAM_TEXTS})
     other = Counter(g for t in plain[0] for g in _grams(t) & toxic.keys())
     n0, n1 = max(1, len(plain[0])), max(1, len(plain[1]))
     marks = {g for g, c in toxic.items() if other[g] * n1 <= 0.03 * c * n0}
@@ -150,29 +152,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([(r.toxic, r.text) for r in sample(docs, labels).collect()], {r[0]: r[1] for r in counts.collect()})
 
 
-def scorer(docs: DataFrame, model: Model):
-    """A Pandas UDF from whole texts to scores; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scores(model: Model, compressors, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    x = [features(savings(data[a:b].tobytes(), compressors)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return probability(model.weights, x) if x else np.zeros(0)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
 
-        both = shared.value.compressors()
-        x = [features(savings((t or "").encode(), both)) for t in text]
-        return pd.Series(probability(shared.value.weights, x) if x else [], dtype=float)
-
-    return score
+def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of `docs` (doc_id, text; other columns are ignored). A null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = shared.value.compressors()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(shared.value, both, *utf8(b.column(1))))], schema=SCHEMA)
 
-def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of `docs` (doc_id, text; other columns are ignored)."""
-    score = scorer(docs, model or train(docs, labels))
-    out = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), score("text").alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, "key long, score double")
+    out = scored.select(F.col("key").alias("doc_id"), (fold(F.col("key"), 4) == 2).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score under the threshold, all their columns."""
-    score = scorer(docs, model or train(docs, labels))
-    return docs.where(score("text") < threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
+
+    def verdict():
+        both = shared.value.compressors()
+        return lambda data, offsets: scores(shared.value, both, data, offsets) < threshold
+
+    return kept_rows(docs, verdict)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 WINDOW, END = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces of text whose ids a worker keeps; beyond that it starts anew.
-KEPT = 1_000_000
+KEPT = 200_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int32()))])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids array<int>"
@@ -32,6 +32,18 @@ _PLAIN = re.compile("[\t-\r -~\xa0-ÿ]*+")
 _LETTERS = re.compile("[a-zªµºß-öø-ÿ]+")
 
 
+class Known(dict):
+    """A number for each word; a word that is new gets the next one and joins `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Ids:
     """Token ids of whole texts, as the tokenizer gives them.
 
@@ -50,53 +62,53 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = [0]
+        self.known, self.flat, self.end = Known(), np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _keep(self, words: list[str], ids: np.ndarray, lengths) -> None:
-        end = self.at[-1]
-        while end + len(ids) > len(self.flat):
+    def _learn(self) -> None:
+        """Ids of the new words. Those of letters are coded in one text, where the end-of-word marks tell them apart."""
+        words, self.known.new = self.known.new, []
+        letters = np.fromiter((_LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+        together = self._encode(" ".join(w for w, plain in zip(words, letters) if plain))
+        size = np.diff(np.flatnonzero(self.ends[together]), prepend=-1)
+        if len(size) != letters.sum():
+            together, size, letters = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(len(words), bool)
+        alone = [self._encode(w) for w, plain in zip(words, letters) if not plain]
+        ids = np.concatenate([together, *alone])
+        sizes = np.concatenate([size, np.array([len(x) for x in alone], np.int64)])
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        size = np.empty(len(words), np.int64)
+        begin = np.empty(len(words), np.int64)
+        size[order], begin[order] = sizes, self.end + np.cumsum(sizes) - sizes
+        while self.end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[end : end + len(ids)] = ids
-        for w, n in zip(words, lengths):
-            self.known[w] = len(self.at) - 1
-            self.at.append(self.at[-1] + int(n))
-
-    def learn(self, words: set[str]) -> None:
-        """Letters are coded together in one text, where the end-of-word marks tell them apart."""
-        plain = sorted(w for w in words if _LETTERS.fullmatch(w))
-        if plain:
-            ids = self._encode(" ".join(plain))
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(plain):
-                self._keep(plain, ids, np.diff(last, prepend=-1))
-                words = words.difference(plain)
-        for w in sorted(words):
-            ids = self._encode(w)
-            self._keep([w], ids, [len(ids)])
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.at, self.size = np.concatenate([self.at, begin]), np.concatenate([self.size, size])
+        self.end += len(ids)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_CUT.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         if len(self.known) > KEPT:
             self.clear()
-        known = self.known
-        new = {w for words in cut if words for w in words if w not in known}
-        if new:
-            self.learn(new)
-        at, out = np.array(self.at, np.int64), []
-        size = np.diff(at)
-        for text, words in zip(texts, cut):
-            if words is None:
-                out.append(self._encode(text))
+        number, which = self.known.__getitem__, []
+        for t in texts:
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                words = _CUT.findall(t.lower())
+                which.append(np.fromiter(map(number, words), np.int64, len(words)))
+            else:
+                which.append(None)
+        if self.known.new:
+            self._learn()
+        out = []
+        for t, w in zip(texts, which):
+            if w is None:
+                out.append(self._encode(t))
                 continue
-            which = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            lengths = size[which]
-            ends = np.cumsum(lengths)
-            out.append(self.flat[np.repeat(at[which] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)])
+            size = self.size[w]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.at[w] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 
@@ -115,10 +127,10 @@ def lengths(n: int, window: int = WINDOW) -> list[int]:
     return [window] * (n // window) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None = None, batch_bytes: int = 1 << 20, with_ids: bool = True) -> DataFrame:
     """A row for each piece of each document: where it starts, its length (a power of two), its ids and their crc32, and the bucket (log2 of the length).
 
-    window must be a power of two. A null text counts as empty and gives the piece [end]. Rows with equal doc_id are packed one by one. path: of the
+    with_ids: have the ids in the result. window must be a power of two. A null text counts as empty and gives the piece [end]. Rows with equal doc_id are packed one by one. path: of the
     tokenizer's file; None takes the public one.
     """
     if window & (window - 1) or window < 1:
@@ -143,12 +155,14 @@ def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None
                         piece = x[at : at + n]
                         row.append(first + k), start.append(at), length.append(n), crc.append(zlib.crc32(piece.astype("<u4").tobytes())), total.append(len(x)), pieces.append(piece)
                         at += n
-                flat = pa.array(np.concatenate(pieces).astype(np.int32))
-                offsets = pa.array(np.cumsum([0, *length]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array([n.bit_length() - 1 for n in length], pa.int32()), pa.ListArray.from_arrays(offsets, flat)], schema=SCHEMA)
+                columns = [keys.take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array([n.bit_length() - 1 for n in length], pa.int32())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]).astype(np.int32)), pa.array(np.concatenate(pieces).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names[: len(columns)])
                 first = last
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DDL)
+    ddl = DDL if with_ids else DDL.removesuffix(", ids array<int>")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
     return packed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
@@ -158,4 +172,4 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
-    return pack(docs, **how).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(docs, with_ids=False, **how).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

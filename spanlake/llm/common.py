@@ -44,6 +44,11 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def thinned(key: Column, share: Column | float) -> Column:
+    """Whether a key is among a share of all keys, by its hash: what is left of a large table before a sample of bounded size is ordered."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)) < F.least(F.lit(share) if isinstance(share, float) else share, F.lit(1.0)) * (1 << 31)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string or binary column, without copying; nulls count as empty."""
     if column.null_count:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, fold, kept_rows, sums, utf8
+from spanlake.llm.common import chunks, fold, kept_rows, sums, thinned, utf8
 
 #: Bounds of the labelled sample that the trees are counted on.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 32_768
@@ -100,11 +100,18 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """At most `rows` texts a language, of at most `text_bytes` each, chosen by a hash of the key."""
+    """At most `rows` texts a language, of at most `text_bytes` each, chosen by a hash of the key.
+
+    Counts by language tell the share of keys that eight times the sample needs, so only about so many rows are ordered.
+    """
+    own = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return own.select("lang", "text").limit(0)
+    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, 8.0 * rows / n)))[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
-    own = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
-    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "text")
+    some = own.where(thinned(F.col("key"), share) & (F.octet_length("text") <= text_bytes))
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "text")
 
 
 def predict(docs: DataFrame, trees: Trees, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -19,13 +19,13 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fold, kept_rows, utf8
+from spanlake.llm.common import fold, kept_rows, thinned, utf8
 
 #: Bounds of the labelled sample: rows of either class, and bytes of a text.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = {1: 1500, 0: 4000}, 32_768
 WORDS, GRAM = 6, 6
 #: Distinct toxic texts that a gram must be in.
-GRAM_TEXTS = 6
+GRAM_TEXTS = 4
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 32_768
 #: Bytes of a training sample for a dictionary; longer texts give several.
 PIECE = 4096
@@ -136,20 +136,23 @@ def fit(rows: list[tuple[int, str]], counts: dict[int, int] | None = None) -> Mo
     return Model(model.ordinary, model.toxic, w.tolist())
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: dict = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
-    """(toxic, text) of at most `rows` labelled texts of either class, outside the held-out fold (crc32 mod 4 = 2)."""
+def sample(docs: DataFrame, labels: DataFrame, counts: dict[int, int], rows: dict = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
+    """(toxic, text) of at most `rows` labelled texts of either class. counts: labelled rows of either, so that only some four times the sample is ordered."""
     most = F.when(F.col("toxic") == 1, rows[1]).otherwise(rows[0])
+    share = F.when(F.col("toxic") == 1, 4.0 * rows[1] / max(1, counts.get(1, 0))).otherwise(4.0 * rows[0] / max(1, counts.get(0, 0)))
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    picked = picked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("doc_id", "toxic")
+    picked = labels.where(thinned(F.col("doc_id"), share)).withColumn("rank", F.row_number().over(first)).where((F.col("rank") <= max(rows.values())) & (F.col("rank") <= most)).select("doc_id", "toxic")
     again = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes)).join(F.broadcast(picked), "doc_id")
-    return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= most).orderBy("toxic", "rank").select("toxic", "text")
+    found = found.withColumn("rank", F.row_number().over(again)).where((F.col("rank") <= max(rows.values())) & (F.col("rank") <= most))
+    return found.orderBy("toxic", "rank").select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    counts = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2)).groupBy("toxic").count()
-    return fit([(r.toxic, r.text) for r in sample(docs, labels).collect()], {r[0]: r[1] for r in counts.collect()})
+    """A model from the labelled rows outside the held-out fold (crc32 mod 4 = 2); labels other than 0 and 1 are left out."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
+    counts = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return fit([(r.toxic, r.text) for r in sample(docs, own, counts).collect()], counts)
 
 
 def scores(model: Model, compressors, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the size of the numpy arrays, not the length of a text.
 CHUNK_BYTES = 1 << 20
+#: Column that numbers the rows of a written table.
+ROW = "__spanlake_row"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import stored
+from spanlake.llm.common import ROW, stored
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Sketch rows up to which they are broadcast; beyond that the join is shuffled.
@@ -74,6 +74,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of `docs` whose doc_id isn't contaminated, all columns."""
-    bad = stored(contaminated(docs, items, containment).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of `docs` that aren't contaminated, all columns. Rows with equal or null doc_id are judged one by one."""
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    bad = stored(contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias(ROW)).distinct(), "contaminated")
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import stored, utf8
+from spanlake.llm.common import ROW, stored, utf8
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, bits) of the blocks. By the pigeonhole principle some block differs in THRESHOLD // 3 = 1 bit at most.
@@ -40,16 +40,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint, as a signed long, of every row of `docs` (doc_id, text). A null text counts as empty: fingerprint 0."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, long columns `keys` and the fingerprint, as a signed long, of every row of `docs` (doc_id, text). A null text counts as empty: fingerprint 0."""
+    keys = ("doc_id", *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column(1))
+            data, at = utf8(b.column(len(keys)))
             f = np.fromiter((fingerprint(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)), np.uint64, len(at) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(f.view(np.int64))], names=[*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def _syndromes(bits: int) -> np.ndarray:
@@ -179,6 +180,13 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """`distinct`, whose column fp has each fingerprint once, with column root: the smallest fingerprint of its class."""
+    distinct = stored(distinct, "distinct")
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links) of every row of `docs`.
 
@@ -186,10 +194,7 @@ def classes(docs: DataFrame) -> DataFrame:
     with equal doc_id are rows of their own.
     """
     marked = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "roots")
+    rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), "roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     merged = rooted.join(named.where("n > 1").drop("n"), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(merged, "fp").select("doc_id", "fp", "component_id")
@@ -199,20 +204,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _split(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id, nulls equal; the keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
-    keys = keys.select(F.col("doc_id").alias("__spanlake_key"))
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, docs["doc_id"].eqNullSafe(F.col("__spanlake_key")), how)
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of near duplicates, all columns: that with the smallest doc_id (of equal ones, the least by text)."""
-    marked = stored(classes(docs), "classes")
-    out = stored(marked.groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "decided")
-    kept = _split(docs, out.where("not first"), "left_anti")
-    again = out.where("first and n > 1")
-    if again.isEmpty():
-        return kept
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = _split(kept, again, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.struct("text", F.to_json(F.struct("text", *others)))).alias("row"))
-    return _split(kept, again, "left_anti").unionByName(one.select("doc_id", "row.*").select(*docs.columns))
+    """One row of each class of near duplicates, all columns: that with the smallest doc_id (null ones last), of equal ones the least
+    by text, of equal ones any. Rows with equal or null doc_id are rows of their own."""
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    marked = stored(fingerprints(rows, ROW), "fingerprints")
+    # of each fingerprint, the smallest doc_id with its number of rows and one of them; then of each class
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"), "n")
+    by_id = marked.groupBy("fp", "doc_id").agg(F.min(ROW).alias(ROW), F.count("*").alias("n"))
+    rooted = stored(_rooted(by_id.groupBy("fp").agg(F.min(first).alias("first"))), "roots")
+    least = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id")).alias("least"))
+    leading = rooted.join(least, "root").where("first.none = least.none and first.doc_id <=> least.doc_id").select("root", "fp", "first.*")
+    named = stored(leading.groupBy("root").agg(F.sum("n").alias("n"), F.min("row").alias(ROW)), "leading")
+    kept = named.where("n = 1").select(ROW)
+    ties = leading.join(named.where("n > 1").select("root"), "root").select("root", "fp", F.col("doc_id").alias("tied"))
+    if not ties.isEmpty():
+        tied = stored(marked.join(ties, "fp").where("doc_id <=> tied").select(ROW, "root"), "tied")
+        texts = rows.select(ROW, "text").join(F.broadcast(tied) if tied.count() <= BROADCAST_ROWS else tied, ROW)
+        kept = kept.unionByName(texts.groupBy("root").agg(F.min(F.struct(F.col("text").isNull(), "text", ROW)).alias("best")).select(F.col("best")[ROW].alias(ROW)))
+    dropped = stored(marked.join(kept, ROW, "left_anti").select(ROW), "dropped")
+    return rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, ROW, "left_anti").select(*docs.columns)

@@ -406,6 +406,20 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, "en", 60) for _ in range(12)]
+    same = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + [(i, t) for i, t in enumerate(texts[8:], 100)]
+    copies = [(None, texts[0]), (None, texts[9]), (3, texts[5]), (7, texts[8]), (7, texts[6]), (200, texts[11])]
+    kept = simhash.keep_one(spark.createDataFrame(same + copies, "doc_id long, text string").repartition(3)).collect()
+    assert len({plain_fingerprint(t) for t in texts}) == len(texts)
+    want = [(None, texts[i]) for i in range(4)] + [(7, texts[4]), (3, texts[5]), (7, texts[6]), (7, texts[7]), (7, texts[8])] + [(i + 92, texts[i]) for i in range(9, 12)]
+    order = lambda rows: sorted((str(i), t) for i, t in rows)
+    assert order((r.doc_id, r.text) for r in kept) == order(want)
+    ties = [(5, texts[0].upper()), (5, texts[0]), (5, texts[0]), (None, None), (None, ""), (None, " ")]
+    assert order((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(ties, "doc_id long, text string")).collect()) == order([(5, min(texts[0], texts[0].upper())), (None, "")])
+
+
 def test_links_equal_all_pairs(spark):
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 2**63, 150, dtype=np.uint64) * 2 + rng.integers(0, 2, 150, dtype=np.uint64)
@@ -488,6 +502,13 @@ def test_decontamination(spark, docs, rows, empty):
     assert kept.columns == both.columns and kept.count() == both.count() - sum(1 for i, _ in [(r[0], 0) for r in rows] + own if any(k[0] == i for k in want))
 
 
+def test_decontamination_drops_rows_not_ids(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    rows = [(None, "a b c d e f"), (None, "other words altogether"), (None, None), (4, "x a b c d e f"), (4, "clean words in here")]
+    kept = decontam.keep_uncontaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("4", "clean words in here"), ("None", "None"), ("None", "other words altogether")]
+
+
 def test_decontamination_is_native(docs, spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     plan = decontam.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()

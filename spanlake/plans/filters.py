@@ -164,7 +164,9 @@ def f21_chrom_prefix(v):
 def m1_restrict_samples(v):
     from spanlake.functions import encode_samples
 
-    sids = [r.rail_id for r in v.samples.where("study = 'ASIA'").select("rail_id").limit(P.LITERAL_SIDS + 1).collect()]
+    wanted = v.samples.where("study = 'ASIA'").select("rail_id")
+    some = wanted.limit(P.LITERAL_SIDS + 1).collect()
+    sids = wanted if len(some) > P.LITERAL_SIDS else [r.rail_id for r in some]
     return P.restrict_samples(v.features.select("feature_id", "samples"), sids).withColumn("samples", encode_samples("samples"))
 
 

@@ -27,6 +27,19 @@ def test_joined_and_literal_sample_lists_agree(spark, one):
     assert joined.select(*one.columns).collect() == predicates.restrict_samples(one, sids).select(*one.columns).collect()
 
 
+def test_more_samples_than_a_literal_list(spark, one, monkeypatch):
+    from types import SimpleNamespace
+
+    from spanlake.plans import filters
+
+    sids = [5, 4, 276, 99]
+    wanted = spark.createDataFrame([(s, "ASIA") for s in sids] + [(18000, "EUROPE")], "rail_id long, study string")
+    for most in (1, 2, 3, 4):
+        monkeypatch.setattr(predicates, "LITERAL_SIDS", most)
+        r = filters.m1_restrict_samples(SimpleNamespace(samples=wanted, features=one)).first()
+        assert (r.samples, r.samples_count, r.coverage_sum, r.coverage_median) == (",5:5,4:32,276:7", 3, 44, 7.0)
+
+
 def test_filters_follow_recomputation(one):
     sids = [1, 5, 53, 276, 4987, 18000]
     kept = [("samples_count", ">", 2), ("coverage_sum", "=", 288), ("coverage_avg", ">=", 3), ("coverage_median", "<", 20)]

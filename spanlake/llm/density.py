@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr del img input".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr del img input math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded".split())
 DROPPED = frozenset("head nav footer aside form menu dialog button select object canvas audio video map frameset".split()) | RAW
 WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -134,7 +134,25 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _own_chars(node: Node) -> int:
+    return sum(len(x.strip()) for n in _order(node) for x in n.items if isinstance(x, str))
+
+
+def _open_form(root: Node) -> None:
+    """A form that holds more than half of the page's text is a container like any other."""
+    total, forms = _own_chars(root), []
+    for n in _order(root):
+        forms += [x for x in n.items if isinstance(x, Node) and x.tag == "form" and x.drop]
+    for x in forms:
+        x.drop = False
+    sizes = [_own_chars(x) for x in forms]
+    total += sum(sizes)
+    for x, size in zip(forms, sizes):
+        x.drop = size * 2 <= total
+
+
 def measure(root: Node) -> list[Node]:
+    _open_form(root)
     nodes = _order(root)
     for n in reversed(nodes):
         for x in n.items:
@@ -167,11 +185,8 @@ def chosen(root: Node) -> list[Node]:
         if up.tag in ("article", "main") and (whole is None or whole.tag == "main"):
             whole = up if whole is None else whole
         up = up.parent
-    if whole is not None:
-        return [whole]
-    inside = next((n for n in nodes if n.tag in ("article", "main") and n.chars * 2 >= top.chars), None)
-    if inside is not None:
-        return [inside]
+    if whole is not None:  # widens the choice; what lies beside it is held to the threshold all the same
+        top = whole
     out, todo = [], [root]
     while todo:
         n = todo.pop()

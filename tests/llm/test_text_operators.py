@@ -314,6 +314,15 @@ def test_main_text_without_article_element():
     assert density.extract(body).split("\n") == [f"Paragraph {i} has quite a few words of running text in it." for i in range(6)]
 
 
+def test_main_text_in_several_articles():
+    part = lambda k: "".join(f"<p>Paragraph {k} {i} has quite a few words of running text in it.</p>" for i in range(4))
+    want = [f"Paragraph {k} {i} has quite a few words of running text in it." for k in range(3) for i in range(4)]
+    assert density.extract("<body><div>" + "".join(f"<article>{part(k)}</article>" for k in range(3)) + "</div></body>").split("\n") == want
+    assert density.extract(f"<body><div><article>{part(0)}</article><section>{part(1)}</section><section>{part(2)}</section></div></body>").split("\n") == want
+    assert density.extract(f"<body><form action=x><div>{part(0)}</div></form></body>").split("\n") == want[:4]
+    assert density.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold in all that follows.</p></article>") == "Let x=1 hold in all that follows."
+
+
 @pytest.mark.parametrize("page", ["", "plain", "<p", "<p>a", "</p></div>", "<script>x", "<!-- open", "<b>" * 3000 + "deep", "<a href='x>y", "&#0; &nosuch; &#x110000;", "<p>" * 20 + "x"])
 def test_any_page_gives_a_text(page):
     assert isinstance(density.extract(page), str)

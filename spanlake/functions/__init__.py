@@ -47,8 +47,8 @@ def median(values: Column) -> Column:
 
 
 def summary(samples: Column | str) -> dict[str, Column]:
-    """The four statistics of a sample list; zeros where it is empty."""
-    c = coverages(samples)
+    """The four statistics of a sample list; zeros where it is empty or null. Entries with a null coverage don't count."""
+    c = F.coalesce(F.filter(coverages(samples), lambda x: x.isNotNull()), F.array().cast("array<bigint>"))
     n = F.size(c)
     return {
         "samples_count": n.cast("long"),

@@ -104,13 +104,14 @@ def derive_layout(md: DataFrame, text: str) -> DataFrame:
 
 
 def shared_samples(pairs: DataFrame) -> DataFrame:
-    """For pairs with arrays left and right (sid, cov): the shared samples, their number and share of either side, sums, mean and median of the shared coverage, and the samples of one side only."""
+    """For pairs with arrays left and right (sid, cov): the shared samples, their number and share of either side, sums, mean and median of the shared coverage, and the samples of one side only. An empty side has share 0, no shared sample mean and median -1."""
     sids = lambda side: F.transform(side, lambda s: s["sid"])
     shared = F.array_sort(F.array_intersect(sids("left"), sids("right")))
     kept = lambda side: F.filter(side, lambda s: F.array_contains(F.col("shared"), s["sid"]))
     out = pairs.withColumn("shared", shared).withColumn("_c", F.concat(*(F.transform(kept(s), lambda x: x["cov"]) for s in ("left", "right"))))
     n = F.size("shared").cast("long")
-    out = out.withColumns({"n_shared": n, "left_ratio": n / F.size("left"), "right_ratio": n / F.size("right"), "shared_sum": total(F.col("_c")), "left_sum": total(F.transform(kept("left"), lambda x: x["cov"])), "right_sum": total(F.transform(kept("right"), lambda x: x["cov"])), "shared_avg": F.when(n == 0, F.lit(-1.0)).otherwise(total(F.col("_c")) / F.when(n == 0, 1).otherwise(F.size("_c"))), "shared_median": F.when(n == 0, F.lit(-1.0)).otherwise(median(F.col("_c")))})
+    share = lambda side: F.coalesce(n / F.nullif(F.size(side), F.lit(0)), F.lit(0.0))
+    out = out.withColumns({"n_shared": n, "left_ratio": share("left"), "right_ratio": share("right"), "shared_sum": total(F.col("_c")), "left_sum": total(F.transform(kept("left"), lambda x: x["cov"])), "right_sum": total(F.transform(kept("right"), lambda x: x["cov"])), "shared_avg": F.when(n == 0, F.lit(-1.0)).otherwise(total(F.col("_c")) / F.when(n == 0, 1).otherwise(F.size("_c"))), "shared_median": F.when(n == 0, F.lit(-1.0)).otherwise(median(F.col("_c")))})
     return out.withColumns({"left_only": F.array_sort(F.array_except(sids("left"), sids("right"))), "right_only": F.array_sort(F.array_except(sids("right"), sids("left")))}).drop("_c")
 
 
@@ -168,19 +169,25 @@ def compare_ranked(df: DataFrame, a: str = "a", b: str = "b", top: int = 5, syno
 def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: sizes, the rank sum's W of group 1 and z with the correction for ties, and p that group 1 is larger by chance.
 
-    Ranks come from a table of distinct values with running counts, in blocks of values: no task orders all rows.
+    Rows of neither group, and null or NaN values, are left out. Without rows of both groups, or with one value only, z and p are null; without
+    any row W is too, and the sizes are 0. Ranks come from a table of distinct values with running counts, in blocks between quantiles: no task
+    orders all rows.
     """
-    counts = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
-    sized = counts.withColumn("t", F.col("n1") + F.col("n0")).withColumn("block", F.floor(F.col("v") / 64))
+    v = F.col(value).cast("double")
+    own = df.where(v.isNotNull() & ~F.isnan(v) & F.col(group).isin(0, 1))
+    counts = own.groupBy(v.alias("v")).agg(F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
+    cuts = counts.agg(F.percentile_approx("v", [k / 256 for k in range(1, 256)]).alias("cuts"))
+    sized = counts.withColumn("t", F.col("n1") + F.col("n0")).join(F.broadcast(cuts)).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).drop("cuts")
     blocks = sized.groupBy("block").agg(F.sum("t").alias("bt")).withColumn("before", F.coalesce(F.sum("bt").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bt")
     w = Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sized.join(blocks, "block").withColumn("rank", F.col("before") + F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
-    s = ranked.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("n1") * F.col("rank")).alias("ranks"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    s = ranked.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(F.col("n1") * F.col("rank")).alias("ranks"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    s = s.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n1", "n0")})
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     s = s.withColumn("w", F.col("ranks") - n1 * (n1 + 1) / 2)
-    spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    s = s.withColumn("z", (F.col("w") - n1 * n0 / 2) / spread)
+    spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
+    s = s.withColumn("z", (F.col("w") - n1 * n0 / 2) / F.nullif(spread, F.lit(0.0)))
     return s.select(n1.alias("n1"), n0.alias("n0"), "w", "z", upper_tail(F.col("z")).alias("p"))
 
 

@@ -47,7 +47,7 @@ def top_transcripts(tx: DataFrame, spans: DataFrame, limit: int = 20, width: int
     """For each gene span (gene, b_chrom, b_start, b_end) its transcripts with the most exons, coding ones first."""
     pairs = overlap_join(tx, spans, width)
     score = F.col("n_exons") + F.when(F.col("coding"), 100_000).otherwise(0)
-    w = Window.partitionBy("gene", "b_start").orderBy(F.desc("score"), "tx")
+    w = Window.partitionBy("gene", "b_chrom", "b_start", "b_end").orderBy(F.desc("score"), "tx")
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
@@ -119,13 +119,17 @@ def orient_motifs(df: DataFrame, motif: str = "motif") -> DataFrame:
 def motifs(df: DataFrame, sequences: DataFrame, width: int = 1 << 16) -> DataFrame:
     """The two bases at a junction's start and those that end it, from sequences (chrom, seq); N past the end of a sequence.
 
-    Sequences are cut in chunks that overlap by a base, so that no row of the join carries a whole chromosome.
+    Sequences are cut in chunks that overlap by a base, so that no row of the join carries a whole chromosome. Equal junctions each
+    come back; a chromosome without a sequence gives NN.
     """
     chunks = sequences.select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / width)), lambda i: F.substr("seq", (i * width + 1).cast("int"), F.lit(width + 1)))).alias("chunk", "part"))
-    ends = df.select("*", F.posexplode(F.array(F.col("start"), F.col("end") - 1)).alias("_side", "_at")).withColumn("chunk", F.floor((F.col("_at") - 1) / width).cast("int"))
-    found = ends.join(chunks, ["chrom", "chunk"], "left")
-    two = F.rpad(F.substr(F.coalesce("part", F.lit("")), (F.col("_at") - F.col("chunk") * width).cast("int"), F.lit(2)), 2, "N")
-    return found.groupBy(*df.columns).agg(F.max(F.when(F.col("_side") == 0, two)).alias("left_motif"), F.max(F.when(F.col("_side") == 1, two)).alias("right_motif"))
+    out = df
+    for name, at in (("left_motif", F.col("start")), ("right_motif", F.col("end") - 1)):
+        side = chunks.select(F.col("chrom").alias("_chrom"), F.col("chunk").alias("_chunk"), F.col("part").alias("_part"))
+        chunk = F.floor((at - 1) / width).cast("int")
+        two = F.rpad(F.substr(F.coalesce("_part", F.lit("")), (at - chunk * width).cast("int"), F.lit(2)), 2, "N")
+        out = out.join(side, (F.col("chrom") == F.col("_chrom")) & (chunk == F.col("_chunk")), "left").withColumn(name, two).drop("_chrom", "_chunk", "_part")
+    return out
 
 
 def consolidate_transcripts(exons: DataFrame) -> DataFrame:

@@ -1,16 +1,21 @@
 """Interval joins on binned coordinates, and orders along a chromosome.
 
-Coordinates are 1-based and closed unless said otherwise. A join of intervals deals both sides out by (chromosome, bin); an
+Coordinates are 1-based and closed unless said otherwise. A join of intervals deals both sides out by (chromosome, level, bin). The left side's
+intervals go to the level whose bins are as wide as they are long, where they touch two bins at most; the right side's go to their bins on every level. An
 overlapping pair meets in every bin they share and counts in the first of these only, so no distinct is needed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bases of a bin: near the usual length of the shorter side, so that most of its intervals fall in one or two.
 BIN = 1000
+#: Levels of bins, each this many times as wide as the one before; what is longer than the widest bin is dealt to all that it touches.
+LEVELS, FACTOR = 6, 8
 
 
 def binned(df: DataFrame, start: str = "start", end: str = "end", width: int = BIN, name: str = "bin") -> DataFrame:
@@ -19,14 +24,24 @@ def binned(df: DataFrame, start: str = "start", end: str = "end", width: int = B
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: Column | None = None) -> DataFrame:
-    """Pairs of overlapping rows of the same chrom. `b` must have other column names than `a`, but with the prefix `b_` for b_chrom, b_start, b_end.
+    """Pairs of overlapping rows of the same chrom. `b` names its place b_chrom, b_start, b_end; another column that `a` has too comes as b_<name>.
 
-    how: a further condition on the pair.
+    how: a further condition on the pair. A place with a null or with end before start meets nothing. A row of `a` is copied twice at most, whatever
+    its length, unless it is longer than width * FACTOR ** (LEVELS - 1).
     """
-    left, right = binned(a, width=width), binned(b, "b_start", "b_end", width, "b_bin")
-    first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("b_start") / width))
-    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("bin") == F.col("b_bin")) & (F.col("end") >= F.col("b_start")) & (F.col("start") <= F.col("b_end")) & (F.col("bin") == first)
-    return left.join(right, on if how is None else on & how).drop("bin", "b_bin")
+    for c in b.columns:
+        if c in a.columns:
+            b = b.withColumnRenamed(c, f"b_{c}")
+    widths = [width * FACTOR**k for k in range(LEVELS)]
+    size = F.col("end") - F.col("start") + 1
+    level = reduce(lambda c, k: c.when(size <= widths[k], k), range(LEVELS), F.when(F.lit(False), 0)).otherwise(LEVELS - 1)
+    wide = F.lit(width) * F.pow(F.lit(FACTOR), F.col("_level")).cast("long")
+    place = lambda at: F.floor(F.col(at) / wide)
+    left = a.where("start <= end").withColumn("_level", level).withColumn("_bin", F.explode(F.sequence(place("start"), place("end"))))
+    right = b.where("b_start <= b_end").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bin", F.explode(F.sequence(place("b_start"), place("b_end")))).withColumnsRenamed({"_level": "_b_level", "_bin": "_b_bin"})
+    first = F.greatest(place("start"), place("b_start"))
+    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_level") == F.col("_b_level")) & (F.col("_bin") == F.col("_b_bin")) & (F.col("end") >= F.col("b_start")) & (F.col("start") <= F.col("b_end")) & (F.col("_bin") == first)
+    return left.join(right, on if how is None else on & how).drop("_level", "_b_level", "_bin", "_b_bin")
 
 
 def prefixed(df: DataFrame, *keep: str, **renamed: str) -> DataFrame:
@@ -52,19 +67,41 @@ def islands(df: DataFrame, keys: list[str], gap: int = 0, start: str = "start",
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def gaps(df: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """(keys, gap_start, gap_end, gap): where nothing lies between merged intervals; gap is start - end + 1 of the neighbours."""
-    w = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reach = df.select(*keys, "start", "end", F.max("end").over(w).alias("reach"))
+#: Bases of a stretch: what one task orders of a chromosome.
+STRETCH = 1 << 20
+
+
+def gaps(df: DataFrame, keys: tuple[str, ...] = ("chrom",), width: int = STRETCH) -> DataFrame:
+    """(keys, gap_start, gap_end, gap): where nothing lies between merged intervals; gap is start - end + 1 of the neighbours.
+
+    The furthest end so far is taken within stretches, and over the stretches before from a table with a row for each: no task sees a whole chromosome.
+    """
+    own = df.select(*keys, "start", "end", F.floor(F.col("start") / width).alias("_at"))
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = own.groupBy(*keys, "_at").agg(F.max("end").alias("_end")).select(*keys, "_at", F.max("_end").over(before).alias("_earlier"))
+    w = Window.partitionBy(*keys, "_at").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reach = own.withColumn("_within", F.max("end").over(w)).join(stretches, [*keys, "_at"]).withColumn("reach", F.greatest("_within", "_earlier"))
     return reach.where(F.col("start") > F.col("reach")).select(*keys, F.col("reach").alias("gap_start"), F.col("start").alias("gap_end"), (F.col("start") - F.col("reach") + 1).alias("gap"))
 
 
-def collapse_ranges(df: DataFrame, value: str, keys: tuple[str, ...] = ("chrom",), start: str = "start", end: str = "end") -> DataFrame:
-    """Consecutive rows with the same value as one range, from the first's start to the last's end; they needn't touch."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min(start).alias("start"), F.max_by(end, F.struct(start, end)).alias("end"), F.first(value).alias(value), F.count("*").alias("n_rows")).drop("_run")
+def collapse_ranges(df: DataFrame, value: str, keys: tuple[str, ...] = ("chrom",), start: str = "start", end: str = "end", width: int = STRETCH) -> DataFrame:
+    """Consecutive rows (by start, end, then value) with the same value as one range, from the first's start to the last's end; they needn't touch.
+
+    Runs are made within stretches; a table with a row for each stretch tells which first runs go on from the stretch before: no task sees a whole chromosome.
+    """
+    own = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), F.col(value).alias("_v"), F.floor(F.col(start) / width).alias("_at"))
+    w = Window.partitionBy(*keys, "_at").orderBy("start", "end", "_v")
+    changed = F.when((F.row_number().over(w) > 1) & F.lag("_v").over(w).eqNullSafe(F.col("_v")), 0).otherwise(1)
+    marked = own.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max(F.struct("start", "end", "_v")).alias("_last")
+    runs = marked.groupBy(*keys, "_at", "_run").agg(F.min("start").alias("start"), last, F.first("_v").alias("_v"), F.count("*").alias("n_rows"))
+    along = Window.partitionBy(*keys).orderBy("_at")
+    stretches = runs.groupBy(*keys, "_at").agg(F.max("_run").alias("_n"), F.min_by("_v", "_run").alias("_first"), F.max_by(F.struct("_v"), "_run").alias("_end"))
+    goes_on = F.coalesce(F.lag("_end").over(along)["_v"].eqNullSafe(F.col("_first")) & F.lag("_end").over(along).isNotNull(), F.lit(False))
+    stretches = stretches.withColumn("_goes_on", goes_on).withColumn("_open", F.last(F.when((F.col("_n") > 1) | ~F.col("_goes_on"), F.struct("_at", F.col("_n").alias("_run"))), ignorenulls=True).over(along))
+    stretches = stretches.select(*keys, "_at", F.when(F.col("_goes_on"), F.lag("_open").over(along)).alias("_from"))
+    whole = runs.join(stretches, [*keys, "_at"]).withColumn("_id", F.when((F.col("_run") == 1) & F.col("_from").isNotNull(), F.col("_from")).otherwise(F.struct("_at", "_run")))
+    return whole.groupBy(*keys, "_id").agg(F.min("start").alias("start"), F.max("_last")["end"].alias("end"), F.first("_v").alias(value), F.sum("n_rows").alias("n_rows")).drop("_id")
 
 
 def unsorted_rows(df: DataFrame, keys: list[str], order: list[str], start: str = "start") -> DataFrame:
@@ -81,7 +118,8 @@ def missing_ids(df: DataFrame, key: str) -> DataFrame:
     edges = ids.groupBy("block").agg(F.max("id").alias("id"), F.min("id").alias("low"))
     across = edges.select("id", F.lead("low").over(Window.orderBy("block")).alias("next"))  # a row for each 10,000 ids
     both = within.where("next is not null").unionByName(across.where("next is not null")).where("next > id + 1")
-    return both.select(F.explode(F.sequence(F.col("id") + 1, F.col("next") - 1)).alias("id"))
+    pieces = both.select(F.explode(F.sequence(F.col("id") + 1, F.col("next") - 1, F.lit(1_000_000).cast("long"))).alias("low"), (F.col("next") - 1).alias("high"))  # a long hole in pieces
+    return pieces.select(F.explode(F.sequence(F.col("low"), F.least(F.col("low") + 999_999, F.col("high")))).alias("id"))
 
 
 def dense_ids(df: DataFrame, order: list[str], width: int = 1 << 20, chrom: str = "chrom", start: str = "start", name: str = "id") -> DataFrame:

@@ -45,9 +45,12 @@ def mode_condition(mode: Column, start: str = "b_start", end: str = "b_end") ->
     return F.when(mode == "contains", (s >= qs) & (e <= qe)).when(mode == "exact", (s == qs) & (e == qe)).when(mode == "start", s >= qs).when(mode == "end", e <= qe).otherwise(True)
 
 
-def in_regions(df: DataFrame, regions: DataFrame, mode: Column | None = None, distinct: str | None = None, width: int = BIN) -> DataFrame:
-    """Rows of `df` once for each region (b_chrom, b_start, b_end, more) that they meet; distinct: a key to come once only."""
-    out = overlap_join(df, regions, width, mode_condition(mode) if mode is not None else None)
+def in_regions(df: DataFrame, regions: DataFrame, mode: str | None = None, distinct: str | None = None, width: int = BIN) -> DataFrame:
+    """Rows of `df` once for each region (b_chrom, b_start, b_end, more) that they meet; distinct: a key to come once only.
+
+    mode: the column of `regions` that says what else a row must do. A column that both tables have comes from the regions as b_<name>.
+    """
+    out = overlap_join(df, regions, width, mode_condition(F.col(f"b_{mode}" if mode in df.columns else mode)) if mode is not None else None)
     return out.dropDuplicates([distinct]).select(*df.columns) if distinct else out
 
 
@@ -97,16 +100,23 @@ def split_annotated(df: DataFrame, wanted: str) -> DataFrame:
 def restrict_samples(df: DataFrame, sids: list[int] | DataFrame, stats: str = "full", key: str = "feature_id") -> DataFrame:
     """Features with the given samples' entries only, in stored order, those without any left out, and statistics of what is left.
 
-    A list goes into the expression and stays in the row; a table of sids (first column), or a list of more than LITERAL_SIDS, is joined to the entries.
+    sids: a list, or a table (first column). Up to LITERAL_SIDS distinct ids go into the expression and stay in the row; to tell that of a table, as many
+    ids and one more are read. More ids are joined to the entries, which come back to their row by its key and a hash of the whole row: rows that share a
+    key stay apart, equal rows get equal lists. Null ids match nothing.
     stats: full, or basic for count and sum alone.
     """
-    if not isinstance(sids, DataFrame) and len(sids) > LITERAL_SIDS:
-        sids = df.sparkSession.createDataFrame([(int(x),) for x in sids], "sid long")
     if isinstance(sids, DataFrame):
-        wanted = sids.select(F.col(sids.columns[0]).cast("long").alias("sid")).distinct()
-        entries = df.select(key, F.posexplode("samples").alias("pos", "entry")).select(key, "pos", "entry.sid", "entry.cov").join(wanted, "sid", "left_semi")
-        lists = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sid", "cov"))).alias("_kept"))
-        kept = df.drop("samples").join(lists, key).withColumn("samples", F.transform("_kept", lambda e: F.struct(e["sid"].alias("sid"), e["cov"].alias("cov")))).drop("_kept")
+        wanted = sids.select(F.col(sids.columns[0]).cast("long").alias("sid")).where("sid is not null").distinct()
+        some = wanted.limit(LITERAL_SIDS + 1).collect()
+        sids = wanted if len(some) > LITERAL_SIDS else [r.sid for r in some]
+    elif len(sids) > LITERAL_SIDS:
+        sids = df.sparkSession.createDataFrame([(int(x),) for x in set(sids)], "sid long")
+    if isinstance(sids, DataFrame):
+        own = df.withColumn("_row", F.xxhash64(*df.columns))
+        entries = own.select(key, "_row", F.posexplode("samples").alias("pos", "entry")).select(key, "_row", "pos", "entry.sid", "entry.cov").join(sids, "sid", "left_semi")
+        lists = entries.groupBy(F.col(key).alias("_key"), F.col("_row").alias("_r")).agg(F.array_sort(F.collect_set(F.struct("pos", "sid", "cov"))).alias("_kept"))
+        kept = own.join(lists, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_r")))
+        kept = kept.withColumn("samples", F.transform("_kept", lambda e: F.struct(e["sid"].alias("sid"), e["cov"].alias("cov")))).drop("_kept", "_row", "_key", "_r")
     else:
         kept = df.withColumn("samples", keep_samples("samples", sids)).where(F.size("samples") > 0)
     found = summary("samples")
@@ -138,24 +148,50 @@ def any_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-union_splits = any_of
+def union_splits(parts: dict[str, DataFrame], name: str = "split") -> DataFrame:
+    """The outputs of several splits (name: rows) under one header, with the split of each row; a column that a split lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn(name, F.lit(k)) for k, df in parts.items()))
+
+
+def passes(filters: Column) -> Column:
+    """Whether a feature passes all of its row's range filters, an array of (field, op, value); null or empty asks nothing, an unknown field or op fails."""
+
+    def test(f):
+        value = reduce(lambda c, k: c.when(f["field"] == k, F.col(k).cast("double")), STATISTICS, F.when(F.lit(False), F.lit(0.0)))
+        wanted = f["value"].cast("double")
+        tests = {"=": value == wanted, "!=": value != wanted, "<": value < wanted, "<=": value <= wanted, ">": value > wanted, ">=": value >= wanted}
+        return F.coalesce(reduce(lambda c, k: c.when(f["op"] == k, tests[k]), tests, F.when(F.lit(False), F.lit(False))), F.lit(False))
+
+    return filters.isNull() | F.forall(filters, test)
 
 
 def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame:
-    """Many labelled queries in one interval join.
+    """Many labelled queries in one interval join, each with its own filters.
 
-    queries: label, b_chrom, b_start, b_end and any of mode, min_samples_count, min_coverage_sum, strand_wanted, sids (array of long); a
-    null asks nothing. With sids, statistics are those of these samples.
+    queries: label, b_chrom, b_start, b_end and any of mode, min_samples_count, min_coverage_sum, filters (array of field, op, value), strand_wanted,
+    annotated_wanted, left_wanted, right_wanted (booleans), sids (array of long, such as a metadata search gives); a null asks nothing, an empty sids finds
+    nothing. With sids, statistics and their filters are those of these samples.
+    The join itself and the tests that don't need sample lists see a feature's key, place and flags only; whole rows are fetched by key and a hash of the row
+    for the pairs that are left.
     """
     has = set(queries.columns)
-    out = overlap_join(df, queries, width, mode_condition(F.col("mode")) if "mode" in has else None)
-    if "strand_wanted" in has:
-        out = out.where(F.col("strand_wanted").isNull() | (F.col("strand") == F.col("strand_wanted")))
+    flags = {"strand_wanted": "strand", "annotated_wanted": "annotated"} | {f"{s}_wanted": f"_{s}" for s in ("left", "right")}
+    own = df.withColumn("_row", F.xxhash64(*df.columns))
+    sides = {f"_{s}": F.size(f"{s}_sources") > 0 for s in ("left", "right") if f"{s}_wanted" in has}
+    slim = own.withColumns(sides).select("_row", "chrom", "start", "end", *(flags[k] for k in flags if k in has))
+    asked = queries.withColumn("_query", F.xxhash64(*queries.columns))
+    conditions = [mode_condition(F.col("mode"))] if "mode" in has else []
+    conditions += [F.col(k).isNull() | (F.col(v) == F.col(k)) for k, v in flags.items() if k in has]
+    places = asked.select("_query", "b_chrom", "b_start", "b_end", *(k for k in ("mode", *flags) if k in has)).distinct()
+    pairs = overlap_join(slim.distinct(), places, width, reduce(lambda a, b: a & b, conditions) if conditions else None).select("_row", "chrom", "start", "_query")
+    named = {c: f"b_{c}" if c in df.columns else c for c in queries.columns}
+    out = own.join(pairs, ["_row", "chrom", "start"]).join(asked.withColumnsRenamed(named), "_query").select(*df.columns, *named.values())
     if "sids" in has:
-        kept = F.when(F.col("sids").isNull(), F.col("samples")).otherwise(F.filter("samples", lambda s: F.array_contains(F.col("sids"), s["sid"])))
-        out = out.withColumn("samples", kept).where(F.col("sids").isNull() | (F.size("samples") > 0))
-        out = out.withColumns({k: F.when(F.col("sids").isNull(), F.col(k)).otherwise(v) for k, v in summary("samples").items()})
+        sids = F.col(named["sids"])
+        kept = F.when(sids.isNull(), F.col("samples")).otherwise(F.filter("samples", lambda s: F.array_contains(sids, s["sid"])))
+        out = out.withColumn("samples", kept).where(sids.isNull() | (F.size("samples") > 0))
+        out = out.withColumns({k: F.when(sids.isNull(), F.col(k)).otherwise(v) for k, v in summary("samples").items()})
     for column in ("samples_count", "coverage_sum"):
         if f"min_{column}" in has:
             out = out.where(F.col(f"min_{column}").isNull() | (F.col(column) >= F.col(f"min_{column}")))
-    return out
+    return out.where(passes(F.col(named["filters"]))) if "filters" in has else out

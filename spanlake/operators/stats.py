@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import summary
 from spanlake.operators.intervals import BIN, overlap_join
+from spanlake.scratch import stored
 
 
 def feature_stats(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -44,11 +45,46 @@ def bases_by_sample(bases: DataFrame, label: str, op: str = "sum") -> DataFrame:
 
 
 def bases_summary(bases: DataFrame, threshold: float = 501) -> DataFrame:
-    """Sum, sum per base and number of samples at or over the threshold, of each base row."""
-    width = F.col("end") - F.col("start")
+    """Sum, sum per base and number of samples at or over the threshold, of each base row. A row of no bases (start = end) has a null sum per base."""
+    width = F.nullif(F.col("end") - F.col("start"), F.lit(0))
     return bases.groupBy("chrom", "start", "end").agg(F.sum("value").alias("total"), F.count_if(F.col("value") >= threshold).alias("n_over")).withColumn("per_base", F.col("total") / width)
 
 
+def base_columns(bases: DataFrame, sids: list[int] = (), groups: dict[str, list[int]] | None = None) -> DataFrame:
+    """Base rows with a column for each wanted sample, 0 where it has no value: s<sid> by ids, <group>_s<sid> by named groups.
+
+    A row without a value of any wanted sample stays away. An empty choice gives the coordinates alone.
+    """
+    named = [(f"s{s}", s) for s in sids] + [(f"{name}_s{s}", s) for name, members in (groups or {}).items() for s in members]
+    values = [F.coalesce(F.max(F.when(F.col("sid") == s, F.col("value"))), F.lit(0.0)).alias(name) for name, s in named]
+    kept = bases.where(F.col("sid").isin([s for _, s in named])) if named else bases
+    rows = kept.groupBy("chrom", "start", "end")
+    return rows.agg(*values) if values else rows.agg(F.lit(1)).select("chrom", "start", "end")
+
+
+def base_query(bases: DataFrame, region: tuple[str, int, int], sids: list[int] | DataFrame | None = None, op: str | None = None, by: str = "row", label: str | None = None, n_samples: int | None = None) -> DataFrame:
+    """Base rows (0-based, half-open) that a closed, 1-based region touches, as the wanted samples have them.
+
+    sids: a list, or a table (first column) such as the members of named groups; None takes all. op None gives long rows (chrom, start, end, sid, value);
+    sum or mean gives one value a row (by row; a mean divides by the wanted samples, whose number a table or n_samples tells) or a sample (by sample; it
+    divides by the region's distinct rows), with the label. A region without rows gives none.
+    """
+    chrom, start, end = region
+    own = bases.where((F.col("chrom") == chrom) & (F.col("end") >= start) & (F.col("start") < end))
+    if isinstance(sids, DataFrame):
+        wanted = sids.select(F.col(sids.columns[0]).cast("long").alias("sid")).distinct()
+        own, n_samples = own.join(wanted, "sid", "left_semi"), n_samples or wanted.count()
+    elif sids is not None:
+        own, n_samples = own.where(F.col("sid").isin([int(s) for s in sids])), n_samples or len(set(sids))
+    if op is None:
+        return own.select("chrom", "start", "end", "sid", "value")
+    if by == "sample":
+        return bases_by_sample(own, label or f"{chrom}:{start}-{end}", op)
+    if op == "mean" and not n_samples:
+        raise ValueError("a mean over samples needs their number")
+    return bases_by_row(own, n_samples or 1, op).withColumn("label", F.lit(label or f"{chrom}:{start}-{end}"))
+
+
 def interval_sums(bases: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
     """Sums of base rows (0-based, half-open) over named intervals: label, sid, chrom, start + 1, end, length and value."""
     closed = bases.select("chrom", (F.col("start") + 1).alias("start"), "end", "sid", "value")
@@ -78,9 +114,13 @@ def sparse_from_wide(wide: DataFrame, keys: list[str], ids: DataFrame, truncate:
 
 
 def group_means(entries: DataFrame, groups: DataFrame, names: list[str], key: str = "gene") -> DataFrame:
-    """A column for each group: the mean of the members' values, then its natural logarithm where that is 1 at least, else 0, to one decimal."""
-    means = entries.join(groups, "sid").groupBy(key).pivot("group", sorted(names)).agg(F.avg("cov"))
-    return means.select(key, *(F.when(F.col(n) >= 1, F.round(F.ln(F.col(n)), 1)).otherwise(F.lit(0.0)).alias(n) for n in sorted(names)))
+    """A column for each group: the mean over all its members, those without an entry as 0, then its natural logarithm where that is 1 at least, else 0,
+    to one decimal. groups: sid, group of every sample of the table. A key without any member's entry has zeros; a group without members too.
+    """
+    sizes = {r.group: r.n for r in groups.where(F.col("group").isin(names)).groupBy("group").agg(F.countDistinct("sid").alias("n")).collect()}  # a row for each name at most
+    sums = entries.join(groups, "sid", "left").groupBy(key).pivot("group", sorted(names)).agg(F.sum("cov"))
+    mean = lambda n: F.col(f"`{n}`") / max(1, sizes.get(n, 0))
+    return sums.select(key, *(F.when(mean(n) >= 1, F.round(F.ln(mean(n)), 1)).otherwise(F.lit(0.0)).alias(n) for n in sorted(names)))
 
 
 def normalised_by_parent(entries: DataFrame, parents: DataFrame, key: str = "feature_id") -> DataFrame:
@@ -91,25 +131,30 @@ def normalised_by_parent(entries: DataFrame, parents: DataFrame, key: str = "fea
 
 
 def feature_studies(entries: DataFrame, studies: DataFrame, key: str = "feature_id") -> DataFrame:
-    """For each feature its studies by share of samples, then coverage: whole percentages of both, a study of 0 % of samples left out, and the rank."""
+    """For each feature its studies by share of samples, then coverage: whole percentages of both, a study of 0 % of samples left out, and the rank.
+    A feature without any coverage has 0 % of it in each study."""
     sums = entries.join(studies, "sid").groupBy(key, "study").agg(F.count("*").alias("n"), F.sum("cov").alias("c"))
     w = Window.partitionBy(key)
-    share = lambda x: F.floor(F.col(x) * 100 / F.sum(x).over(w)).cast("int")
+    share = lambda x: F.coalesce(F.floor(F.col(x) * 100 / F.nullif(F.sum(x).over(w), F.lit(0))), F.lit(0)).cast("int")
     both = sums.select(key, "study", share("n").alias("samples_percent"), share("c").alias("coverage_percent")).where("samples_percent > 0")
     return both.withColumn("rank", F.row_number().over(w.orderBy(F.desc("samples_percent"), F.desc("coverage_percent"), "study")))
 
 
-TYPES = {"i": r"^\s*-?[0-9]+\s*$", "f": r"^\s*-?[0-9]*\.[0-9]+([eE][-+]?[0-9]+)?\s*$|^\s*-?[0-9]+[eE][-+]?[0-9]+\s*$", "n": r"^\s*$|^(NA|na|N/A|n/a|NULL|null)$"}
+#: What counts as an integer, a fraction and nothing.
+TYPES = {"i": r"^-?[0-9]+$", "f": r"^-?[0-9]+\.?[0-9]+$|e\+", "n": r"^\s*$|^NA$"}
 
 
 def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, type) of text columns: i, f or t by the most frequent kind of value, empty ones aside; i gives way to f where both occur, and t wins a draw."""
+    """(field, type) of text columns: i, f or t by the most frequent kind of value. Once a fraction occurs, integers don't count: f and t compete.
+    Empty values count for nothing; a column of these alone, or of no rows, is n. t wins a draw.
+    """
     values = df.unpivot([], columns, "field", "value")
     v = F.col("value")
     kind = F.when(v.isNull() | v.rlike(TYPES["n"]), "n").when(v.rlike(TYPES["i"]), "i").when(v.rlike(TYPES["f"]), "f").otherwise("t")
     n = values.groupBy("field").agg(*(F.count_if(kind == k).alias(k) for k in "iftn"))
-    numbers = F.when(F.col("f") > 0, "f").otherwise("i")
-    return n.select("field", F.when((F.col("i") + F.col("f") > F.col("t")), numbers).otherwise("t").alias("type"))
+    best = F.when((F.col("f") > 0) & (F.col("f") > F.col("t")), "f").when((F.col("f") == 0) & (F.col("i") > F.col("t")), "i").when(F.col("f") + F.col("i") + F.col("t") > 0, "t").otherwise("n")
+    fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    return fields.join(n.select("field", best.alias("type")), "field", "left").select("field", F.coalesce("type", F.lit("n")).alias("type"))
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -144,9 +189,28 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 
 def dense_ids_of(df: DataFrame, column: str) -> DataFrame:
-    """0-based ids of the sorted distinct values of a column, and how many rows have each."""
-    sizes = df.groupBy(column).agg(F.count("*").alias("n"))
-    return sizes.withColumn("id", F.row_number().over(Window.orderBy(column)) - 1)
+    """0-based ids of the sorted distinct values of a column, and how many rows have each.
+
+    Values are dealt out by ranges, written, and numbered within a range; only the table of ranges is summed up as a whole.
+    """
+    dealt = stored(df.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return dealt.withColumn("_own", own).join(F.broadcast(ranges), "_range").select(column, "n", (F.col("_before") + F.col("_own") - 1).cast("int").alias("id"))
+
+
+def report(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Measures by keys, the largest first: ordered by the measures in turn, descending with nulls last, then by the keys."""
+    out = df.groupBy(*keys).agg(*(c.alias(name) for name, c in measures.items()))
+    return out.orderBy(*(F.desc_nulls_last(name) for name in measures), *keys)
+
+
+def studies_in_order(entries: DataFrame, studies: DataFrame, key: str = "feature_id") -> DataFrame:
+    """For each feature its studies in one list, by number of samples, then coverage, both descending, then name. entries: key, sid, cov; studies: sid, study."""
+    sums = entries.join(studies, "sid").groupBy(key, "study").agg(F.count("*").alias("n"), F.sum("cov").alias("c"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), "study")))  # a study once
+    return sums.groupBy(key).agg(F.transform(ordered, lambda x: x["study"]).alias("studies"))
 
 
 def top_values(df: DataFrame, column: str) -> DataFrame:
@@ -174,10 +238,10 @@ def normalise_auc(entries: DataFrame, auc: DataFrame, target: float = 40e6) -> D
 
 
 def normalise_jxcov(entries: DataFrame, mean: float | None = None) -> DataFrame:
-    """Counts over their sample's total times the mean total, or a given one."""
+    """Counts over their sample's total times the mean total, or a given one; a sample without coverage has 0."""
     totals = entries.groupBy("sid").agg(F.sum("cov").alias("total"))
     target = totals.agg(F.avg("total").alias("target")) if mean is None else entries.sparkSession.range(1).select(F.lit(mean).alias("target"))
-    return entries.join(totals, "sid").join(F.broadcast(target)).withColumn("norm", F.bround(F.col("cov") / F.col("total") * F.col("target"), 0).cast("long")).drop("total", "target")
+    return entries.join(totals, "sid").join(F.broadcast(target)).withColumn("norm", F.coalesce(F.bround(F.col("cov") / F.nullif(F.col("total"), F.lit(0)) * F.col("target"), 0).cast("long"), F.lit(0))).drop("total", "target")
 
 
 def restat_nonzero(entries: DataFrame, key: str = "feature_id", value: str = "norm") -> DataFrame:

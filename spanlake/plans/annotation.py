@@ -36,10 +36,10 @@ def g3_by_gene(v):
     return G.by_gene(v.features, named, "GENE17").select("feature_id")
 
 
-@register("SELECT feature_id FROM features WHERE feature_id % 400 = 34")
+@register("SELECT f.feature_id FROM features f JOIN features s ON s.chrom = f.chrom AND s.start = f.start AND s.\"end\" = f.\"end\" WHERE s.feature_id % 100 = 34")
 def g4_by_gene_exact(v):
-    spans = v.features.where("feature_id % 400 = 34").select(F.lit("ENSG1.2").alias("gene"), "chrom", "start", "end")
-    return G.by_gene(v.features.where("feature_id % 2 = 0"), spans, "ensg1.2", exact=True).where("feature_id % 400 = 34").select("feature_id")
+    spans = v.features.select(F.concat(F.lit("ENSG"), (F.col("feature_id") % 100).cast("string"), F.lit(".2")).alias("gene"), "chrom", "start", "end")
+    return G.by_gene(v.features, spans, "ensg34.2", exact=True).select("feature_id")
 
 
 _MERGED = """(SELECT tx, chrom, strand, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tx ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island
@@ -77,7 +77,7 @@ def g7_transcripts_in_region(v):
     return P.overlaps(_tx(v), "Brand#7", 2000, 4000).select("tx", "start", "end")
 
 
-@register(f"""SELECT gene, b_start, tx, rank FROM (SELECT s.gene, s.start AS b_start, tx, CAST(row_number() OVER (PARTITION BY s.gene, s.start ORDER BY n_exons + CASE WHEN coding THEN 100000 ELSE 0 END DESC, tx) AS INTEGER) AS rank
+@register(f"""SELECT gene, b_start, tx, rank FROM (SELECT s.gene, s.start AS b_start, tx, CAST(row_number() OVER (PARTITION BY s.gene, s.chrom, s.start, s."end" ORDER BY n_exons + CASE WHEN coding THEN 100000 ELSE 0 END DESC, tx) AS INTEGER) AS rank
  FROM (SELECT tx, chrom, start, "end", n_exons, coding FROM {_TX}) t JOIN {_SPANS.format(20)} s ON t.chrom = s.chrom AND t."end" >= s.start AND t.start <= s."end") WHERE rank <= 3""")
 def g8_top_transcripts(v):
     return G.top_transcripts(_tx(v).drop("gene"), prefixed(_spans(v), "gene"), 3).select("gene", "b_start", "tx", "rank")

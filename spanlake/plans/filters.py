@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlake.functions import add_chr, normalise_strand, strip_chr
 from spanlake.operators import intervals as I
 from spanlake.operators import predicates as P
+from spanlake.operators import stats as A
 from spanlake.operators.samples import long
 from spanlake.plans.register import Register
 
@@ -20,8 +21,7 @@ _COLUMNS = ["feature_id", "chrom", "start", "end"]
 
 @register(f"SELECT {_PLACE} FROM features WHERE {_IN}")
 def f1_overlap(v):
-    longest = v.features.agg(F.max("length")).first()[0] or 0
-    return P.overlaps(v.features, *REGION, max_length=longest).select(_COLUMNS)
+    return P.overlaps(v.features, *REGION).select(_COLUMNS)
 
 
 @register(f'SELECT {_PLACE} FROM features WHERE {_IN} AND start >= 3000 AND "end" <= 5000')
@@ -31,8 +31,8 @@ def f2_contained(v):
 
 @register("SELECT f.feature_id, f.chrom, f.start, f.\"end\" FROM features f, (SELECT chrom, start, \"end\" FROM features WHERE feature_id = 1) x WHERE f.chrom = x.chrom AND f.start = x.start AND f.\"end\" = x.\"end\"")
 def f3_exact(v):
-    one = v.features.where("feature_id = 1").select("chrom", "start", "end").first()
-    return P.overlaps(v.features, *one, exact=True).select(_COLUMNS)
+    one = v.features.where("feature_id = 1").select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.lit("exact").alias("mode"))
+    return P.in_regions(v.features, one, "mode").select(_COLUMNS)
 
 
 @register(f"SELECT {_PLACE} FROM features WHERE {_IN} AND start >= 3000")
@@ -57,7 +57,7 @@ def f6_multi_region_bag(v):
 
 @register(f"SELECT DISTINCT feature_id, chrom, start, \"end\" FROM {_JOIN} WHERE {_MODE}")
 def f6_regions_distinct(v):
-    return P.in_regions(v.features.select(_COLUMNS), v.regions, F.col("mode"), distinct="feature_id")
+    return P.in_regions(v.features.select(_COLUMNS), v.regions, "mode", distinct="feature_id")
 
 
 @register("SELECT feature_id, samples_count, coverage_avg FROM features WHERE samples_count >= 20 AND length < 600 AND coverage_avg > 25 AND coverage_sum <> 700 AND coverage_median <= 30")
@@ -107,14 +107,41 @@ def f13_projection(v):
 
 @register('SELECT chrom, start, "end", ' + ", ".join(f"coalesce(max(value) FILTER (sid = {s}), 0e0) AS s{s}" for s in range(10)) + ' FROM bases WHERE sid < 10 GROUP BY ALL')
 def f14_base_columns(v):
-    kept = v.bases.where(F.col("sid").isin(list(range(10))))
-    wide = kept.groupBy("chrom", "start", "end").pivot("sid", list(range(10))).agg(F.max("value"))
-    return wide.select("chrom", "start", "end", *(F.coalesce(F.col(str(s)), F.lit(0.0)).alias(f"s{s}") for s in range(10)))
+    return A.base_columns(v.bases, list(range(10)))
+
+
+@register('SELECT chrom, start, "end", ' + ", ".join(f"coalesce(max(value) FILTER (sid = {s}), 0e0) AS {g}_s{s}" for g, s in (("a", 1), ("a", 4), ("b", 4), ("b", 12))) + " FROM bases WHERE sid IN (1, 4, 12) GROUP BY ALL")
+def f14_base_columns_of_groups(v):
+    return A.base_columns(v.bases, groups={"a": [1, 4], "b": [4, 12]})
+
+
+_HOURS = "chrom = 'click' AND \"end\" >= (SELECT min(\"end\") + 100 FROM bases) AND start < (SELECT min(\"end\") + 400 FROM bases)"
+
+
+def _hours(v):
+    first = v.bases.agg(F.min("end")).first()[0] or 0  # the region's place, one number
+    return ("click", first + 100, first + 400)
+
+
+@register(f'SELECT chrom, start, "end", sid, value FROM bases WHERE {_HOURS} AND sid IN (SELECT user_id FROM events WHERE event_type = \'purchase\' AND value > 100)')
+def f14_base_region(v):
+    buyers = v.table("events").where("event_type = 'purchase' and value > 100").select("user_id")
+    return A.base_query(v.bases, _hours(v), buyers)
+
+
+@register(f'SELECT chrom, start, "end", sum(value) / (SELECT count(DISTINCT sid) FROM bases) AS value, \'hours\' AS label FROM bases WHERE {_HOURS} GROUP BY 1, 2, 3')
+def f14_base_region_mean(v):
+    return A.base_query(v.bases, _hours(v), v.bases.select("sid"), "mean", label="hours")
+
+
+@register(f"SELECT 'hours' AS label, sid, sum(value) AS value FROM bases WHERE {_HOURS} GROUP BY sid")
+def f14_base_region_by_sample(v):
+    return A.base_query(v.bases, _hours(v), None, "sum", "sample", "hours")
 
 
 @register(f"SELECT count(DISTINCT feature_id) AS n_ids FROM {_JOIN} WHERE {_MODE}")
 def f15_count_ids(v):
-    return P.count_ids(P.in_regions(v.features.select(_COLUMNS), v.regions, F.col("mode")))
+    return P.count_ids(P.in_regions(v.features.select(_COLUMNS), v.regions, "mode"))
 
 
 _NAMED = "SELECT feature_id, CASE WHEN feature_id % 6 = 0 THEN concat('chrUn', feature_id) WHEN feature_id % 6 = 1 THEN 'chrX' WHEN feature_id % 6 = 2 THEN 'chrM' ELSE concat('chr', feature_id % 23) END AS chrom FROM features"
@@ -164,9 +191,7 @@ def f21_chrom_prefix(v):
 def m1_restrict_samples(v):
     from spanlake.functions import encode_samples
 
-    wanted = v.samples.where("study = 'ASIA'").select("rail_id")
-    some = wanted.limit(P.LITERAL_SIDS + 1).collect()
-    sids = wanted if len(some) > P.LITERAL_SIDS else [r.rail_id for r in some]
+    sids = v.samples.where("study = 'ASIA'").select("rail_id")
     return P.restrict_samples(v.features.select("feature_id", "samples"), sids).withColumn("samples", encode_samples("samples"))
 
 
@@ -187,7 +212,17 @@ def m18_restrict_basic(v):
 def b1_bulk_query(v):
     k = F.col("label")
     asked = v.regions.withColumns({"min_samples_count": F.when(k % 2 != 0, 20), "strand_wanted": F.when(k % 3 == 0, "+")})
-    return P.bulk_query(v.features.drop("samples"), asked).select("label", "feature_id", "samples_count", "coverage_sum")
+    return P.bulk_query(v.features, asked).select("label", "feature_id", "samples_count", "coverage_sum")
+
+
+@register(f"""SELECT label, feature_id, samples_count, coverage_sum FROM {_JOIN} WHERE {_MODE} AND (label % 2 = 0 OR annotated = (label % 3 = 0)) AND (label % 5 <> 1 OR len(right_sources) > 0)
+AND (label % 4 <> 1 OR (length < 800 AND coverage_avg > 24.5)) AND (label % 4 <> 2 OR (coverage_sum <> 700 AND samples_count >= 25 AND coverage_median <= 30))""")
+def b1_bulk_filters(v):
+    k = F.col("label")
+    one = lambda field, op, value: F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(float(value)).alias("value"))
+    filters = F.when(k % 4 == 1, F.array(one("length", "<", 800), one("coverage_avg", ">", 24.5))).when(k % 4 == 2, F.array(one("coverage_sum", "!=", 700), one("samples_count", ">=", 25), one("coverage_median", "<=", 30)))
+    asked = v.regions.withColumns({"filters": filters, "annotated_wanted": F.when(k % 2 != 0, k % 3 == 0), "right_wanted": F.when(k % 5 == 1, True)})
+    return P.bulk_query(v.features, asked).select("label", "feature_id", "samples_count", "coverage_sum")
 
 
 @register("""SELECT q.label, f.feature_id, count(*) AS samples_count, CAST(sum(cov) AS BIGINT) AS coverage_sum, avg(cov) AS coverage_avg FROM (SELECT * FROM regions WHERE mode = 'overlap') q JOIN features f ON f.chrom = b_chrom AND f."end" >= b_start AND f.start <= b_end
@@ -203,9 +238,10 @@ def b2_any_of(v):
     return P.any_of([P.query(v.features, REGION, fields=["feature_id"]), P.query(v.features, stats=[("samples_count", ">=", 25)], strand="+", fields=["feature_id"])])
 
 
-@register("SELECT feature_id, sid, cov FROM cov")
+@register("SELECT feature_id, sid, cov, concat('s', sid % 3) AS split, CASE WHEN sid % 3 = 0 THEN cov * 2 END AS doubled FROM cov")
 def b3_union_splits(v):
-    return P.union_splits([v.cov.where(F.col("sid") % 3 == k).select("feature_id", "sid", "cov") for k in range(3)])
+    splits = {f"s{k}": v.cov.where(F.col("sid") % 3 == k).select("feature_id", "sid", "cov") for k in range(3)}
+    return P.union_splits(splits | {"s0": splits["s0"].withColumn("doubled", F.col("cov") * 2)})
 
 
 @register("SELECT feature_id, sid, cov FROM cov")

@@ -9,7 +9,7 @@ from spanlake import sources as S
 from spanlake.functions import decode_samples, descriptor_part, encode_samples, gene_descriptor
 from spanlake.plans.annotation import _transcripts
 from spanlake.plans.register import Register
-from spanlake.sources.scratch import scratch
+from spanlake.scratch import scratch
 
 register = Register()
 
@@ -56,9 +56,9 @@ def s4_read_groups(v):
     return back.withColumn("sids", F.array_join(F.transform("sids", lambda x: x.cast("string")), ","))
 
 
-@register('SELECT chrom, start, "end", sid, value FROM bases WHERE sid < 5')
+@register('SELECT chrom, start, "end", sid, value FROM bases')
 def s5_read_bases(v):
-    wide = v.bases.where("sid < 5").groupBy("chrom", "start", "end").pivot("sid", list(range(5))).agg(F.max("value"))
+    wide = v.bases.groupBy("chrom", "start", "end").pivot("sid").agg(F.max("value"))
     return S.read_bases(v.spark, _written(v, wide, "header"))
 
 
@@ -169,19 +169,23 @@ def _order(v):
 _ROWS = "(SELECT feature_id AS fid, row_number() OVER (ORDER BY chrom, start, feature_id) AS row FROM features)"
 
 
-@register(f'SELECT row, sid + 1 AS "column", cov AS value FROM cov JOIN {_ROWS} ON fid = feature_id')
+_SIZES = "SELECT concat_ws(' ', (SELECT count(*) FROM features), (SELECT count(*) FROM samples), (SELECT count(*) FROM cov)) AS value UNION ALL SELECT '%%MatrixMarket matrix coordinate integer general'"
+
+
+@register(f"SELECT concat_ws(' ', row, sid + 1, cov) AS value FROM cov JOIN {_ROWS} ON fid = feature_id UNION ALL {_SIZES}")
 def s17_matrix_market(v):
     path = scratch(v.spark)
     S.write_matrix_market(v.features, path, _order(v))
-    part = lambda i: F.split_part("value", F.lit(" "), F.lit(i)).cast("long")
-    return v.spark.read.text(f"{path}/body").select(part(1).alias("row"), part(2).alias("column"), part(3).alias("value"))
+    return v.spark.read.text(path)
 
 
-@register("SELECT concat_ws(' ', (SELECT count(*) FROM features), (SELECT count(*) FROM samples), (SELECT count(*) FROM cov)) AS value UNION ALL SELECT '%%MatrixMarket matrix coordinate integer general'")
+@register(_SIZES)
 def s17_matrix_market_header(v):
     path = scratch(v.spark)
     S.write_matrix_market(v.features, path, _order(v))
-    return v.spark.read.text(f"{path}/header")
+    lines = v.spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    told = lines.agg(F.min("file").alias("file"), (F.count("*") - 2).cast("string").alias("n"))
+    return lines.join(F.broadcast(told), "file").where("value like '\\%%' or split_part(value, ' ', 3) = n").select("value")
 
 
 _ASIA = "(SELECT rail_id AS a_sid, row_number() OVER (ORDER BY rail_id) AS col FROM samples WHERE study = 'ASIA')"
@@ -212,7 +216,7 @@ def s22_registry(v):
     return out.select("dataset", F.explode("fields").alias("field", "type"))
 
 
-@register("SELECT CAST(ordinal AS BIGINT) AS ordinal, field, type FROM (VALUES (0, 'feature_id', 'bigint'), (1, 'sid', 'bigint'), (2, 'cov', 'bigint')) t(ordinal, field, type)")
+@register("SELECT CAST(ordinal AS BIGINT) AS ordinal, field, type, (SELECT count(*) FROM cov) AS n_values FROM (VALUES (0, 'feature_id', 'bigint'), (1, 'sid', 'bigint'), (2, 'cov', 'bigint')) t(ordinal, field, type)")
 def s23_fields_table(v):
     return S.fields_table(v.cov)
 

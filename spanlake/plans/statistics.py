@@ -26,9 +26,9 @@ def a1_long_stats(v):
     return A.long_stats(v.cov)
 
 
-@register("SELECT s.rail_id, s.tissue, count(c.sid) AS n_features, CAST(coalesce(sum(cov), 0) AS BIGINT) AS coverage, coalesce(avg(cov), 0e0) AS mean_coverage FROM samples s LEFT JOIN (SELECT * FROM cov WHERE sid % 7 <> 3) c ON sid = rail_id GROUP BY 1, 2")
+@register("SELECT s.rail_id, s.tissue, count(c.sid) AS n_features, CAST(coalesce(sum(cov), 0) AS BIGINT) AS coverage, coalesce(avg(cov), 0e0) AS mean_coverage FROM samples s LEFT JOIN (SELECT * FROM cov WHERE cov >= 30) c ON sid = rail_id GROUP BY 1, 2")
 def a2_sample_stats(v):
-    return A.sample_stats(v.cov.where("sid % 7 <> 3"), v.samples.select("rail_id", "tissue"), "rail_id")
+    return A.sample_stats(v.cov.where("cov >= 30"), v.samples.select("rail_id", "tissue"), "rail_id")
 
 
 @register('SELECT chrom, start, "end", sum(value) / 150 AS value FROM bases GROUP BY 1, 2, 3')
@@ -86,10 +86,10 @@ def a9_sparse_from_wide(v):
     return out.select("feature_id", F.array_join(F.transform("samples", lambda s: F.concat_ws(":", s["sid"].cast("string"), s["cov"].cast("string"))), ",").alias("samples"))
 
 
-_MEAN = "avg(cov) FILTER (study = '{0}')"
+_MEAN = "(sum(cov) FILTER (study = '{0}') / CAST((SELECT count(*) FROM samples WHERE study = '{0}') AS DOUBLE))"
 
 
-@register("SELECT feature_id AS gene, " + ", ".join(f"CASE WHEN {_MEAN.format(s)} >= 1 THEN round(ln({_MEAN.format(s)}), 1) ELSE 0e0 END AS \"{s}\"" for s in ("AFRICA", "AMERICA", "ASIA")) + " FROM cov JOIN samples ON rail_id = sid GROUP BY 1")
+@register("SELECT feature_id AS gene, " + ", ".join(f"CASE WHEN {_MEAN.format(s)} >= 1 THEN round(ln({_MEAN.format(s)}), 1) ELSE 0e0 END AS \"{s}\"" for s in ("AFRICA", "AMERICA", "ASIA")) + " FROM cov LEFT JOIN samples ON rail_id = sid GROUP BY 1")
 def a10_group_means(v):
     groups = v.samples.select(F.col("rail_id").alias("sid"), F.col("study").alias("group"))
     return A.group_means(v.cov.withColumnRenamed("feature_id", "gene"), groups, ["AFRICA", "AMERICA", "ASIA"])
@@ -109,18 +109,25 @@ def a12_feature_studies(v):
     return A.feature_studies(v.cov, v.samples.select(F.col("rail_id").alias("sid"), "study"))
 
 
-@register(f"SELECT x.feature_id, study, samples_percent FROM {_STUDIES} x JOIN features f ON f.feature_id = x.feature_id WHERE samples_percent > 0 AND chrom = 'Brand#7' AND \"end\" >= 3000 AND start <= 5000 AND x.feature_id % 2 = 1")
+@register(f"SELECT x.feature_id, study, samples_percent FROM {_STUDIES} x JOIN features f ON f.feature_id = x.feature_id WHERE samples_percent > 0 AND chrom = 'Brand#7' AND \"end\" >= 3000 AND start <= 5000")
 def a13_studies_of(v):
     from spanlake.operators.predicates import overlaps
 
-    own = overlaps(v.features, "Brand#7", 3000, 5000).where("feature_id % 2 = 1")
+    own = overlaps(v.features, "Brand#7", 3000, 5000)
     return A.feature_studies(long(own), v.samples.select(F.col("rail_id").alias("sid"), "study")).select("feature_id", "study", "samples_percent")
 
 
-@register("SELECT * FROM (VALUES ('p_partkey', 'i'), ('p_name', 't'), ('p_brand', 't'), ('p_size', 'i'), ('p_retailprice', 'f'), ('mixed', 'f')) t(field, type)")
+@register(r"""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 3 = 0 THEN 'NA' ELSE CAST(p_retailprice AS VARCHAR) END AS mixed,
+CASE WHEN p_partkey % 2 = 0 THEN 'NA' ELSE ' ' END AS nothing, CASE p_partkey % 9 WHEN 0 THEN '1.5' WHEN 1 THEN 'x' WHEN 2 THEN 'y' ELSE '7' END AS beaten FROM part),
+u AS (FROM p UNPIVOT (value FOR field IN (p_partkey, p_name, p_brand, p_size, p_retailprice, mixed, nothing, beaten))),
+k AS (SELECT field, CASE WHEN regexp_full_match(value, '-?[0-9]+') THEN 'i' WHEN regexp_full_match(value, '-?[0-9]+\.?[0-9]+') OR contains(value, 'e+') THEN 'f' WHEN value = 'NA' OR trim(value) = '' THEN 'n' ELSE 't' END AS kind FROM u),
+n AS (SELECT field, count(*) FILTER (kind = 'i') AS i, count(*) FILTER (kind = 'f') AS f, count(*) FILTER (kind = 't') AS t FROM k GROUP BY 1),
+r AS (SELECT field, CASE WHEN f > 0 THEN 0 ELSE i END AS i, f, t, i + f + t = 0 AS empty FROM n) SELECT field, CASE WHEN empty THEN 'n' WHEN t >= greatest(i, f) THEN 't' WHEN f > i THEN 'f' ELSE 'i' END AS type FROM r""")
 def a14_infer_types(v):
     p = v.table("part").withColumn("mixed", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 0, "NA").otherwise(F.col("p_retailprice").cast("string")))
-    columns = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice", "mixed"]
+    k = F.col("p_partkey") % 9
+    p = p.withColumns({"nothing": F.when(F.col("p_partkey") % 2 == 0, "NA").otherwise(" "), "beaten": F.when(k == 0, "1.5").when(k == 1, "x").when(k == 2, "y").otherwise("7")})
+    columns = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice", "mixed", "nothing", "beaten"]
     return A.infer_types(p.select(*(F.col(c).cast("string").alias(c) for c in columns)), columns)
 
 
@@ -158,9 +165,10 @@ def a19_dense_ids(v):
     return A.dense_ids_of(v.samples, "tissue")
 
 
-@register("SELECT p_type, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1 ORDER BY n DESC, p_type")
+@register("SELECT p_type, count(*) AS n FROM part JOIN features ON feature_id = p_partkey WHERE annotated GROUP BY 1 ORDER BY n DESC, p_type")
 def a20_top_values(v):
-    return A.top_values(v.table("part").where("p_partkey % 4 <> 0"), "p_type")
+    flagged = v.features.where("annotated").select(F.col("feature_id").alias("p_partkey"))
+    return A.top_values(v.table("part").join(flagged, "p_partkey"), "p_type")
 
 
 @register("SELECT feature_id, length, count(*) AS samples_count, CAST(sum(cov) AS BIGINT) AS coverage_sum, CAST(median(cov) AS DOUBLE) AS coverage_median FROM (SELECT c.feature_id, length, cov FROM cov c JOIN features f ON f.feature_id = c.feature_id WHERE sid % 3 <> 0) GROUP BY 1, 2")
@@ -175,9 +183,10 @@ def a22_chrom_ranges(v):
     return I.chrom_ranges(v.features, 1000)
 
 
-@register('SELECT chrom, start, "end", ' + ", ".join(f"round(coalesce(sum(value) FILTER (sid = {s}), 0e0), 1) AS s{s}" for s in (1, 2, 3)) + " FROM bases WHERE sid IN (1, 2, 3) GROUP BY ALL")
+@register('SELECT chrom, start, "end", string_agg(CAST(x AS VARCHAR), \',\' ORDER BY s) AS row FROM (SELECT b.chrom, b.start, b."end", s.sid AS s, CAST(coalesce(v.value, 0) AS BIGINT) AS x FROM (SELECT DISTINCT chrom, start, "end" FROM bases) b CROSS JOIN (SELECT DISTINCT sid FROM bases) s LEFT JOIN bases v ON v.chrom = b.chrom AND v.start = b.start AND v.sid = s.sid) GROUP BY 1, 2, 3')
 def a23_coverage_matrix(v):
-    return A.coverage_matrix(v.bases.where("sid in (1, 2, 3)"), [1, 2, 3])
+    sids = sorted(r.sid for r in v.bases.select("sid").distinct().collect())  # the matrix's columns
+    return A.coverage_matrix(v.bases, sids).select("chrom", "start", "end", F.array_join(F.array(*(F.col(f"s{s}").cast("long").cast("string") for s in sids)), ",").alias("row"))
 
 
 _AUC = "(SELECT sid AS a_sid, CASE WHEN sid = 5 THEN 0e0 ELSE CAST(sum(cov) AS DOUBLE) END AS auc FROM cov GROUP BY 1)"
@@ -207,9 +216,9 @@ def n3_restat_nonzero(v):
     return A.restat_nonzero(_norm(v))
 
 
-@register(f"SELECT feature_id, sid, norm FROM {_NORM} WHERE sid % 50 = 5 AND feature_id IN (SELECT feature_id FROM {_NORM} WHERE sid % 50 = 5 AND norm > 0)")
+@register(f"SELECT feature_id, sid, norm FROM {_NORM} WHERE feature_id IN (SELECT feature_id FROM {_NORM} WHERE norm > 0)")
 def n4_skip_zero_rows(v):
-    return A.skip_zero_rows(_norm(v).where("sid % 50 = 5")).select("feature_id", "sid", "norm")
+    return A.skip_zero_rows(_norm(v)).select("feature_id", "sid", "norm")
 
 
 @register("SELECT rail_id AS sid, balance AS auc FROM samples WHERE balance > 0")
@@ -227,9 +236,9 @@ def w1_assign_ids(v):
     return I.dense_ids(v.features.select("feature_id", "chrom", "start"), ["feature_id"], width=1000).select("feature_id", "id")
 
 
-@register('SELECT chrom, reach AS gap_start, start AS gap_end, start - reach + 1 AS gap FROM (SELECT chrom, start, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT * FROM features WHERE feature_id % 7 = 0)) WHERE start > reach')
+@register('SELECT chrom, reach AS gap_start, start AS gap_end, start - reach + 1 AS gap FROM (SELECT chrom, start, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons) WHERE start > reach')
 def w2_gaps(v):
-    return I.gaps(v.features.where("feature_id % 7 = 0")).orderBy(F.desc("gap"), "chrom", "gap_start")
+    return I.gaps(v.exons, width=1000).orderBy(F.desc("gap"), "chrom", "gap_start")
 
 
 @register("SELECT i AS id FROM (SELECT unnest(range(min(doc_id), max(doc_id))) AS i FROM labels) WHERE i NOT IN (SELECT doc_id FROM labels)")
@@ -240,7 +249,7 @@ def w3_missing_ids(v):
 @register("""SELECT chrom, min(start) AS start, arg_max("end", start) AS "end", any_value(value) AS value, count(*) AS n_rows FROM (SELECT *, sum(c) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING) AS run
  FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY chrom ORDER BY start) THEN 0 ELSE 1 END AS c FROM depth)) GROUP BY chrom, run""")
 def w4_collapse_ranges(v):
-    return I.collapse_ranges(v.depth, "value")
+    return I.collapse_ranges(v.depth, "value", width=50)
 
 
 @register("SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM lineitem) WHERE l_shipdate < p")
@@ -265,7 +274,7 @@ def w8_top_novel(v):
 
 @register("SELECT chrom, strand, count(*) AS n, CAST(sum(coverage_sum) AS BIGINT) AS total FROM features GROUP BY 1, 2 ORDER BY n DESC, total DESC, chrom, strand")
 def w9_report(v):
-    return v.features.groupBy("chrom", "strand").agg(F.count("*").alias("n"), F.sum("coverage_sum").alias("total")).orderBy(F.desc("n"), F.desc("total"), "chrom", "strand")
+    return A.report(v.features, ["chrom", "strand"], {"n": F.count("*"), "total": F.sum("coverage_sum")})
 
 
 @register("SELECT feature_id, coverage_sum FROM features ORDER BY coverage_sum, feature_id")
@@ -275,6 +284,5 @@ def w10_sorted_by(v):
 
 @register("SELECT feature_id, string_agg(study, ',' ORDER BY n DESC, c DESC, study) AS studies FROM (SELECT feature_id, study, count(*) AS n, sum(cov) AS c FROM cov JOIN samples ON rail_id = sid GROUP BY 1, 2) GROUP BY 1")
 def w11_inner_sort(v):
-    sums = v.cov.join(v.samples.select(F.col("rail_id").alias("sid"), "study"), "sid").groupBy("feature_id", "study").agg(F.count("*").alias("n"), F.sum("cov").alias("c"))
-    lists = sums.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("c")).alias("c"), "study"))).alias("l"))
-    return lists.select("feature_id", F.array_join(F.transform("l", lambda x: x["study"]), ",").alias("studies"))
+    ordered = A.studies_in_order(v.cov, v.samples.select(F.col("rail_id").alias("sid"), "study"))
+    return ordered.select("feature_id", F.array_join("studies", ",").alias("studies"))

@@ -22,20 +22,20 @@ _BOTH = "(SELECT p.pair, l.sid, l.cov AS lc, r.cov AS rc FROM pairs p JOIN cov l
 
 @register(f"""WITH s AS (SELECT pair, count(*) AS n, CAST(sum(lc) AS BIGINT) AS lsum, CAST(sum(rc) AS BIGINT) AS rsum, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS shared FROM {_BOTH} GROUP BY 1),
 m AS (SELECT pair, median(c) AS med FROM (SELECT pair, lc AS c FROM {_BOTH} UNION ALL SELECT pair, rc FROM {_BOTH}) GROUP BY 1)
-SELECT p.pair, coalesce(n, 0) AS n_shared, coalesce(shared, '') AS shared, coalesce(n, 0) / CAST(l.samples_count AS DOUBLE) AS left_ratio, coalesce(n, 0) / CAST(r.samples_count AS DOUBLE) AS right_ratio, coalesce(lsum + rsum, 0) AS shared_sum, coalesce(lsum, 0) AS left_sum, coalesce(rsum, 0) AS right_sum,
+SELECT p.pair, coalesce(n, 0) AS n_shared, coalesce(shared, '') AS shared, coalesce(coalesce(n, 0) / CAST(nullif(l.samples_count, 0) AS DOUBLE), 0e0) AS left_ratio, coalesce(coalesce(n, 0) / CAST(nullif(r.samples_count, 0) AS DOUBLE), 0e0) AS right_ratio, coalesce(lsum + rsum, 0) AS shared_sum, coalesce(lsum, 0) AS left_sum, coalesce(rsum, 0) AS right_sum,
 coalesce((lsum + rsum) / (2e0 * n), -1e0) AS shared_avg, coalesce(CAST(med AS DOUBLE), -1e0) AS shared_median, l.samples_count - coalesce(n, 0) AS n_left_only, r.samples_count - coalesce(n, 0) AS n_right_only
-FROM pairs p JOIN features l ON l.feature_id = left_id JOIN features r ON r.feature_id = right_id LEFT JOIN s ON s.pair = p.pair LEFT JOIN m ON m.pair = p.pair WHERE l.samples_count > 0 AND r.samples_count > 0""")
+FROM pairs p JOIN features l ON l.feature_id = left_id JOIN features r ON r.feature_id = right_id LEFT JOIN s ON s.pair = p.pair LEFT JOIN m ON m.pair = p.pair""")
 def x1_shared_samples(v):
-    out = X.shared_samples(_lists(v).where((F.size("left") > 0) & (F.size("right") > 0)))
+    out = X.shared_samples(_lists(v))
     return out.select("pair", "n_shared", F.array_join(F.transform("shared", lambda s: s.cast("string")), ",").alias("shared"), "left_ratio", "right_ratio", "shared_sum", "left_sum", "right_sum", "shared_avg", "shared_median", F.size("left_only").cast("long").alias("n_left_only"), F.size("right_only").cast("long").alias("n_right_only"))
 
 
-_FLANK = "(SELECT chrom AS gene, strand, sid, sum(cov) AS c FROM cov k JOIN features f ON f.feature_id = k.feature_id WHERE f.feature_id % 8 = 0 OR f.feature_id % 8 = 1 GROUP BY 1, 2, 3)"
+_FLANK = "(SELECT chrom AS gene, strand, sid, sum(cov) AS c FROM cov k JOIN features f ON f.feature_id = k.feature_id GROUP BY 1, 2, 3)"
 
 
 @register(f"SELECT l.gene, count(*) AS n_shared, CAST(sum(l.c * r.c) AS BIGINT) AS products, CAST(sum(least(l.c, r.c)) AS BIGINT) AS minima, avg(least(l.c, r.c)) AS mean, CAST(median(CAST(least(l.c, r.c) AS BIGINT)) AS DOUBLE) AS median FROM {_FLANK} l JOIN {_FLANK} r ON l.gene = r.gene AND l.sid = r.sid AND l.strand = '+' AND r.strand = '-' GROUP BY 1")
 def x2_all_shared(v):
-    own = v.cov.join(v.features.where("feature_id % 8 < 2").select("feature_id", F.col("chrom").alias("gene"), "strand"), "feature_id")
+    own = v.cov.join(v.features.select("feature_id", F.col("chrom").alias("gene"), "strand"), "feature_id")
     return X.all_shared(own.where("strand = '+'"), own.where("strand = '-'"))
 
 
@@ -50,9 +50,9 @@ def x4_tissue_breakdown(v):
     return X.tissue_breakdown(v.cov, v.samples.select(F.col("rail_id").alias("sid"), "tissue"))
 
 
-@register("SELECT p_partkey AS feature_id, coalesce(avg(cov), -1e0) AS mean, coalesce(CAST(median(cov) AS DOUBLE), -1e0) AS median FROM part LEFT JOIN (SELECT * FROM cov WHERE sid % 10 = 3) c ON feature_id = p_partkey GROUP BY 1")
+@register("SELECT p_partkey AS feature_id, coalesce(avg(cov), -1e0) AS mean, coalesce(CAST(median(cov) AS DOUBLE), -1e0) AS median FROM part LEFT JOIN (SELECT * FROM cov WHERE cov > 40) c ON feature_id = p_partkey GROUP BY 1")
 def x5_avg_median(v):
-    return X.avg_median(v.cov.where("sid % 10 = 3"), v.table("part").select(F.col("p_partkey").alias("feature_id")), "feature_id", "cov")
+    return X.avg_median(v.cov.where("cov > 40"), v.table("part").select(F.col("p_partkey").alias("feature_id")), "feature_id", "cov")
 
 
 @register(f"""WITH s AS (SELECT * FROM pairs WHERE pair IN (SELECT pair FROM {_BOTH})) SELECT pair, chrom, 'B' AS "group", left_start AS start, left_end AS "end" FROM s UNION ALL SELECT pair, chrom, 'B', right_start, right_end FROM s UNION ALL SELECT pair, chrom, 'A', left_start, right_end FROM s""")

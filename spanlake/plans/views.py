@@ -24,8 +24,8 @@ SQL = {
  o_orderstatus AS source, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM orders WHERE o_orderkey % 3 <> 0""",
     "repeats": """SELECT o_orderkey AS rep, concat('Brand#', 1 + o_custkey % 25) AS chrom, (o_orderkey * 11) % 10000 + 1 AS start, (o_orderkey * 11) % 10000 + 1 + o_orderkey % 60 AS "end",
  o_orderpriority AS class, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM orders WHERE o_orderkey % 3 = 0""",
-    "tx_exons": """SELECT l_partkey % 400 AS tx, (l_partkey % 400) // 2 AS gene, concat('Brand#', 1 + (l_partkey % 400) % 25) AS chrom, (l_partkey % 400) * 20 + (l_suppkey * 13 + l_linenumber * 29) % 1500 + 1 AS start,
- (l_partkey % 400) * 20 + (l_suppkey * 13 + l_linenumber * 29) % 1500 + 1 + CAST(l_quantity AS BIGINT) AS "end", l_returnflag AS source, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem WHERE l_orderkey % 20 = 0""",
+    "tx_exons": """SELECT l_partkey AS tx, l_partkey // 2 AS gene, concat('Brand#', 1 + l_partkey % 25) AS chrom, (l_partkey % 400) * 20 + (l_suppkey * 13 + l_linenumber * 29) % 1500 + 1 AS start,
+ (l_partkey % 400) * 20 + (l_suppkey * 13 + l_linenumber * 29) % 1500 + 1 + CAST(l_quantity AS BIGINT) AS "end", l_returnflag AS source, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM lineitem""",
     "bases": """SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS start, CAST(floor(epoch(ts)) AS BIGINT) // 3600 + 1 AS "end", user_id AS sid, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3, 4""",
     "depth": """SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS start, CAST(floor(epoch(ts)) AS BIGINT) // 3600 + 1 AS "end", count(*) AS value FROM events GROUP BY 1, 2, 3""",
     "texts": "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
@@ -112,9 +112,9 @@ class Views:
 
     @property
     def tx_exons(self) -> DataFrame:
-        tx = F.col("l_partkey") % 400
-        start = tx * 20 + (F.col("l_suppkey") * 13 + F.col("l_linenumber") * 29) % 1500 + 1
-        return self.table("lineitem").where("l_orderkey % 20 = 0").select(tx.alias("tx"), F.floor(tx / 2).alias("gene"), F.concat(F.lit("Brand#"), (1 + tx % 25).cast("string")).alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.col("l_returnflag").alias("source"), F.when(F.col("l_partkey") % 2 == 0, "+").otherwise("-").alias("strand"))
+        tx = F.col("l_partkey")
+        start = tx % 400 * 20 + (F.col("l_suppkey") * 13 + F.col("l_linenumber") * 29) % 1500 + 1
+        return self.table("lineitem").select(tx.alias("tx"), F.floor(tx / 2).alias("gene"), F.concat(F.lit("Brand#"), (1 + tx % 25).cast("string")).alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.col("l_returnflag").alias("source"), F.when(F.col("l_partkey") % 2 == 0, "+").otherwise("-").alias("strand"))
 
     def _hours(self) -> DataFrame:
         hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)

@@ -165,11 +165,11 @@ def matrix_market(df: DataFrame, order: DataFrame, keep: DataFrame | None = None
 
 
 def write_matrix_market(df: DataFrame, path: str, order: DataFrame, keep: DataFrame | None = None) -> None:
-    """Folders `header` and `body` of text, which together make the file."""
+    """A folder of text whose part files, one after the other in order of their names, are the file: header, sizes, then entries by row and column."""
     triples, dims = matrix_market(df, order, keep)
-    head = dims.select(F.concat(F.lit("%%MatrixMarket matrix coordinate integer general\n"), F.concat_ws(" ", "n_rows", "n_columns", "n_values")).alias("line"))
-    head.write.text(f"{path}/header")
-    triples.select(F.concat_ws(" ", "row", "column", "value").alias("line")).write.text(f"{path}/body")
+    head = dims.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("column"), F.concat(F.lit("%%MatrixMarket matrix coordinate integer general\n"), F.concat_ws(" ", "n_rows", "n_columns", "n_values")).alias("line"))
+    lines = head.unionByName(triples.select(F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), F.concat_ws(" ", "row", "column", "value").alias("line")))
+    lines.orderBy("row", "column").select("line").write.text(path)
 
 
 def registry(datasets: dict[str, DataFrame]) -> DataFrame:
@@ -182,8 +182,9 @@ def registry(datasets: dict[str, DataFrame]) -> DataFrame:
 
 
 def fields_table(df: DataFrame) -> DataFrame:
-    """Ordinal, name and type of the columns."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "ordinal long, field string, type string")
+    """Ordinal, name and type of the columns, and how many rows have a value in each."""
+    rows = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "ordinal long, field string, type string")
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns)).unpivot([], df.columns, "field", "n_values")
+    return rows.join(counts, "field").select("ordinal", "field", "type", "n_values")
 
 

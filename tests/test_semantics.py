@@ -115,7 +115,10 @@ def test_introns_count_backwards_on_minus(spark):
 
 def test_types(spark):
     df = spark.createDataFrame([("1", "1", "x", None), ("2", "2.5", "1", "NA"), ("", None, "y", "")], "a string, b string, c string, d string")
-    assert {r.field: r.type for r in stats.infer_types(df, df.columns).collect()} == {"a": "i", "b": "f", "c": "t", "d": "t"}
+    assert {r.field: r.type for r in stats.infer_types(df, df.columns).collect()} == {"a": "i", "b": "f", "c": "t", "d": "n"}
+    many = spark.createDataFrame([(str(i),) for i in range(10)] + [("1.5",), ("x",), ("y",)], "a string")
+    assert [r.type for r in stats.infer_types(many, ["a"]).collect()] == ["t"]  # integers are out once there is a fraction
+    assert [r.type for r in stats.infer_types(many.limit(0), ["a"]).collect()] == ["n"]
 
 
 def test_half_even_normalisation(spark):
@@ -159,3 +162,169 @@ def test_dense_ids_have_no_holes(spark):
 def test_multiset_diff(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "x long") for xs in ([1, 1, 2], [1, 2, 3]))
     assert sorted(tuple(r) for r in quality.diff(a, b).collect()) == [(1, "first"), (3, "second")]
+
+
+# rules that were wrong once
+
+
+def test_group_means_count_members_without_entries(spark):
+    e = spark.createDataFrame([("g", 1, 100), ("h", 9, 5), ("k", 3, 2)], "gene string, sid long, cov long")
+    groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "sid long, `group` string")
+    got = {r.gene: (r.a, r.b, r.c) for r in stats.group_means(e, groups, ["a", "b", "c"]).collect()}
+    assert got == {"g": (3.9, 0.0, 0.0), "h": (0.0, 0.0, 0.0), "k": (0.0, 0.7, 0.0)}
+
+
+def test_top_transcripts_of_each_span(spark):
+    tx = spark.createDataFrame([("t1", "c1", 5, 20, 3, False), ("t2", "c2", 5, 20, 4, False), ("t3", "c2", 6, 20, 9, False), ("t4", "c2", 90, 95, 1, True)], "tx string, chrom string, start long, end long, n_exons long, coding boolean")
+    spans = spark.createDataFrame([("g", "c1", 1, 30), ("g", "c2", 1, 30), ("g", "c2", 1, 99)], "gene string, b_chrom string, b_start long, b_end long")
+    got = sorted((r.b_chrom, r.b_end, r.tx) for r in genes.top_transcripts(tx, spans, 1).collect())
+    assert got == [("c1", 30, "t1"), ("c2", 30, "t3"), ("c2", 99, "t4")]
+
+
+def plain_rank_sum(rows):
+    rows = [(v, g) for v, g in rows if v is not None and v == v and g in (0, 1)]
+    ones, zeros = [v for v, g in rows if g], [v for v, g in rows if not g]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros), len(ones), len(zeros)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1.0, 1), (0.0, 0)],
+        [(None, 1), (1.0, 1), (0.0, 0), (None, 0), (5.0, None), (2.0, 7), (float("nan"), 1)],
+        [(float(i * 7919 % 400), i % 2) for i in range(900)],
+        [(3.0, i % 2) for i in range(9)],
+        [(1.0, 1), (2.0, 1)],
+        [(1.0, 0)],
+        [],
+    ],
+)
+def test_rank_sum(spark, rows):
+    r = flank.rank_sum(spark.createDataFrame(rows, "v double, g int"), "v", "g").collect()
+    w, n1, n0 = plain_rank_sum(rows)
+    assert len(r) == 1 and (r[0].n1, r[0].n0) == (n1, n0) and r[0].w == (w if n1 + n0 else None)
+    values = {v for v, g in rows if v is not None and v == v and g in (0, 1)}
+    assert (r[0].z is None) == (not n1 or not n0 or len(values) < 2)
+
+
+def test_rows_that_share_a_key_keep_their_lists(spark, monkeypatch):
+    df = stats.feature_stats(spark.createDataFrame([(7, "a", ",1:1,2:9"), (7, "b", ",1:2,3:9"), (7, "b", ",1:2,3:9"), (None, "c", ",1:5"), (8, "d", ",3:1"), (9, "e", "")], "feature_id long, n string, text string").withColumn("samples", decode_samples("text")))
+    want = sorted((str(r.feature_id), r.n, r.samples_count, r.coverage_sum) for r in predicates.restrict_samples(df, [1, 2]).collect())
+    assert want == [("7", "a", 2, 10), ("7", "b", 1, 2), ("7", "b", 1, 2), ("None", "c", 1, 5)]
+    monkeypatch.setattr(predicates, "LITERAL_SIDS", 1)
+    for sids in ([1, 2, 2], spark.createDataFrame([(1,), (2,), (2,), (None,)], "sid long")):
+        got = predicates.restrict_samples(df, sids)
+        assert sorted((str(r.feature_id), r.n, r.samples_count, r.coverage_sum) for r in got.collect()) == want and got.columns == df.columns
+    assert predicates.restrict_samples(df, spark.createDataFrame([], "sid long")).count() == 0
+
+
+def test_equal_junctions_keep_their_motifs(spark):
+    seq = spark.createDataFrame([("c", "GTAAAG" * 5)], "chrom string, seq string")
+    jx = spark.createDataFrame([("c", 1, 6), ("c", 1, 6), ("d", 1, 6), ("c", 30, 31)], "chrom string, start long, end long")
+    got = sorted((r.chrom, r.start, r.left_motif, r.right_motif) for r in genes.motifs(jx, seq, 4).collect())
+    assert got == [("c", 1, "GT", "AG"), ("c", 1, "GT", "AG"), ("c", 30, "GN", "GN"), ("d", 1, "NN", "NN")]
+
+
+def test_holes_of_any_size(spark):
+    df = spark.createDataFrame([(1,), (5,), (5,), (5 + 3 * 10**9,)], "k long")
+    got = intervals.missing_ids(df, "k")
+    assert [r.id for r in got.where("id < 8").orderBy("id").collect()] == [2, 3, 4, 6, 7]
+    assert intervals.missing_ids(df.where("k = 1"), "k").count() == 0
+    some = spark.createDataFrame([(0,), (2_500_003,)], "k long")
+    assert intervals.missing_ids(some, "k").agg(F.count("*"), F.min("id"), F.max("id"), F.countDistinct("id")).first()[:] == (2_500_002, 1, 2_500_002, 2_500_002)
+
+
+def test_regions_may_share_column_names(spark):
+    df = spark.createDataFrame([(1, "c", 5, 9, "m"), (2, "c", 1, 99, "m")], "feature_id long, chrom string, start long, end long, mode string")
+    regions = spark.createDataFrame([("c", 5, 9, "exact", 3)], "b_chrom string, b_start long, b_end long, mode string, feature_id long")
+    assert [(r.feature_id, r.mode, r.b_mode, r.b_feature_id) for r in predicates.in_regions(df, regions, "mode").collect()] == [(1, "m", "exact", 3)]
+
+
+def test_nothing_divides_by_zero(spark):
+    pairs = spark.createDataFrame([(1, [], [(1, 5)]), (2, [(1, 2)], [(1, 4), (2, 1)]), (3, [], [])], "pair long, left array<struct<sid:long,cov:long>>, right array<struct<sid:long,cov:long>>")
+    got = {r.pair: (r.n_shared, r.left_ratio, r.right_ratio, r.shared_avg) for r in flank.shared_samples(pairs).collect()}
+    assert got == {1: (0, 0.0, 0.0, -1.0), 2: (1, 1.0, 0.5, 3.0), 3: (0, 0.0, 0.0, -1.0)}
+    e = spark.createDataFrame([(1, 1, 0), (1, 2, 4), (2, 2, 0)], "feature_id long, sid long, cov long")
+    assert {(r.feature_id, r.sid): r.norm for r in stats.normalise_jxcov(e).collect()} == {(1, 1): 0, (1, 2): 2, (2, 2): 0}
+    studies = spark.createDataFrame([(1, "s"), (2, "t")], "sid long, study string")
+    assert {(r.feature_id, r.study): r.coverage_percent for r in stats.feature_studies(e, studies).collect()} == {(1, "s"): 0, (1, "t"): 100, (2, "t"): 0}
+    bases = spark.createDataFrame([("c", 5, 5, 1, 3.0), ("c", 5, 7, 1, 3.0)], "chrom string, start long, end long, sid long, value double")
+    assert {r.end: r.per_base for r in stats.bases_summary(bases).collect()} == {5: None, 7: 1.5}
+
+
+def test_null_lists_and_coverages(spark):
+    df = spark.createDataFrame([(1, None), (2, [(1, None), (2, 4), (3, 6)]), (3, [(1, None)])], "k long, samples array<struct<sid:long,cov:long>>")
+    got = {r.k: (r.samples_count, r.coverage_sum, r.coverage_avg, r.coverage_median) for r in stats.feature_stats(df).collect()}
+    assert got == {1: (0, 0, 0.0, 0.0), 2: (2, 10, 5.0, 5.0), 3: (0, 0, 0.0, 0.0)}
+
+
+PLACES = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400), st.integers(0, 90), st.integers(0, 2)), max_size=25)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(PLACES, PLACES)
+def test_overlaps_at_every_length(spark, xs, ys):
+    a = spark.createDataFrame([(i, c, s, s + n * (n if n % 7 == 0 else 1)) for i, (c, s, n, _) in enumerate(xs)], "i long, chrom string, start long, end long")
+    b = spark.createDataFrame([(j, c, s, s + n) for j, (c, s, n, _) in enumerate(ys)], "j long, b_chrom string, b_start long, b_end long")
+    want = sorted((i, j) for i, (c, s, n, _) in enumerate(xs) for j, (d, t, m, _) in enumerate(ys) if c == d and s <= t + m and s + n * (n if n % 7 == 0 else 1) >= t)
+    assert sorted((r.i, r.j) for r in intervals.overlap_join(a, b, 3).collect()) == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(PLACES)
+def test_stretches_change_nothing(spark, xs):
+    df = spark.createDataFrame([(c, s, s + n, v) for c, s, n, v in xs], "chrom string, start long, end long, value long")
+    for f in (lambda w: intervals.gaps(df, width=w), lambda w: intervals.collapse_ranges(df, "value", width=w)):
+        assert sorted(tuple(r) for r in f(7).collect()) == sorted(tuple(r) for r in f(1 << 20).collect())
+    runs = sorted((c, s, s + n, v) for c, s, n, v in xs)
+    assert sum(1 for i, x in enumerate(runs) if not i or runs[i - 1][0] != x[0] or runs[i - 1][3] != x[3]) == intervals.collapse_ranges(df, "value", width=7).count()
+
+
+def test_bulk_queries_with_their_own_filters(spark):
+    df = stats.feature_stats(
+        spark.createDataFrame([(i, "c", i * 10, i * 10 + (5000 if i == 3 else 15), 16, "+-"[i % 2], i % 3 == 0, ["x"] if i % 2 else [], [], f",1:{i},2:{i * i},3:1") for i in range(1, 12)] + [(3, "c", 30, 5030, 16, "-", True, ["x"], [], ",1:3,2:9,3:1")], "feature_id long, chrom string, start long, end long, length long, strand string, annotated boolean, left_sources array<string>, right_sources array<string>, text string")
+        .withColumn("samples", decode_samples("text")).drop("text")
+    )
+    asked = [("a", "c", 1, 60, None, None, None, None, None), ("b", "c", 1, 6000, [1, 3], [("coverage_sum", ">", 4.0), ("samples_count", "=", 2.0)], None, None, None), ("c", "c", 1, 6000, None, [("length", "!=", 16.0)], None, None, None), ("d", "c", 1, 6000, None, None, True, "-", True), ("e", "c", 1, 6000, [], None, None, None, None), ("f", "c", 1, 6000, None, [("nosuch", "=", 1.0)], None, None, None), ("a", "c", 1, 60, None, None, None, None, None)]
+    queries = spark.createDataFrame(asked, "label string, b_chrom string, b_start long, b_end long, sids array<long>, filters array<struct<field:string,op:string,value:double>>, annotated_wanted boolean, strand_wanted string, left_wanted boolean")
+    got = sorted((r.label, r.feature_id, r.samples_count, r.coverage_sum) for r in predicates.bulk_query(df, queries).collect())
+    rows = [(i, i * 10, i * 10 + (5000 if i == 3 else 15), "+-"[i % 2], i % 3 == 0, i % 2 == 1) for i in range(1, 12)] + [(3, 30, 5030, "-", True, True)]
+    want = []
+    for q in asked:
+        for i, s, e, strand, known, left in rows:
+            cov = {1: i, 2: i * i, 3: 1}
+            kept = cov if q[4] is None else {k: v for k, v in cov.items() if k in q[4]}
+            if s <= q[3] and e >= q[2] and (kept or q[4] is None) and (q[6] is None or known == q[6]) and (q[7] is None or strand == q[7]) and (q[8] is None or left == q[8]):
+                values = {"coverage_sum": sum(kept.values()), "samples_count": len(kept), "length": 16}
+                if all(f in values and {"=": values[f] == x, ">": values[f] > x, "!=": values[f] != x}[op] for f, op, x in q[5] or ()):
+                    want.append((q[0], i, len(kept), sum(kept.values())))
+    assert got == sorted(want)
+
+
+def test_dense_ids_of_values(spark):
+    df = spark.createDataFrame([(None if i % 50 == 0 else f"v{i % 37:03}",) for i in range(500)], "x string")
+    got = stats.dense_ids_of(df, "x").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(38)) and got[0].x is None and [r.x for r in got[1:]] == sorted(r.x for r in got[1:]) and sum(r.n for r in got) == 500
+    assert stats.dense_ids_of(df.limit(0), "x").count() == 0
+
+
+def test_base_queries(spark):
+    bases = spark.createDataFrame([("c", 9, 10, 1, 2.0), ("c", 10, 11, 1, 4.0), ("c", 10, 11, 2, 6.0), ("c", 19, 20, 3, 1.0), ("c", 20, 21, 1, 9.0), ("d", 10, 11, 1, 1.0)], "chrom string, start long, end long, sid long, value double")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(stats.base_query(bases, ("c", 11, 20))) == [("c", 10, 11, 1, 4.0), ("c", 10, 11, 2, 6.0), ("c", 19, 20, 3, 1.0)]
+    assert rows(stats.base_query(bases, ("c", 11, 20), [1, 2, 9], "mean").select("start", "value")) == [(10, 10 / 3)]
+    assert rows(stats.base_query(bases, ("c", 11, 20), spark.createDataFrame([(1,), (1,), (3,)], "s long"), "mean", label="L")) == [("c", 10, 11, 2.0, "L"), ("c", 19, 20, 0.5, "L")]
+    assert rows(stats.base_query(bases, ("c", 11, 20), None, "mean", "sample")) == [("c:11-20", 1, 2.0), ("c:11-20", 2, 3.0), ("c:11-20", 3, 0.5)]
+    assert rows(stats.base_columns(bases, [2], {"g": [1, 3]}).where("chrom = 'c' and start < 20")) == [("c", 9, 10, 0.0, 2.0, 0.0), ("c", 10, 11, 6.0, 4.0, 0.0), ("c", 19, 20, 0.0, 0.0, 1.0)]
+    with pytest.raises(ValueError):
+        stats.base_query(bases, ("c", 1, 2), None, "mean")
+
+
+def test_matrix_market_is_one_file_in_parts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"c{i % 3}", i * 5, f",{i % 4}:{i},9:1") for i in range(1, 40)], "feature_id long, chrom string, start long, text string").withColumn("samples", decode_samples("text"))
+    order = spark.createDataFrame([(s, k) for k, s in enumerate((0, 1, 2, 3, 9), 1)], "sid long, column long")
+    sources.write_matrix_market(df, str(tmp_path / "m"), order)
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "m").glob("part-*"))).splitlines()
+    assert lines[0].startswith("%%MatrixMarket") and lines[1] == f"39 5 {len(lines) - 2}" and len(lines) == 80
+    places = [tuple(map(int, x.split()[:2])) for x in lines[2:]]
+    assert places == sorted(places)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the size of the numpy arrays, not the length of a text.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
 #: Column that numbers the rows of a written table.
 ROW = "__spanlake_row"
 
@@ -23,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets one of its own;
+    on a cluster that is an error, since executors don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -75,6 +81,40 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         first = last
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+    """The offsets, with more between them where a text is longer than `most` bytes: each before a white-space character (space, \\n or \\t), if there is one."""
+    long = np.flatnonzero(np.diff(offsets) > most)
+    cuts = [offsets]
+    for k in long.tolist():
+        a, b = int(offsets[k]), int(offsets[k + 1])
+        while b - a > most:
+            part = data[a + 1 : a + most]
+            gap = np.flatnonzero((part == 32) | (part == 10) | (part == 9))
+            if not len(gap):
+                step = 1 << 20
+                a += most
+                while a < b and not len(gap):  # a word longer than a stretch stays whole
+                    gap = np.flatnonzero((data[a : min(a + step, b)] == 32) | (data[a : min(a + step, b)] == 10))
+                    a += int(gap[0]) if len(gap) else step
+                if not len(gap):
+                    break
+            else:
+                a += 1 + int(gap[-1])
+            cuts.append(np.array([a]))
+    return np.sort(np.concatenate(cuts)) if len(cuts) > 1 else offsets
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Have Spark pass texts to Python workers in Arrow batches of at most so many bytes, so that a task's memory doesn't follow the length of texts.
+
+    Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session, which is read when a query starts; a lower setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of `values` along the first axis; empty runs give 0."""
     out = np.zeros((len(lengths), *values.shape[1:]), np.float64)
@@ -100,4 +140,5 @@ def kept_rows(docs: DataFrame, verdict) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(judge(*utf8(b.column(at))), pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, fold, kept_rows, sums, thinned, utf8
+from spanlake.llm.common import chunks, fold, kept_rows, small_batches, sums, thinned, utf8
 
 #: Bounds of the labelled sample that the trees are counted on.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 32_768
@@ -137,6 +137,7 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", key: str = "doc_i
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     own = docs.select(F.col(key).cast("long").alias("key"), F.when(letters, F.col(text)).alias("text"), letters.alias("letters"))
+    small_batches(docs.sparkSession)
     return own.mapInArrow(run, "key long, lang_pred string, score double, bits_per_byte double")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import utf8
+from spanlake.llm.common import small_batches, utf8
 
 #: The phrases every caller gets, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -190,4 +190,5 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(SCHEMA)[1:]))], schema=SCHEMA)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DDL)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import ROW, stored, utf8
+from spanlake.llm.common import ROW, small_batches, stored, utf8
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, bits) of the blocks. By the pigeonhole principle some block differs in THRESHOLD // 3 = 1 bit at most.
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
             f = np.fromiter((fingerprint(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)), np.uint64, len(at) - 1)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(f.view(np.int64))], names=[*keys, "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 

@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fold, kept_rows, thinned, utf8
+from spanlake.llm.common import fold, kept_rows, small_batches, thinned, utf8
 
 #: Bounds of the labelled sample: rows of either class, and bytes of a text.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = {1: 1500, 0: 4000}, 32_768
@@ -169,6 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(shared.value, both, *utf8(b.column(1))))], schema=SCHEMA)
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, "key long, score double")
     out = scored.select(F.col("key").alias("doc_id"), (fold(F.col("key"), 4) == 2).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, stored, sums, utf8
+from spanlake.llm.common import chunks, small_batches, stored, sums, utf8
 
 #: Frequent function words of the languages at hand.
 FUNCTION_WORDS = frozenset(b"""the of and to in is that it for was on are as with be by this have from or
@@ -80,6 +80,7 @@ def count(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in columns)], schema=SCHEMA)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     return own.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 

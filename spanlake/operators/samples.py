@@ -91,9 +91,10 @@ def long(df: DataFrame, key: str = "feature_id", *more: str) -> DataFrame:
     return df.select(key, *more, F.explode("samples").alias("_e")).select(key, *more, "_e.sid", "_e.cov")
 
 
-def sample_index(df: DataFrame, key: str = "feature_id") -> DataFrame:
-    """sid and the sorted distinct keys of its features."""
-    return long(df, key).groupBy("sid").agg(F.array_sort(F.collect_set(key)).alias("ids"))
+def sample_index(df: DataFrame, key: str = "feature_id", width: int = 1 << 16) -> DataFrame:
+    """sid, bucket and the sorted distinct keys of the sample's features in that bucket of `width` keys, so that no list grows with the table. `sample_bitmaps`
+    keeps the same in bits."""
+    return long(df, key).groupBy("sid", F.floor(F.col(key) / width).alias("bucket")).agg(F.array_sort(F.collect_set(key)).alias("ids"))
 
 
 def features_of(df: DataFrame, sids: DataFrame, key: str = "feature_id") -> DataFrame:

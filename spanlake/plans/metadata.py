@@ -86,25 +86,25 @@ def m13_features_by_metadata(v):
     return P.restrict_samples(v.features.select("feature_id", "samples"), sids, stats="basic").drop("samples")
 
 
-@register("SELECT sid, string_agg(CAST(feature_id AS VARCHAR), ',' ORDER BY feature_id) AS ids FROM cov GROUP BY 1")
+@register("SELECT sid, feature_id // 256 AS bucket, string_agg(CAST(feature_id AS VARCHAR), ',' ORDER BY feature_id) AS ids FROM cov GROUP BY 1, 2")
 def m14_sample_index(v):
-    return S.sample_index(v.features).select("sid", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return S.sample_index(v.features, width=256).select("sid", "bucket", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%A'")
+@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%1'")
 def m15_features_of(v):
-    return S.features_of(v.features, v.samples.where("tissue like '%A'").select("rail_id"))
+    return S.features_of(v.features, v.samples.where("tissue like '%1'").select("rail_id"))
 
 
-@register("SELECT count(DISTINCT feature_id) AS n_features FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%A'")
+@register("SELECT count(DISTINCT feature_id) AS n_features FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%1'")
 def m15_bitmap_union(v):
-    return S.count_union(S.sample_bitmaps(v.features), v.samples.where("tissue like '%A'").select("rail_id"))
+    return S.count_union(S.sample_bitmaps(v.features), v.samples.where("tissue like '%1'").select("rail_id"))
 
 
-@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid JOIN part ON p_partkey = feature_id WHERE tissue LIKE '%A' AND p_type = 'ECONOMY'")
+@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid JOIN part ON p_partkey = feature_id WHERE tissue LIKE '%1' AND p_type = 'ECONOMY'")
 def m16_ids_and_samples(v):
     ids = v.table("part").where("p_type = 'ECONOMY'").select("p_partkey")
-    return P.by_ids(S.features_of(v.features, v.samples.where("tissue like '%A'").select("rail_id")), ids)
+    return P.by_ids(S.features_of(v.features, v.samples.where("tissue like '%1'").select("rail_id")), ids)
 
 
 @register("SELECT feature_id, string_agg(concat(',', sid + 1000, ':', cov), '' ORDER BY sid) AS samples FROM cov GROUP BY 1")

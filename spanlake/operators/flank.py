@@ -49,6 +49,21 @@ def sense_flags(pairs: DataFrame, strands: dict[str, str], key: str = "feature_i
     return out.withColumn("both_sense", every)
 
 
+def repeat_study(df: DataFrame, genes: DataFrame, exons: DataFrame, repeats: DataFrame, key: str = "feature_id", width: int = BIN) -> DataFrame:
+    """Junctions (key, chrom, start, end, strand) with both ends in one gene, one of them in an exon and the other in a repeat: key, gene_sense (some exon that is
+    hit has the junction's strand), repeat_sense (some repeat has), both_sense. genes: b_*, gene; exons and repeats: b_*, strand as exon_strand and
+    repeat_strand. An unknown strand agrees with none; equal rows of a key count as one junction.
+    """
+    own = df.select(key, "chrom", "start", "end", "strand")
+    inside = own.join(same_gene(own, genes, key, width).select(key), key, "left_semi")
+    flagged = one_end_in_exon(inside, exons.select("b_chrom", "b_start", "b_end"), key, width)
+    agrees = lambda strand, name: F.bool_or(F.coalesce(F.col(strand) == F.col("strand"), F.lit(False))).alias(name)
+    at_exon = flagged.withColumn("at", F.when(F.col("end_in"), F.col("end")).otherwise(F.col("start")))
+    in_exon = stab_join(at_exon, exons.select("b_chrom", "b_start", "b_end", "exon_strand"), "at", width).groupBy(key).agg(agrees("exon_strand", "gene_sense"))
+    in_repeat = end_in_repeat(flagged, repeats.select("b_chrom", "b_start", "b_end", "repeat_strand"), key, width).groupBy(key).agg(agrees("repeat_strand", "repeat_sense"))
+    return in_exon.join(in_repeat, key).withColumn("both_sense", F.col("gene_sense") & F.col("repeat_sense"))
+
+
 def rel_by_sample(entries: DataFrame, flags: DataFrame, key: str = "feature_id") -> DataFrame:
     """For each sample: flagged features, those of both, gene and repeat sense, and coverage."""
     both = entries.join(flags, key)

@@ -126,6 +126,12 @@ def a16_build_groups(v):
     return out.withColumn("sids", F.array_join(F.transform("sids", lambda x: x.cast("string")), ","))
 
 
+@register(f"SELECT {_CLEAN} AS \"group\", min(tissue) AS long_name, count(*) AS n, string_agg(CAST(rail_id AS VARCHAR), ',' ORDER BY rail_id) AS sids FROM samples WHERE rail_id % 3 = 1 GROUP BY 1")
+def a16_build_groups_of_first_replicates(v):
+    out = A.build_groups(v.samples, F.col("tissue"), run=F.concat_ws(".", "accession", (F.col("rail_id") % 3).cast("string")))
+    return out.withColumn("sids", F.array_join(F.transform("sids", lambda x: x.cast("string")), ","))
+
+
 @register("SELECT * FROM samples")
 def s21_all_samples(v):
     return v.samples.select("*")

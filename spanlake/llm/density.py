@@ -1,15 +1,16 @@
 """Main text of web pages by composite text density.
 
 The tree of a page is built without what can't be the article (menus, headers, footers, asides, forms, scripts, adverts,
-notices, comments). For each node that is left, characters per tag, adjusted for the share of links, give a density, and the children's
-densities a sum. The node with the largest sum marks the article; the least density on its path to the body is the threshold
-for further subtrees that belong to it.
+notices, comments). For each node that is left, characters per tag, adjusted for the share of links, give a density, and its blocks'
+densities a sum. The node with the largest sum is the article; the least density on its path to the body is the threshold
+for further subtrees that belong to it, and headings beside that path belong to it whatever their density. Parsing and choosing take time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import e, log
 
@@ -32,23 +33,34 @@ disqus footer foot header masthead menu modal nav navbar navigation newsletter n
 related recommended search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets login signup gdpr
 respond replies reply disclaimer alert skip""".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: A tag whose quoted values hold no < or >; others are read by `_Tags`.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?>[^<>"']+|"[^"<>]*"|'[^'<>]*')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"""[^>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
 _CUT = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
 #: Marks that are part of an article where they stand inside one, and endings that mark as whole words do.
 TITLES, ENDINGS = frozenset(("header", "masthead", "banner")), ("nav", "menu", "sidebar", "footer", "advert", "cookies", "comments")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+_ITEMS, _LISTS = frozenset("li dt dd tr td th option thead tbody".split()), frozenset("ul ol dl table select".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _SCOPE = frozenset("html body table td th ul ol dl article section div main aside blockquote form button nav header footer".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """inside: in an article or main element. p, item: the nearest open paragraph, and the nearest open part of a list or table, in scope."""
+
+    __slots__ = ("tag", "parent", "items", "drop", "inside", "p", "item", "chars", "tags", "link_chars", "link_tags", "density", "total", "block")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
         self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.p = self if tag == "p" else None if tag in _SCOPE or parent is None else parent.p
+        self.item = self if tag in _ITEMS else None if tag in _LISTS or parent is None else parent.item
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag not in INLINE
 
 
 def _unwanted(tag: str, attributes: str, node: Node) -> bool:
@@ -56,15 +68,13 @@ def _unwanted(tag: str, attributes: str, node: Node) -> bool:
         return False
     if tag in DROPPED:
         return True
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if tag == "header" and node is None:
+    if tag == "header" and not node.inside:
         return True
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = {w.lower() for w in _CUT.split(value) if w}
-            if node is not None:
+            if node.inside:
                 words -= TITLES
             if words & MARKS or any(w.endswith(ENDINGS) for w in words):
                 if tag != "article" or any("comment" in w for w in words):
@@ -75,52 +85,122 @@ def _unwanted(tag: str, attributes: str, node: Node) -> bool:
     return False
 
 
+class _Tags:
+    """Finds tags and the ends of raw elements. What isn't found once isn't looked for again further on, so no part of a page is read more than twice."""
+
+    def __init__(self, page: str):
+        self.page, self.none, self.quotes = page, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def tag(self, at: int):
+        """(closing, tag, attributes, end) of what begins with the < at `at`; tag None for comments and declarations; None if it's text."""
+        if m := _TAG.match(self.page, at):
+            return m[1], m[2], m[3], m.end()
+        if self.page.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return "", None, "", end + 3 if end >= 0 else len(self.page)
+        m = _NAME.match(self.page, at)
+        if not m and self.page[at + 1 : at + 2] not in ("!", "?", "/"):
+            return None
+        end = self.find(">", at)
+        if end < 0:
+            return None
+        if not m:
+            return "", None, "", end + 1
+        if self.quotes:
+            place = m.end()
+            while True:
+                place = _UNQUOTED.match(self.page, place).end()
+                if place >= len(self.page):  # quotes don't pair from here to the end: from now on they mean nothing
+                    self.quotes = False
+                    break
+                if self.page[place] == ">":
+                    end = place
+                    break
+                close = self.find(self.page[place], place + 1)
+                place = close + 1 if close >= 0 else place + 1
+        return m[1], m[2], self.page[m.end() : end], end + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, or -1."""
+        if tag in self.none:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.page, at)
+        if m:
+            return m.end()
+        self.none.add(tag)
+        return -1
+
+
 def parse(page: str) -> Node:
     """A tree of nodes and decoded texts. Raw elements and comments are left out; unclosed elements end where HTML ends them."""
     root = node = Node("html", None)
+    tags, opened = _Tags(page), Counter()
     at, end = 0, len(page)
+
+    def close(up: Node) -> Node:
+        """Leave the open elements up to and with `up`."""
+        x = node
+        while True:
+            opened[x.tag] -= 1
+            if x is up:
+                return x.parent
+            x = x.parent
+
     while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
+        stop = page.find("<", at)
+        if stop < 0:
+            stop = end
         if stop > at:
             node.items.append(entities.unescape(page[at:stop]))
-        if not m:
+        if stop == end:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        found = tags.tag(stop)
+        if found is None:
+            node.items.append("<")
+            at = stop + 1
+            continue
+        closing, tag, attributes, at = found
+        if tag is None:
             continue
         tag = tag.lower()
         if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             elif tag == "p":
                 node.items.append(Node("p", node))
             continue
         if tag == "html":
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end if not attributes.endswith("/") else at
+            behind = tags.raw_end(tag, at)
+            at = behind if behind >= 0 else at if attributes.endswith("/") else end
             continue
-        if tag not in INLINE:  # a block ends an open paragraph
-            up = node
-            while up.tag != "p" and up.tag not in _SCOPE and up.parent is not None:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag not in INLINE and node.p is not None:  # a block ends an open paragraph
+            node = close(node.p)
         if tag in _CLOSED_BY:
-            up = node
-            while up.parent is not None and up.tag not in _CLOSED_BY[tag] and up.tag not in ("ul", "ol", "dl", "table", "select"):
-                up = up.parent
-            while up.parent is not None and up.tag in _CLOSED_BY[tag]:
-                node = up = up.parent
+            ends = _CLOSED_BY[tag]
+            if any(opened[x] > 0 for x in ends):
+                up = node.item
+                while up is not None and up.tag not in ends:
+                    up = up.parent.item
+                while up is not None and up.tag in ends:
+                    node = close(up)
+                    up = node if node.parent is not None else None
         new = Node(tag, node, _unwanted(tag, attributes, node))
         node.items.append(new)
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE and tag not in _SCOPE and tag != "p"):
+            opened[tag] += 1
             node = new
     return root
 
@@ -161,6 +241,7 @@ def measure(root: Node) -> list[Node]:
             if isinstance(x, str):
                 n.chars += len(x.strip()) if x.strip() else 0
             elif not x.drop:
+                n.block |= x.block
                 n.chars, n.tags = n.chars + x.chars, n.tags + x.tags + 1
                 n.link_chars, n.link_tags = n.link_chars + x.link_chars, n.link_tags + x.link_tags + (x.tag == "a")
         if n.tag == "a":
@@ -170,39 +251,31 @@ def measure(root: Node) -> list[Node]:
         if n.chars:
             base = log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + share * n.chars + e)
             n.density = n.chars / max(1, n.tags) * log(max(e, n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags))) / max(1.0, log(max(e, base)))
-        n.total = sum(x.density for x in n.items if isinstance(x, Node) and not x.drop) + (n.density if n.tag not in INLINE and any(isinstance(x, str) and x.strip() for x in n.items) else 0.0)
+        n.total = sum(x.density for x in n.items if isinstance(x, Node) and x.block and not x.drop) + (n.density if any(isinstance(x, str) and x.strip() for x in n.items) else 0.0)
     return nodes
 
 
 def chosen(root: Node) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+    """The subtrees that make up the article, in page order: the node with the largest sum (of equal sums the outer, then the earlier one), and beside its path
+    to the body what is as dense as the least dense node of that path and no more than half links, and headings that aren't.
+    """
     nodes = measure(root)
-    top = max((n for n in nodes if n.tag not in INLINE and n.chars), key=lambda n: n.total, default=None)
+    top = max((n for n in nodes if n.block and n.chars), key=lambda n: n.total, default=None)
     if top is None:
         return []
-    up, whole = top, None
-    least = top.density
+    path, least, up = set(), top.density, top
     while up is not None:
+        path.add(up)
         least = min(least, up.density)
-        if up.tag in ("article", "main") and (whole is None or whole.tag == "main"):
-            whole = up if whole is None else whole
         up = up.parent
-    if whole is not None:  # widens the choice; what lies beside it is held to the threshold all the same
-        top = whole
     out, todo = [], [root]
     while todo:
         n = todo.pop()
-        if n.drop or n.density < least:
-            continue
         if n is top:
             out.append(n)
-            continue
-        ancestor = top
-        while ancestor is not None and ancestor is not n:
-            ancestor = ancestor.parent
-        if ancestor is n:
-            todo += [x for x in reversed(n.items) if isinstance(x, Node)]
-        elif n.chars and n.link_chars * 2 < n.chars:
+        elif n in path:
+            todo += [x for x in reversed(n.items) if isinstance(x, Node) and not x.drop]
+        elif n.chars and n.link_chars * 2 < n.chars and (n.density >= least or n.tag in _HEADINGS):
             out.append(n)
     return out
 
@@ -239,7 +312,11 @@ def extract(page: str) -> str:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of `pages` (page_id, url, html). A null or empty page, or one without text outside what is left out, gives an empty text."""
+    """page_id, url, text and n_chars of every row of `pages` (page_id, url, html).
+
+    A null or empty page, or one without text outside what is left out, gives an empty text. Rows with equal or null page_id are read one by one. Of nodes with
+    equal sums the outer, then the earlier one is the article. A long page takes time and memory in proportion to its length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -57,6 +57,14 @@ def thinned(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 31)) < F.least(F.lit(share) if isinstance(share, float) else share, F.lit(1.0)) * (1 << 31)
 
 
+def excerpt(text: Column, most: int, pieces: int = 8) -> Column:
+    """The text, or of one over `most` bytes so many pieces of equal length, evenly spread over all of it."""
+    size = most // (2 * pieces)  # characters; few take more than two bytes on average
+    step = (F.length(text) - size) / (pieces - 1)
+    parts = (F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(pieces))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string or binary column, without copying; nulls count as empty."""
     if column.null_count:

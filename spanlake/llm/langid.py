@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, fold, kept_rows, small_batches, sums, thinned, utf8
+from spanlake.llm.common import chunks, excerpt, fold, kept_rows, small_batches, sums, thinned, utf8
 
 #: Bounds of the labelled sample that the trees are counted on.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 400, 32_768
@@ -100,7 +100,7 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """At most `rows` texts a language, of at most `text_bytes` each, chosen by a hash of the key.
+    """At most `rows` texts a language, chosen by a hash of the key; of a text over `text_bytes` pieces from all of it.
 
     Counts by language tell the share of keys that eight times the sample needs, so only about so many rows are ordered.
     """
@@ -110,7 +110,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TE
         return own.select("lang", "text").limit(0)
     share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, 8.0 * rows / n)))[F.col("lang")]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
-    some = own.where(thinned(F.col("key"), share) & (F.octet_length("text") <= text_bytes))
+    some = own.where(thinned(F.col("key"), share)).withColumn("text", excerpt(F.col("text"), text_bytes))
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "text")
 
 

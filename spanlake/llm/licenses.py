@@ -1,12 +1,13 @@
 """License detection by ordered signature rules.
 
-A text is normalised to lower-case words. Rules are regular expressions over the words, made from a list of
-licenses by four templates. A keyword automaton decides which rules are tried at all. Of overlapping detections, one that lies inside
-another of the same or a higher priority is suppressed.
+A text is normalised to lower-case words. Rules are regular expressions over the words: four for each license's names, and those written for the wording of
+grants, conditions and disclaimers. A keyword automaton, whose keys come from the rules themselves, tells which rules are tried at all, and where. Of overlapping
+detections, one that lies inside another of the same or a higher priority is suppressed.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -100,8 +101,111 @@ all-rights-reserved | all rights reserved
 """
 #: What precedes a license's name in a notice.
 GRANTS = r"(?:licensed|released|distributed|available|provided|published|redistributed?) under (?:the )?(?:terms of )?(?:the )?|under the terms of the "
-#: A text that has none of these has no detection, whatever the rules.
-SIGNS = (b"licen", b"spdx", b"cc by", b"cc0", b"creative commons", b"public domain", b"gpl", b"rights reserved", b"odbl", b"wtfpl", b"mit no attribution")
+#: Label | the words that a clause begins with | a pattern for what follows them (N stands for a few words, V for a version).
+CLAUSES = r"""
+mit | permission is hereby granted free of charge to any person obtaining a copy of this software |
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software |
+mit | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability |
+x11 | except as contained in this notice the name | N shall not be used in advertising
+mit-0 | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided |
+isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | provided that the above copyright notice
+isc | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted |
+0bsd | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | the software is provided
+hpnd | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted |
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted |
+bsd | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met |
+bsd | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer |
+bsd | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer |
+bsd-3-clause | neither the name of | N(?:nor the names of its contributors )?may be used to endorse or promote products
+bsd-3-clause | the names of its contributors may not be used to endorse or promote products |
+bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement |
+bsd-3-clause-clear | no express or implied licenses to any party s patent rights are granted by this license |
+bsd-1-clause | redistribution of this software without the above notice is permitted |
+ncsa | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers |
+apache-2.0 | you may not use this file except in compliance with the license you may obtain a copy of the license at | (?:http|https) www apache org licenses license 2 0
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis |
+apache-2.0 | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license |
+apache-1.1 | this product includes software developed by the apache software foundation |
+gpl | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license | (?:as published by )?
+gpl-2.0 | under the terms of the gnu general public license as published by the free software foundation either version 2 of the license |
+gpl-3.0 | under the terms of the gnu general public license as published by the free software foundation either version 3 of the license |
+gpl-2.0-only | under the terms of the gnu general public license version 2 as published by the free software foundation |
+gpl | this program is distributed in the hope that it will be useful but without any warranty |
+gpl | you should have received a copy of the gnu general public license along with this |
+gpl-3.0 | the gnu general public license is a free copyleft license for software and other kinds of works |
+gpl-2.0 | the licenses for most software are designed to take away your freedom to share and change it |
+lgpl | this library is free software you can redistribute it and or modify it under the terms of the gnu | (?:lesser|library) general public license
+lgpl | this library is distributed in the hope that it will be useful but without any warranty |
+lgpl | you should have received a copy of the gnu lesser general public license along with this |
+agpl | under the terms of the gnu affero general public license as published by the free software foundation |
+agpl | you should have received a copy of the gnu affero general public license along with this |
+agpl-3.0 | your modified version must prominently offer all users interacting with it remotely through a computer network |
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license |
+gpl-classpath-exception | linking this library statically or dynamically with other modules is making a combined work based on this library |
+gcc-exception-3.1 | gcc runtime library exception |
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license v 2 0 |
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1 1 |
+mpl-1.0 | the contents of this file are subject to the mozilla public license version 1 0 |
+epl | this program and the accompanying materials are made available under the terms of the eclipse public license | (?:v|version)? ?V
+cpl-1.0 | this program and the accompanying materials are made available under the terms of the common public license |
+cddl | the contents of this file are subject to the terms of the common development and distribution license |
+eupl | licensed under the eupl | (?:version )?V?
+cecill | this software is governed by the cecill | (?:b |c )?license under french law
+apsl | subject to the apple public source license | (?:version )?V
+bsl-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation |
+zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages |
+zlib | altered source versions must be plainly marked as such and must not be misrepresented as being the original software |
+libpng | the png reference library is supplied as is |
+ijg | this software is based in part on the work of the independent jpeg group |
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit |
+php-3.01 | this product includes php software freely available from |
+psf-2.0 | psf hereby grants licensee a nonexclusive royalty free world wide license |
+artistic | the intent of this document is to state the conditions under which a package may be copied |
+artistic-2.0 | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms |
+ruby | you may make and give away verbatim copies of the source form of the software without restriction |
+vim | vim is charityware you can use and copy it as much as you like |
+unlicense | this is free and unencumbered software released into the public domain |
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software |
+wtfpl | you just do what the fuck you want to |
+sqlite-blessing | may you do good and not evil may you find forgiveness for yourself |
+json | the software shall be used for good not evil |
+beerware | as long as you retain this notice you can do whatever you want with this stuff |
+bzip2 | julian seward all rights reserved redistribution and use in source and binary forms |
+w3c | by obtaining using and or copying this work you the licensee agree that you have read understood and will comply |
+unicode | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files |
+ofl-1.1 | this font software is licensed under the sil open font license version 1 1 |
+ofl-1.1 | permission is hereby granted free of charge to any person obtaining a copy of the font software |
+cc0-1.0 | the person who associated a work with this deed has dedicated the work to the public domain |
+cc0-1.0 | to the extent possible under law | N(?:has|have) waived all copyright and related or neighboring rights
+cc-by | you are free to share copy and redistribute the material in any medium or format |
+cc-by | you must give appropriate credit provide a link to the license and indicate if changes were made |
+cc-by-sa | if you remix transform or build upon the material you must distribute your contributions under the same license as the original |
+cc-by-nc | you may not use the material for commercial purposes |
+cc-by-nd | if you remix transform or build upon the material you may not distribute the modified material |
+cc-by | this work is licensed under a creative commons attribution | (?:V |unported |international )*license
+cc-by-sa | this work is licensed under a creative commons attribution sharealike | (?:V |unported |international )*license
+cc-by-nc | this work is licensed under a creative commons attribution noncommercial | (?:V |unported |international )*license
+odbl-1.0 | is made available under the open database license |
+odc-by | is made available under the open data commons attribution license |
+pddl-1.0 | is made available under the public domain dedication and license |
+ms-pl | if you use the software you accept this license if you do not accept the license do not use the software |
+afl-3.0 | licensed under the academic free license version 3 0 |
+osl-3.0 | licensed under the open software license version 3 0 |
+sspl-1.0 | server side public license |
+busl-1.1 | the business source license | (?:this document|is not an open source license)
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed service |
+commons-clause | the license does not include and the license does not grant to you the right to sell the software |
+proprietary | this software is the confidential and proprietary information of |
+proprietary | unauthorized copying of this file via any medium is strictly prohibited |
+all-rights-reserved | no part of this publication may be reproduced |
+public-domain | this work has been released into the public domain |
+public-domain | has been dedicated to the public domain |
+warranty-disclaimer | this software is provided by the | Nas is and any express or implied warranties
+warranty-disclaimer | in no event shall the | N(?:be )?liable for any
+warranty-disclaimer | without even the implied warranty of merchantability or fitness for a particular purpose |
+"""
+#: Characters before and behind a keyword that a rule may reach.
+BEFORE, BEHIND = 80, 120
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("detections", pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("priority", pa.int64())])))])
 DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,rule:string,first_word:long,n_words:long,priority:long>>"
@@ -120,68 +224,102 @@ def _name(text: str) -> str:
 
 @lru_cache(1)
 def rules() -> tuple[list[tuple[str, str, int, re.Pattern]], ahocorasick.Automaton]:
-    """(label, kind, priority, pattern) in order, and the automaton whose values are the rules that a keyword opens."""
+    """(label, kind, priority, pattern) in order, and the automaton whose values are a keyword's length, the base label it stands for, and the rules it opens."""
     out, opened = [], {}
+
+    def add(label: str, kind: str, priority: int, keys: list[str], pattern: str) -> None:
+        for key in keys:
+            opened.setdefault(f" {key} ", []).append(len(out))
+        out.append((label, kind, priority, re.compile(pattern)))
+
     for line in LICENSES.strip().splitlines():
         label, *names = (x.strip() for x in line.split("|"))
         names = [_name(n) for n in names]
         tag = _name(label)
         any_name = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
         version = r"(?: (?:only|or later|or any later version))?"
-        for kind, priority, keys, pattern in (
-            ("tag", 100, [tag], rf" spdx license identifier {re.escape(tag)}{version}(?= )"),
-            ("notice", 90, names, rf" (?:{GRANTS})(?:{any_name}){version}(?= )"),
-            ("name", 60 + len(names[0].split()), names, rf" (?:{any_name})(?= )"),
-            ("file", 50, [tag], rf" (?:license|licence) {re.escape(tag)}(?= )"),
-        ):
-            for key in keys:
-                opened.setdefault(f" {key} ", []).append(len(out))
-            out.append((label, kind, priority, re.compile(pattern)))
+        add(label, "tag", 100, [tag], rf" spdx license identifier {re.escape(tag)}{version}(?= )")
+        add(label, "notice", 90, names, rf" (?:{GRANTS})(?:{any_name}){version}(?= )")
+        add(label, "name", 60 + len(names[0].split()), names, rf" (?:{any_name})(?= )")
+        add(label, "file", 50, [tag], rf" (?:license|licence) {re.escape(tag)}(?= )")
+    for line in CLAUSES.strip().splitlines():
+        label, start, rest = (x.strip() for x in line.split("|", 2))
+        few, version = r"(?:[^ ]+ ){0,12}?", r"\d+(?: \d+)*"
+        rest = re.sub(r"\bN", lambda _: few, re.sub(r"\bV\b", lambda _: version, rest))
+        add(label, "clause", 80, [start], f" {start}{f' (?:{rest})' if rest else ''}(?= )")
     automaton = ahocorasick.Automaton()
-    for key, which in opened.items():
-        automaton.add_word(key, which)
+    base = {f" {phrase} ": label for phrase, label in BASE.items()}
+    for key in opened.keys() | base.keys():
+        automaton.add_word(key, (len(key), base.get(key), opened.get(key, [])))
     automaton.make_automaton()
     return out, automaton
 
 
+def uncovered(found: set[tuple[str, str, int, int, int]]) -> list[tuple[str, str, int, int, int]]:
+    """Of (label, rule, start, end, priority) those that lie inside none of a higher priority, of the same priority and longer, or equal to it and earlier in
+    order of label and rule; in text order.
+
+    A Fenwick tree over starts keeps the furthest end of what was kept at or before each.
+    """
+    starts = sorted({d[2] for d in found})
+    place = {x: k + 1 for k, x in enumerate(starts)}
+    furthest, kept = [0] * (len(starts) + 1), []
+    for d in sorted(found, key=lambda d: (-d[4], d[2] - d[3], d[2], d[0], d[1])):
+        k, reach = place[d[2]], 0
+        while k:
+            reach = max(reach, furthest[k])
+            k &= k - 1
+        if reach < d[3]:
+            kept.append(d)
+            k = place[d[2]]
+            while k <= len(starts):
+                furthest[k] = max(furthest[k], d[3])
+                k += k & -k
+    return sorted(kept, key=lambda d: (d[2], d[3], d[0], d[1]))
+
+
 def detect(words: str) -> list[tuple[str, str, int, int, int]]:
-    """(label, rule, start, end, priority) of the detections that are left, in text order; start and end count characters."""
+    """(label, rule, start, end, priority) of the detections that are left, in text order; start and end count characters. A rule is tried around its keywords only."""
+    return _detect(words)[0]
+
+
+def _detect(words: str) -> tuple[list[tuple[str, str, int, int, int]], list[tuple[int, str]]]:
     table, automaton = rules()
-    found = []
-    for k in sorted({k for _, which in automaton.iter(words) for k in which}):
-        label, kind, priority, pattern = table[k]
-        found += [(label, kind, m.start() + 1, m.end(), priority) for m in pattern.finditer(words)]
-    found.sort(key=lambda d: (-d[4], d[2] - d[3], d[2], d[0]))  # higher priority first, then longer
-    kept: list[tuple] = []
-    for d in found:
-        if not any(k[2] <= d[2] and d[3] <= k[3] for k in kept):
-            kept = [k for k in kept if not (d[2] <= k[2] and k[3] <= d[3] and k[4] <= d[4])]
-            kept.append(d)
-    return sorted(kept, key=lambda d: (d[2], d[3], d[0]))
+    found, places = set(), []
+    for last, (size, base, opened) in automaton.iter(words):
+        start = last - size + 1
+        if base:
+            places.append((start, base))
+        for k in opened:
+            label, kind, priority, pattern = table[k]
+            for m in pattern.finditer(words, max(0, start - BEFORE), min(len(words), last + 1 + BEHIND)):
+                if m.start() <= start and m.end() >= last:
+                    found.add((label, kind, m.start() + 1, m.end(), priority))
+    return uncovered(found), places
 
 
 def _row(text: bytes) -> tuple:
-    words = normal(text)
-    n = words.count(b" ") - 1 if len(words) > 2 else 0
-    if not any(s in words for s in SIGNS):
+    plain = normal(text).decode("utf-8", "replace")
+    n = plain.count(" ") - 1 if len(plain) > 2 else 0
+    found, places = _detect(plain)
+    if not found and not places:
         return n, 0, None, None, "", "", 0.0, []
-    places, base = [], set()
-    for phrase, label in BASE.items():
-        at = words.find(f" {phrase} ".encode())
-        while at >= 0:
-            places.append(words.count(b" ", 0, at))
-            base.add(label)
-            at = words.find(f" {phrase} ".encode(), at + 1)
-    plain = words.decode("utf-8", "replace")
-    found = [(label, kind, plain.count(" ", 0, a) - 1, plain.count(" ", a, b) + 1, priority) for label, kind, a, b, priority in detect(plain)]
+    spaces = [k for k, c in enumerate(plain) if c == " "]  # the k-th word begins behind the k-th
+    word = lambda at: bisect.bisect_left(spaces, at)
+    at = [word(start) for start, _ in places]
+    base = {label for _, label in places}
+    detections = [dict(label=label, rule=kind, first_word=word(a - 1), n_words=word(b) - word(a - 1), priority=priority) for label, kind, a, b, priority in found]
     labels = base | {d[0] for d in found}
     score = max([d[4] / 100 for d in found] + [0.5] * bool(base), default=0.0)
-    detections = [dict(zip(("label", "rule", "first_word", "n_words", "priority"), d)) for d in found]
-    return n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, detections
+    return n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, detections
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Detections and their digest for every row of `docs` (doc_id, text). A null text counts as empty; a text without a detection has empty labels, score 0 and null places."""
+    """Detections and their digest for every row of `docs` (doc_id, text; other columns are ignored).
+
+    A null text counts as empty; a text without a detection has empty labels, score 0 and null places. Rows with equal or null doc_id are read one by one. A
+    detection that two rules make alike comes once, with the label that sorts first. Time grows with a text's length and its keywords.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,9 +1,10 @@
 """Near duplicates by SimHash and anchor points.
 
-Fingerprints of 64 bits are cut into three blocks; two that differ in at most four bits differ in at most one bit of some
-block. For each block, the words of a covering code (a Hamming code of 15 bits beside free bits, radius 1) are the anchors, and a
-fingerprint goes to every anchor within 1 + 1 bits, so that both of such a pair meet at the one's nearest anchor. There they are
-compared whole. Equal fingerprints are merged beforehand, and each anchor passes on a spanning forest of its links, not all pairs.
+Fingerprints of 64 bits are cut into blocks, three or, where there are very many of them, two; two that differ in at most four bits differ in at most
+one (two) bits of some block. For each block, the words of a covering code (a Hamming code beside free bits, radius 1) are the anchors, and a
+fingerprint goes to every anchor within 1 + 1 (1 + 2) bits, so that both of such a pair meet at the one's nearest anchor. There they are
+compared whole. Equal fingerprints are merged beforehand, and each anchor passes on a spanning forest of its links, not all pairs. Anchors with very many
+fingerprints are dealt out in tiles, any two of whose shares meet in one of these; rows of frequent keys are joined by a broadcast of these keys.
 """
 
 from __future__ import annotations
@@ -20,8 +21,15 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import ROW, small_batches, stored, utf8
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
-#: (first bit, bits) of the blocks. By the pigeonhole principle some block differs in THRESHOLD // 3 = 1 bit at most.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: (first bit, bits) of the blocks of the two layouts. By the pigeonhole principle some block differs in THRESHOLD // len(blocks) bits at most.
+#: The first sends a fingerprint to 45 of 2^19 anchors, the second to 343 of 2^28; it pays once anchors of the first hold thousands.
+BLOCKS, WIDE_BLOCKS = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32))
+#: Distinct fingerprints from which the second layout is used.
+MANY = 50_000_000
+#: Fingerprints of an anchor that one task compares; of more, each pair of shares of this size is a task.
+TILE = 1 << 15
+#: A key is frequent if it has at least one in so many rows; so there are no more such keys.
+FREQUENT = 256
 #: Keys up to which a table of them is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Rows at an anchor up to which all its pairs are compared at once.
@@ -54,30 +62,27 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), "text").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
-def _syndromes(bits: int) -> np.ndarray:
-    """For each bit of a block, what flipping it adds to the syndrome: the Hamming code's columns, then nothing for free bits."""
-    return np.array([*range(1, 16), *[0] * (bits - 15)], np.int64)
+def _code(bits: int) -> tuple[int, np.ndarray]:
+    """Length of the Hamming code in a block, and what flipping each bit adds to the syndrome: the code's columns, then nothing for free bits."""
+    length = (1 << (bits + 1).bit_length() - 1) - 1
+    return length, np.array([*range(1, length + 1), *[0] * (bits - length)], np.int64)
 
 
-def _syndrome(x: np.ndarray) -> np.ndarray:
+def anchors(x: np.ndarray, bits: int, reach: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for all code words within `reach` bits of each block value."""
+    length, columns = _code(bits)
     s = np.zeros(len(x), np.int64)
-    for k in range(15):
+    for k in range(length):
         s ^= np.where(x >> k & 1, k + 1, 0)
-    return s
-
-
-def anchors(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for all code words within two bits of each block value."""
-    columns = _syndromes(bits)
-    s = _syndrome(x)
+    order = np.argsort(s, kind="stable")  # rows by syndrome
+    at = np.searchsorted(s[order], np.arange(length + 2))
     rows, words = [], []
-    for flips in [(), *((a,) for a in range(bits)), *combinations(range(bits), 2)]:
-        effect = 0
-        mask = 0
+    for flips in (f for n in range(reach + 1) for f in combinations(range(bits), n)):
+        effect = mask = 0
         for f in flips:
             effect ^= int(columns[f])
             mask |= 1 << f
-        hit = np.flatnonzero(s == effect)
+        hit = order[at[effect] : at[effect + 1]]
         rows.append(hit)
         words.append(x[hit] ^ mask)
     return np.concatenate(rows), np.concatenate(words)
@@ -123,17 +128,19 @@ def _linked(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[
                     todo += list(found)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), b < a: a spanning forest at each anchor of the links between distinct fingerprints of column fp."""
+def links(fps: DataFrame, n: int | None = None) -> DataFrame:
+    """(a, b), b < a: a spanning forest at each anchor of the links between distinct fingerprints of column fp. n: how many there are, which decides the layout."""
+    blocks = WIDE_BLOCKS if (fps.count() if n is None else n) >= MANY else BLOCKS
+    reach = 1 + THRESHOLD // len(blocks)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = b.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(f), 1 << 14):
-                part = f[i : i + (1 << 14)]
-                for k, (first, bits) in enumerate(BLOCKS):
-                    row, word = anchors((part >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64), bits)
-                    yield pa.RecordBatch.from_arrays([pa.array((word | k << 22).astype(np.int32)), pa.array(part[row].view(np.int64))], names=["anchor", "fp"])
+            for i in range(0, len(f), 1 << 13):
+                part = f[i : i + (1 << 13)]
+                for k, (first, bits) in enumerate(blocks):
+                    row, word = anchors((part >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64), bits, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(word | k << 32), pa.array(part[row].view(np.int64))], names=["anchor", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; those of the last anchor of a batch wait for the next."""
@@ -156,10 +163,24 @@ def links(fps: DataFrame) -> DataFrame:
         if (out := done(held_a, held_f)) is not None:
             yield out
 
-    spread_out = fps.select("fp").mapInArrow(spread, "anchor int, fp long")
+    spread_out = fps.select("fp").mapInArrow(spread, "anchor long, fp long")
+    crowded = stored(spread_out.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "crowded")
+    if not crowded.isEmpty():  # of n fingerprints, share i meets share j in the tile (i, j)
+        shares = F.ceil(F.col("n") / TILE)
+        own = spread_out.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded, "anchor", "left").withColumn("share", F.pmod(F.xxhash64("fp"), shares))
+        tiles = F.transform(F.sequence(F.lit(0).cast("long"), shares - 1), lambda j: -F.abs(F.xxhash64("anchor", F.least("share", j), F.greatest("share", j)) % (1 << 62)) - 1)
+        spread_out = own.select(F.explode(F.when(F.col("n").isNull(), F.array("anchor")).otherwise(tiles)).alias("anchor"), "fp")
     return spread_out.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(meet, "a long, b long").distinct()
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the columns of `table` (each key once, column n: its rows among the `total`), inner join; the rows of frequent keys stay where they are."""
+    frequent = table.where(F.col("n") * FREQUENT >= total).drop("n")  # FREQUENT keys at most
+    often = rows.join(F.broadcast(frequent), key)
+    seldom = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(table.where(F.col("n") * FREQUENT < total).drop("n"), key)
+    return often.unionByName(seldom)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b), root the smallest of its component.
 
@@ -167,24 +188,24 @@ def components(edges: DataFrame) -> DataFrame:
     the nodes, and a step passes on at most as many rows as there are edges.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    last = None
+    last, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = stored(looked_up(both, least, "a", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, least, "a", n).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stored(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        last = now
+        last, n = now, now[0]
 
 
 def _rooted(distinct: DataFrame) -> DataFrame:
     """`distinct`, whose column fp has each fingerprint once, with column root: the smallest fingerprint of its class."""
     distinct = stored(distinct, "distinct")
-    roots = components(links(distinct))
+    roots = components(links(distinct, distinct.count()))
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
 
 
@@ -195,13 +216,14 @@ def classes(docs: DataFrame) -> DataFrame:
     with equal doc_id are rows of their own.
     """
     marked = stored(fingerprints(docs), "fingerprints")
-    rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), "roots")
+    rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))), "roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    merged = rooted.join(named.where("n > 1").drop("n"), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(merged, "fp").select("doc_id", "fp", "component_id")
+    merged = stored(looked_up(rooted.withColumnRenamed("n", "rows"), named, "root", rooted.count()).select("fp", "component_id", F.col("rows").alias("n")), "merged")
+    return looked_up(marked, merged, "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of `docs`, as `classes` has them; a null text has the fingerprint of an empty one."""
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -214,8 +236,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"), "n")
     by_id = marked.groupBy("fp", "doc_id").agg(F.min(ROW).alias(ROW), F.count("*").alias("n"))
     rooted = stored(_rooted(by_id.groupBy("fp").agg(F.min(first).alias("first"))), "roots")
-    least = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id")).alias("least"))
-    leading = rooted.join(least, "root").where("first.none = least.none and first.doc_id <=> least.doc_id").select("root", "fp", "first.*")
+    least = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id")).alias("least"), F.count("*").alias("n"))
+    leading = looked_up(rooted, least, "root", rooted.count()).where("first.none = least.none and first.doc_id <=> least.doc_id").select("root", "fp", "first.*")
     named = stored(leading.groupBy("root").agg(F.sum("n").alias("n"), F.min("row").alias(ROW)), "leading")
     kept = named.where("n = 1").select(ROW)
     ties = leading.join(named.where("n > 1").select("root"), "root").select("root", "fp", F.col("doc_id").alias("tied"))

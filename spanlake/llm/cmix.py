@@ -1,386 +1,406 @@
 """Language-model scores by logistic context mixing.
 
-A byte is coded as the bits of its path in a Huffman tree. Four contexts (one, two and three bytes; the word so far) predict each bit from
-counts over all training texts, hashed into tables of fixed size. What is coded are a text's lower-cased words, with one space between, and
-its end. The predictions are mixed in the logistic domain by weights gated by how
-often the word so far was seen and how long it is, and the mix is refined while a text is read: block by block, each text's own correction of the
-weights follows the gradient of its coding cost. A block is coded with what came before it alone, so the sum is the log-probability of
-the text.
+A text is its lower-cased words and an end. A word that is frequent in the training texts is coded as the bits of its path in a Huffman tree, any other one by
+an escape, then by its share of such words or, if no training text has it, letter by letter along a tree of bytes. Hashed contexts predict each bit from counts
+over all training texts: for words none, the last very frequent word and the word before; for letters one to three bytes. The predictions are mixed in
+the logistic domain by weights gated by how often the contexts were seen with the node, and the mix is refined while a text is read: block by block, each text's own correction
+of the weights follows the gradient of its coding cost. A block is coded with what came before it alone, so the sum is the log-probability of the text.
+
+Counts of words grow with the corpus and are joined, not held; the tree has at most 1 / HOT words; tables of hashed contexts have a fixed size, as their bits share cells.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import chunks, fold, lowered, stored, utf8
-
-#: Slots of the contexts of one, two and three bytes, and bits of the table that word contexts and tree nodes share.
-SLOTS, WORD_BITS, KNOWN_BITS = (256, 1 << 13, 1 << 15), 24, 20
-#: Counts of a next byte after the beginning of a word that are kept, the largest first.
-WORD_ENTRIES = 1 << 21
-#: A byte that no lower-cased text has; ends a text and stands before it.
-STOP, SYMBOLS, PAD = 65, 256, 3
-#: Texts whose bits the mixing weights start from, and the bytes of them together.
-WEIGHT_ROWS, WEIGHT_BYTES = 400, 1 << 20
-#: The first block of a text; each later one doubles, up to the last figure.
-FIRST_BLOCK, LAST_BLOCK = 512, 8192
-RATE, START_RATE = 0.02, 0.3
-#: Weight sets: eight degrees of how often the word so far was seen, times four of how long it is.
-GATES, LENGTHS = 32, np.array([0, 1, 1, 2, 2, 3])
-#: Words that make up at least this share of all words are known to every task, so there are at most 1 / HOT of them.
+from spanlake.llm.common import chunks, fold, lowered, small_batches, stored, stretches, utf8
+
+#: Words that make up at least this share of all words have a place in the tree and are known to every task, so there are at most 1 / HOT of them.
 HOT = 2.0**-20
-#: Distinct words that a task counts before it passes the counts on.
-HELD_WORDS = 400_000
-#: Bytes of text scored at once: what fits a processor's cache, whatever the length of a text.
-CHUNK = 1 << 19
-
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, STOP])
-_A = 0x9E3779B97F4A7C15
-_A32 = np.uint32(0x9E3779B1)
-
-
-@lru_cache(2)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased texts with PAD times STOP before each and after the last, and where each text starts."""
-    n = len(offsets) - 1
-    starts = offsets[:-1] - offsets[0] + PAD * np.arange(1, n + 1)
-    out = np.full(int(offsets[-1] - offsets[0]) + PAD * (n + 1), STOP, np.uint8)
-    inside = np.ones(len(out), bool)
-    for k in range(1, PAD + 1):
-        inside[starts - k] = False
-        inside[-k] = False
-    out[inside] = lowered(data[offsets[0] : offsets[-1]])
-    return out, starts
-
-
-def byte_slots(b: np.ndarray) -> list[np.ndarray]:
-    """Slots of the contexts of one, two and three bytes for each byte of a stream from the PAD-th on."""
-    one = b[PAD - 1 : -1].astype(np.uint32)
-    two = one | b[PAD - 2 : -2].astype(np.uint32) << np.uint32(8)
-    three = two | b[PAD - 3 : -3].astype(np.uint32) << np.uint32(16)
-    return [one, *((x * _A32) >> np.uint32(33 - s.bit_length()) for x, s in ((two, SLOTS[1]), (three, SLOTS[2])))]
-
-
-def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the word so far, and its length, for each byte of a stream from the PAD-th on."""
-    n = len(b)
-    size = 1 << max(18, (n + 1).bit_length())
-    powers, inverse = _powers(_A, size), _powers(pow(_A, -1, 1 << 64), size)
-    hashed = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:n], out=hashed[1:])
-    first = np.arange(n, dtype=np.int32)
-    first[PAD:][~_SPACE[b[PAD - 1 : -1]]] = 0
-    first = np.maximum.accumulate(first)[PAD:]
-    h = (hashed[PAD:n] - hashed[first]) * inverse[first]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h, np.arange(PAD, n, dtype=np.int32) - first
-
-
-def _cell(h: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The cell of the words' table for the upper half of a word's hash and a node."""
-    return ((h + node.astype(np.uint32) * np.uint32(0x85EBCA6B)) * _A32 >> np.uint32(32 - WORD_BITS)).astype(np.int64)
-
-
-def joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as their lower-cased words with one space between: what is scored, the same events as a model of words."""
-    texts = [b" ".join(data[a:b].tobytes().lower().split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-
-
-def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The path of each symbol: (inner node, bit) from the root. There are SYMBOLS - 1 inner nodes; the root is the last."""
-    heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
-    heapq.heapify(heap)
-    children: list[tuple[int, int]] = []
-    while len(heap) > 1:
-        (c, _, a), (d, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        heapq.heappush(heap, (c + d, SYMBOLS + len(children), SYMBOLS + len(children)))
-        children.append((a, b))
-    paths: list[list[tuple[int, int]]] = [[] for _ in counts]
-    todo = [(SYMBOLS + len(children) - 1, [])]
-    while todo:
-        node, path = todo.pop()
-        if node < SYMBOLS:
-            paths[node] = path
-        else:
-            todo += [(child, [*path, (node - SYMBOLS, bit)]) for bit, child in enumerate(children[node - SYMBOLS])]
-    return paths
+#: The most frequent words, of which the last one is a context.
+MARKERS = 255
+#: Bits of the tables of word contexts (last marker, word before), and of letter contexts (one, two and three bytes).
+WORD_TABLES, LETTER_TABLES = (19, 20), (16, 18, 20)
+#: Counts of a cell from which a context counts as seen a little, well, and very well.
+SEEN = (2, 16, 128)
+#: What a context weighs, by these degrees, beside 1 for the shortest one; all weights of a gate sum to SHARPNESS.
+PULL, SHARPNESS = ((0.0, 0.5, 1.5, 3.0), (0.0, 0.3, 1.0, 2.0)), 1.05
+#: The first block of a text, in words; each later one doubles, up to the last figure.
+FIRST_BLOCK, LAST_BLOCK = 16, 1024
+RATE = 0.02
+#: Bytes of text that are cut into words at once, and symbols that are coded at once (of several texts; a longer text goes block by block all the same).
+CHUNK, GROUP = 1 << 21, 1 << 16
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_A, _NODE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_LOG10 = math.log(10)
+_LOGITS = ((np.arange(256) - 128) / 16).astype(np.float32)
+
+
+def tokens(data: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words in the stretches data[at[i]:at[i + 1]], dictionary-encoded, and how many each stretch has."""
+    d = lowered(data[at[0] : at[-1]])
+    at = at - at[0]
+    solid = ~_SPACE[d]
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    edge = at[:-1][at[:-1] < len(d)]
+    start[edge] = solid[edge]
+    first = np.flatnonzero(start)
+    place = np.cumsum(solid)
+    offsets = np.append(place[first] - 1, place[-1] if len(place) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(d[solid])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(first, at))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    out = np.repeat(start - ends + size, size)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 @dataclass
-class Model:
-    """first, length, nodes, signs: the paths, one after the other. logits: by context int8 sixteenths, of a row of nodes for each slot, or for
-    words of each cell. known: how often a word so far was seen, in eight degrees, by its hash's first bits."""
+class Tree:
+    """A Huffman tree's paths, one after the other: symbol s takes length[s] steps from first[s] on, each a node and a sign (1 for the second child). plain: each
+    node's logit from the symbols' own counts."""
 
     first: np.ndarray
     length: np.ndarray
     nodes: np.ndarray
     signs: np.ndarray
-    logits: list[np.ndarray]
-    known: np.ndarray
-    weights: np.ndarray
-
-
-def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    out = np.log((n1 + 0.4) / (n0 + 0.4)) * 16
-    return np.clip(out, -127, 127).astype(np.int8)
-
-
-def build(counts: list[np.ndarray], hashes: np.ndarray, bytes_: np.ndarray, times: np.ndarray) -> Model:
-    """From the counts (float) of bytes by slot of each context, and the counts of next bytes by hash of the word so far."""
-    paths = huffman(counts[0].sum(0))
-    length = np.array([len(p) for p in paths])
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    nodes = np.array([n for p in paths for n, _ in p])
-    signs = np.array([2 * b - 1 for p in paths for _, b in p], np.float32)
-    owner = np.repeat(np.arange(SYMBOLS), length)
-    below = np.zeros((2, SYMBOLS, SYMBOLS), np.float32)
-    below[(signs > 0).astype(int), owner, nodes] = 1
-    logits = [_logit(c @ below[0], c @ below[1]).ravel() for c in counts]
-    seen = np.zeros((2, 1 << WORD_BITS), np.float32)
-    for i in range(0, len(bytes_), 1 << 17):
-        h, b, n = hashes[i : i + (1 << 17)], bytes_[i : i + (1 << 17)], times[i : i + (1 << 17)].astype(np.float32)
-        rep, path = np.repeat(np.arange(len(b)), length[b]), _ranges(first[b], length[b])
-        np.add.at(seen.reshape(-1), _cell((h >> np.uint64(32)).astype(np.uint32)[rep], nodes[path]) + ((signs[path] > 0).astype(np.int64) << WORD_BITS), n[rep])
-    logits.append(np.concatenate([_logit(*seen[:, i : i + (1 << 20)]) for i in range(0, 1 << WORD_BITS, 1 << 20)]))
-    del seen
-    total = np.zeros(1 << KNOWN_BITS, np.float32)
-    np.add.at(total, (hashes >> np.uint64(64 - KNOWN_BITS)).astype(np.int64), times.astype(np.float32))
-    known = np.clip(np.log2(total + 1) / 1.5, 0, 7).astype(np.uint8)
-    weights = np.repeat(np.array([0.0, 0.1, 0.3, 0.6], np.float32)[:, None], GATES, axis=1)
-    return Model(first, length, nodes, signs, logits, known, weights)
-
-
-def _blocks(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    plain: np.ndarray
+
+
+def huffman(counts: np.ndarray) -> Tree:
+    """Of symbols with these counts; a count of 0 passes for a half."""
+    heap = [(max(float(c), 0.5), s) for s, c in enumerate(counts)]
+    heapq.heapify(heap)
+    n, children, plain = len(heap), [], []
+    while len(heap) > 1:
+        (c, a), (d, b) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (c + d, n + len(children)))
+        children.append((a, b))
+        plain.append(math.log(d / c))
+    parent = np.full(n + len(children), -1, np.int64)
+    side = np.zeros(n + len(children), np.int8)
+    for k, (a, b) in enumerate(children):
+        parent[a] = parent[b] = k
+        side[a], side[b] = -1, 1
+    length, at, steps = np.zeros(n, np.int32), np.arange(n), []
+    while True:  # all symbols climb together, from the leaf to the root
+        up = parent[at]
+        if not (up >= 0).any():
+            break
+        length += up >= 0
+        steps.append((np.where(up >= 0, up, -1).astype(np.int32), side[at]))
+        at = np.where(up >= 0, n + up, at)
+    first = np.cumsum(length) - length
+    nodes, signs = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.int8)
+    for k, (node, sign) in enumerate(steps):
+        on = np.flatnonzero(node >= 0)
+        nodes[first[on] + k], signs[first[on] + k] = node[on], sign[on]
+    return Tree(first.astype(np.int32), length, nodes, signs, np.array(plain or [0.0], np.float32))
+
+
+def cells(hashed: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of a table for a context's hash and a node."""
+    return ((hashed ^ (node.astype(np.uint32) * _NODE)) * _A) >> np.uint32(32 - bits)
+
+
+def table(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Cells as uint16: the logit in sixteenths, offset by 128, below how well the cell was seen."""
+    logit = np.clip(np.log((ones + 0.4) / (zeros + 0.4)) * 16, -127, 127).astype(np.int16) + 128
+    return (logit + (np.searchsorted(SEEN, ones + zeros, side="right") << 8)).astype(np.uint16)
+
+
+def _weights(contexts: int) -> np.ndarray:
+    """Of the plain predictor and the contexts, by gate: how well each of the two longest contexts was seen."""
+    a, b = np.repeat(np.arange(4), 4), np.tile(np.arange(4), 4)
+    pulls = np.stack([np.ones(16), *([np.take(PULL[0], a)] * (contexts - 2)), np.take(PULL[0], a), np.take(PULL[1], b)])
+    return (SHARPNESS * pulls / pulls.sum(0)).astype(np.float32)
+
+
+def _blocks(sizes: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """(texts, start, ends) of the block that each text still has, step by step."""
-    start, width = 0, FIRST_BLOCK
-    alive = np.arange(len(sizes))
+    start, width = 0, int(sizes.max(initial=0)) if whole else FIRST_BLOCK
+    alive = np.flatnonzero(sizes > 0)
     while len(alive):
         yield alive, start, np.minimum(sizes[alive], start + width)
         start, width = start + width, min(2 * width, LAST_BLOCK)
         alive = alive[sizes[alive] > start]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    out = np.repeat(start - ends + size, size)
-    out += np.arange(len(out))
-    return out
-
+def coded(tree: Tree, tables: list[np.ndarray], symbols: np.ndarray, contexts: list[np.ndarray], sizes: np.ndarray, adapt: bool) -> np.ndarray:
+    """Natural log-probability of each sequence (sizes: their lengths; symbols one after the other). contexts: a hash for each symbol, by table.
 
-def score_chunk(model: Model, data: np.ndarray, offsets: np.ndarray, learn: bool = False) -> np.ndarray:
-    """Natural log-probability of each text. learn: move the model's own gated weights too."""
-    b, starts = stream(data, offsets)
-    starts, sizes = starts - PAD, np.diff(offsets) + 1
-    slots, (words, so_far) = byte_slots(b), word_hashes(b)
-    gate = model.known.take((words >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)).astype(np.int64) * 4 + LENGTHS.take(np.minimum(so_far, len(LENGTHS) - 1))
-    rows = [(s << np.uint32(8)).astype(np.int64) for s in slots]
-    words = (words >> np.uint64(32)).astype(np.uint32)
-    symbols, k = b[PAD:], 4
-    own, out = np.zeros((k, len(sizes)), np.float32), np.zeros(len(sizes))
-    for alive, start, end in _blocks(sizes):
-        at = _ranges(starts[alive] + start, end - start)
+    adapt: refine the weights within a sequence.
+    """
+    starts = np.cumsum(sizes) - sizes
+    weights = _weights(len(tables))
+    bits = [int(len(t)).bit_length() - 1 for t in tables]
+    own, out = np.zeros((len(weights), len(sizes)), np.float32), np.zeros(len(sizes))
+    for alive, start, end in _blocks(sizes, not adapt):
+        at = _ranges((starts[alive] + start).astype(np.int32), (end - start).astype(np.int32)) if start or len(alive) < len(sizes) or not (end == sizes).all() else slice(None)
         s = symbols[at]
-        bits = model.length[s]
-        rep, path = np.repeat(at, bits), _ranges(model.first[s], bits)
-        node, sign = model.nodes.take(path), model.signs.take(path)
-        per = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(end - start)[:-1]]))  # bits of each text
-        begin = np.concatenate([[0], np.cumsum(per)[:-1]])
-        g = gate.take(rep)
-        said = [model.logits[j].take(rows[j].take(rep) + node) for j in range(3)] + [model.logits[3].take(_cell(words.take(rep), node))]
-        mixed = np.zeros(len(rep), np.float32)
-        for j in range(k):
-            said[j] = said[j] * np.float32(1 / 16)
-            w = model.weights[j].take(g)
+        n = tree.length.take(s)
+        path = _ranges(tree.first.take(s).astype(np.intp), n)
+        node, sign = tree.nodes.take(path), tree.signs.take(path)
+        per = np.add.reduceat(n, np.cumsum(end - start) - (end - start))  # bits of each sequence
+        begin = np.cumsum(per) - per
+        found = [t.take(cells(np.repeat(c[at], n), node, b)) for t, c, b in zip(tables, contexts, bits)]
+        gate = (((found[-2] >> 8) << 2) + (found[-1] >> 8)).astype(np.intp)
+        said = [tree.plain.take(node), *(_LOGITS.take(x.view(np.uint8)[::2]) for x in found)]
+        mixed = np.zeros(len(node), np.float32)
+        for j, x in enumerate(said):
+            w = weights[j].take(gate)
             if start:
                 w += np.repeat(own[j, alive], per)
-            mixed += w * said[j]
-        miss = 1 / (1 + np.exp(np.clip(mixed * sign, -30, 30)))  # probability of the other bit
-        out[alive] += np.add.reduceat(np.log(1 - np.minimum(miss, np.float32(1 - 1e-6))), begin, dtype=np.float64)
-        miss *= sign
-        for j in range(k):
-            step = miss * said[j]
-            own[j, alive] += RATE * np.add.reduceat(step, begin) / np.sqrt(per)
-            if learn:
-                model.weights[j] += (START_RATE * np.bincount(g, step, GATES) / (np.bincount(g, minlength=GATES) + 1000)).astype(np.float32)
+            mixed += w * x
+        miss = 1 / (1 + np.exp(np.clip(mixed * sign, -20, 20)))  # probability of the other bit
+        out[alive] += np.add.reduceat(np.log1p(-np.minimum(miss, np.float32(1 - 1e-6))), begin, dtype=np.float64)
+        if adapt:
+            miss *= sign
+            for j, x in enumerate(said):
+                own[j, alive] += RATE * np.add.reduceat(miss * x, begin) / np.sqrt(per)
     return out
 
 
-def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability."""
-    out = [score_chunk(model, data, offsets[i : j + 1]) for i, j in chunks(offsets, CHUNK)]
-    return np.concatenate(out) / math.log(10) if out else np.zeros(0)
+def word_contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> list[np.ndarray]:
+    """Hashes of the last marker before each symbol, and of the symbol before; `start` stands before a text."""
+    before = np.empty_like(symbols)
+    before[1:] = symbols[:-1]
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    before[begin] = start
+    place = np.where(before < MARKERS, np.arange(len(before), dtype=np.int32), 0)
+    place[begin] = begin
+    return [before[np.maximum.accumulate(place)].astype(np.uint32) * np.uint32(0xC2B2AE35), before.astype(np.uint32) * np.uint32(0x27D4EB2F) + np.uint32(1)]
 
 
-def train_weights(model: Model, texts: list[bytes], rounds: int = 4) -> Model:
-    """Set the gated weights on a bounded sample."""
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    for _ in range(rounds):
-        for i, j in chunks(offsets, 1 << 15):
-            score_chunk(model, data, offsets[i : j + 1], learn=True)
-    return model
+def letter_contexts(b: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the one, two and three bytes before each byte of words; 0 stands before a word."""
+    since = _ranges(np.zeros(len(sizes), np.int32), sizes.astype(np.int32))
+    back = [np.where(since >= k, np.concatenate([np.zeros(k, np.uint8), b[:-k]])[: len(b)], 0).astype(np.uint32) for k in (1, 2, 3)]
+    two = back[0] | back[1] << np.uint32(8)
+    return [x * np.uint32(0x27D4EB2F) + np.uint32(k) for k, x in enumerate((back[0], two, two | back[2] << np.uint32(16)))]
+
 
+@dataclass
+class Model:
+    """known: the words in the tree, the most frequent first. logs: log10 of their counts and one. The end's, the escape's and the start's symbol follow the words."""
+
+    known: pa.Array
+    logs: np.ndarray
+    words: Tree
+    word_tables: list[np.ndarray]
+    letters: Tree
+    letter_tables: list[np.ndarray]
+
+    def read(self, data: np.ndarray, offsets: np.ndarray, others: bool = True) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Symbols of the texts one after the other, each with its end; how many each text has; (text, word, times) of the words that aren't in the tree, if these
+        `others` are wanted."""
+        n, edges = len(self.known), stretches(data, offsets, CHUNK)
+        owner = np.minimum(np.searchsorted(offsets, edges[:-1], side="right"), len(offsets) - 1) - 1  # an empty text adds nothing to any
+        found, sizes, rare = [np.zeros(0, np.int32)], np.zeros(len(offsets) - 1, np.int64), []
+        for i, j in chunks(edges, CHUNK):
+            words, each = tokens(data, edges[i : j + 1])
+            ids = pc.index_in(words.dictionary, value_set=self.known).fill_null(n + 1).to_numpy()
+            index = words.indices.to_numpy()
+            symbols = ids[index]
+            np.add.at(sizes, owner[i:j], each)
+            new = np.flatnonzero(symbols > n) if others else ()
+            if len(new):
+                key, times = np.unique(np.repeat(owner[i:j], each)[new] * len(ids) + index[new], return_counts=True)
+                rare.append((key // len(ids), words.dictionary.take(pa.array(key % len(ids))), times))
+            found.append(symbols)
+        texts, words, times = (np.concatenate([r[0] for r in rare]), pa.concat_arrays([r[1] for r in rare]), np.concatenate([r[2] for r in rare])) if rare else (np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64))
+        return np.insert(np.concatenate(found), np.cumsum(sizes), n), sizes + 1, (texts, words, times)
+
+    def score(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each text's words in the tree, escapes and end."""
+        at, out = np.concatenate([[0], np.cumsum(sizes)]), [np.zeros(0)]
+        for i, j in chunks(at, GROUP):
+            own = symbols[at[i] : at[j]]
+            out.append(coded(self.words, self.word_tables, own, word_contexts(own, sizes[i:j], len(self.known) + 2), sizes[i:j], True))
+        return np.concatenate(out) / _LOG10
+
+    def spell(self, words: pa.Array) -> np.ndarray:
+        """log10 of each word's probability letter by letter."""
+        letters, sizes = spelling(words)
+        at, out = np.concatenate([[0], np.cumsum(sizes)]), [np.zeros(0)]
+        for i, j in chunks(at, GROUP):
+            own = letters[at[i] : at[j]]
+            out.append(coded(self.letters, self.letter_tables, own, letter_contexts(own, sizes[i:j]), sizes[i:j], False))
+        return np.concatenate(out) / _LOG10
+
+
+def spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, a space behind each, and their numbers."""
+    data, at = utf8(words)
+    return np.insert(data[at[0] : at[-1]], at[1:] - at[0], 32), np.diff(at) + 1
 
-def count_bytes(texts: DataFrame) -> DataFrame:
-    """(slot, n): counts over all texts of each slot and byte of the contexts of one to three bytes, in one numbering."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(s * SYMBOLS, np.int64) for s in SLOTS]
-        for b in batches:
-            data, offsets = joined(*utf8(b.column(0)))
-            for i, j in chunks(offsets, CHUNK):
-                s, starts = stream(data, offsets[i : j + 1])
-                scored = np.ones(len(s) - PAD, bool)
-                for k in range(2, PAD + 1):
-                    scored[starts - PAD - k + PAD] = False
-                scored[len(s) - PAD - (PAD - 1) :] = False
-                for c, slot in zip(counts, byte_slots(s)):
-                    np.add.at(c, (slot[scored] << np.uint32(8) | s[PAD:][scored]).astype(np.int64), 1)
-        base = 0
-        for c in counts:
-            hit = np.flatnonzero(c)
-            for i in range(0, len(hit), 1 << 18):
-                part = hit[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((part + base).astype(np.int32)), pa.array(c[part])], names=["slot", "n"])
-            base += len(c)
-
-    return texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def count_beginnings(words: DataFrame) -> DataFrame:
-    """(hash, byte, n): how often each byte, or a space, follows each beginning of a word, over all rows of `words` (word, n_train)."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n_train, n_all) over all rows of `docs` (text, train), the end of a text not among them. Counts are summed up by chunks, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(0))
-            times = b.column(1).to_numpy()
-            s, starts = stream(data, offsets)
-            size = np.diff(offsets) + 1
-            at = _ranges(starts - PAD, size)
-            following = s[PAD:][at]
-            following[np.cumsum(size) - 1] = 32
-            key = word_hashes(s)[0][at] & ~np.uint64(255) | following
-            keys, where = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(where, np.repeat(times, size), len(keys)).astype(np.int64))], names=["key", "n"])
-
-    return words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(texts: DataFrame, words: DataFrame) -> Model:
-    """The tables come from all rows of column text and all of `words`, the starting weights from at most WEIGHT_ROWS texts."""
-    found = count_bytes(texts).toArrow()  # no more rows than the tables have cells
-    flat = np.zeros(sum(SLOTS) * SYMBOLS, np.float32)
-    flat[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    del found
-    edges = np.cumsum([0, *(s * SYMBOLS for s in SLOTS)])
-    beginnings = stored(count_beginnings(words), "beginnings")
-    sizes = {r.size: r.rows for r in beginnings.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("rows")).collect()}
-    least, room = 64, WORD_ENTRIES
-    for size in sorted(sizes, reverse=True):
-        room -= sizes[size]
-        if room < 0:
-            break
-        least = size
-    most = beginnings.where(F.floor(F.log2("n")) >= least).toArrow()  # WORD_ENTRIES rows at most
-    keys = most.column("key").to_numpy().view(np.uint64)
-    model = build([flat[a:b].reshape(-1, SYMBOLS) for a, b in zip(edges, edges[1:])], keys & ~np.uint64(255), (keys & np.uint64(255)).astype(np.uint8), most.column("n").to_numpy())
-    del flat, most, keys
-    some = texts.select("text").where(F.octet_length("text").between(1, WEIGHT_BYTES // 64)).orderBy(F.xxhash64("text"), "text").limit(WEIGHT_ROWS).collect()
-    sample, size = [], 0
-    for r in some:
-        if size < WEIGHT_BYTES:
-            sample.append(b" ".join(r.text.encode().lower().split()))
-            size += len(sample[-1])
-    return train_weights(model, sample) if sample else model
+            data, at = utf8(b.column(0))
+            train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            edges = stretches(data, at, 2 * CHUNK)
+            owner = np.minimum(np.searchsorted(at, edges[:-1], side="right"), len(at) - 1) - 1
+            for i, j in chunks(edges, 2 * CHUNK):
+                words, each = tokens(data, edges[i : j + 1])
+                n = len(words.dictionary)
+                times = np.bincount(words.indices.to_numpy() + n * np.repeat(train[owner[i:j]], each), minlength=2 * n)
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(times[n:]), pa.array(times[:n] + times[n:])], names=["word", "n_train", "n_all"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("text", "train").mapInArrow(run, "word binary, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n_train, n_all) over all rows of `docs` (text, train), the end of a text not among them."""
+def _summed(counts: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """The tables of counts (cell, ones, zeros); there are no more rows than cells."""
+    found = counts.groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()
+    ones, zeros = np.zeros((2, sum(1 << b for b in bits)), np.float32)
+    cell = found.column("cell").to_numpy()
+    ones[cell], zeros[cell] = found.column("ones").to_numpy(), found.column("zeros").to_numpy()
+    edges = np.cumsum([0, *(1 << b for b in bits)])
+    return [table(ones[a:b], zeros[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def _count(tree: Tree, bits: tuple[int, ...], sequences) -> Iterator[pa.RecordBatch]:
+    """(cell, ones, zeros) of all tables, in one numbering, from (symbols, contexts) of sequences."""
+    counts = [np.zeros(2 << b, np.int32) for b in bits]
+    for symbols, contexts in sequences:
+        for i in range(0, len(symbols), 4 * GROUP):
+            s = symbols[i : i + 4 * GROUP]
+            n = tree.length.take(s)
+            path = _ranges(tree.first.take(s), n)
+            node, zero = tree.nodes.take(path), tree.signs.take(path) < 0
+            for k, (c, b) in enumerate(zip(contexts, bits)):
+                cell = cells(np.repeat(c[i : i + 4 * GROUP], n), node, b)
+                counts[k] += np.bincount(np.where(zero, cell + np.uint32(1 << b), cell), minlength=2 << b).astype(np.int32)
+    counts = np.concatenate([c.reshape(2, -1) for c in counts], axis=1)
+    hit = np.flatnonzero(counts.any(0))
+    for i in range(0, len(hit), 1 << 18):
+        part = hit[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["cell", "ones", "zeros"])
+
+
+_CELLS = "cell int, ones int, zeros int"
+
+
+def train(texts: DataFrame, words: DataFrame, hot: list[tuple[bytes, int]], ends: int, rare: int) -> Model:
+    """From all rows of column text, all of `words` (word, n_train) and the words of the tree (hot: with their counts, the most frequent first).
+    ends, rare: counts of the end and the escape."""
+    context = texts.sparkSession.sparkContext
+    letters = _letter_counts(words)
+    tree = huffman(np.array([*(c for _, c in hot), ends, rare], float))
+    model = Model(pa.array([w for w, _ in hot], pa.binary()), np.log10(np.array([*(c for _, c in hot), ends, 0], float) + 1), tree, [], huffman(letters), [])
+    shared = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            words = list(held[0].keys() | held[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[1][w] for w in words], pa.int64()), pa.array([held[0][w] + held[1][w] for w in words], pa.int64())], names=["word", "n_train", "n_all"])
+        model = shared.value
+
+        def sequences():
+            for b in batches:
+                data, at = utf8(b.column(0))
+                for i, j in chunks(at, CHUNK):
+                    symbols, sizes, _ = model.read(data, at[i : j + 1], False)
+                    yield symbols, word_contexts(symbols, sizes, len(model.known) + 2)
+
+        yield from _count(model.words, WORD_TABLES, sequences())
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (spelling(b.column(0)) for b in batches)
+        yield from _count(shared.value.letters, LETTER_TABLES, ((x, letter_contexts(x, n)) for x, n in pairs))
+
+    model.word_tables = _summed(texts.select("text").mapInArrow(run, _CELLS), WORD_TABLES)
+    model.letter_tables = _summed(words.where("n_train > 0").select("word").mapInArrow(spelled, _CELLS), LETTER_TABLES)
+    shared.destroy()
+    return model
+
 
-        held = Counter(), Counter()
+def _letter_counts(words: DataFrame) -> np.ndarray:
+    """How often the distinct training words have each byte; the space stands for their ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
         for b in batches:
-            data, at = utf8(b.column(0))
-            train = b.column(1).to_pylist()
-            for i in range(len(at) - 1):
-                held[train[i]].update(data[at[i] : at[i + 1]].tobytes().lower().split())
-                if len(held[0]) + len(held[1]) > HELD_WORDS:
-                    yield out()
-                    held = Counter(), Counter()
-        yield out()
+            n += np.bincount(spelling(b.column(0))[0], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], names=["byte", "n"])
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+    out = np.zeros(256)
+    for r in words.where("n_train > 0").select("word").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        out[r.byte] = r.n
+    return out
 
 
-def score_texts(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs` (doc_id, text).
+def score_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of `docs` (doc_id, text; other columns are ignored).
 
-    A null text counts as empty: one token, the end. Learns from rows whose crc32 mod 7 isn't 2; without any, every count is 0. Rows
-    with equal doc_id are scored one by one.
+    A null text counts as empty: one token, the end; its bits are told as of one byte. Learns from rows whose crc32 mod 7 isn't 2; without any, every count is 0.
+    Rows with equal or null doc_id are scored one by one, equal texts alike. A long text is cut into words piece by piece and scored block by block. No rows give none.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold(F.col("doc_id"), 7) != 2).alias("train"))
     words = stored(count_words(own), "words")
-    model = model or train(own.where("train"), words)
-    n = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.count_if(F.col("n_train") > 0), F.lit(0))).first()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = words.agg(zero(F.sum("n_train")).alias("train"), zero(F.sum("n_all")).alias("all"), zero(F.count_if(F.col("n_train") > 0)).alias("distinct"), zero(F.count_if(F.col("n_train") == 1)).alias("once")).first()
     ends = own.where("train").count()
-    n_train, distinct = n[0] + ends, n[2] + (ends > 0)
-    bound = math.ceil(n[1] * HOT)
-    hot = spark.sparkContext.broadcast({bytes(r.word): r.n_train for r in words.where(F.col("n_all") >= max(bound, 1)).select("word", "n_train").toLocalIterator()})
-    shared, end_log = spark.sparkContext.broadcast(model), math.log10(ends + 1)
+    n_train, distinct = n.train + ends, n.distinct + (ends > 0)
+    frequent = (F.col("n_train") > 0) & (F.col("n_all") >= max(math.ceil(n.all * HOT), 1))
+    hot = sorted(((bytes(r.word), r.n_train) for r in words.where(frequent).select("word", "n_train").toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    escapes = n.train - sum(c for _, c in hot) + n.once + 1  # words that aren't in the tree, and as many new ones as there are words met once
+    model = train(own.where("train"), words, hot, ends, escapes)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = hot.value, shared.value
+        model = shared.value
+        known = model.logs > 0
         for b in batches:
             data, at = utf8(b.column(1))
-            scores = score(model, *joined(data, at))
-            tokens, n_known, logs, rare, times, ends_at = [], [], [], [], [], [0]
-            for i in range(len(at) - 1):
-                text = data[at[i] : at[i + 1]].tobytes().lower().split()
-                found = Counter(text)
-                total, log, seen = len(text) + 1, end_log, int(ends > 0)
-                for w, k in found.items():
-                    c = known.get(w)
-                    if c is None:
-                        rare.append(w)
-                        times.append(k)
-                    elif c:
-                        seen += k
-                        log += k * math.log10(c + 1)
-                tokens.append(total)
-                n_known.append(seen)
-                logs.append(log)
-                ends_at.append(len(rare))
-            at32 = pa.array(ends_at, pa.int32())
-            columns = [b.column(0), b.column(2), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(at32, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(at32, pa.array(times, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "n_known", "logs", "score", "words", "times"])
-
-    done = own.select("doc_id", "text", "train").mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double, words array<binary>, times array<int>")
+            for i, j in chunks(at, CHUNK):
+                symbols, sizes, (texts, found, times) = model.read(data, at[i : j + 1])
+                begin = np.cumsum(sizes) - sizes
+                lists = pa.array(np.searchsorted(texts, np.arange(j - i + 1)).astype(np.int32))
+                order = np.argsort(texts, kind="stable")
+                if (order != np.arange(len(order))).any():
+                    found, times = found.take(pa.array(order)), times[order]
+                    lists = pa.array(np.searchsorted(texts[order], np.arange(j - i + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(at[i : j + 1])), pa.array(sizes),
+                        pa.array(np.add.reduceat(known[symbols], begin, dtype=np.int64)), pa.array(np.add.reduceat(model.logs[symbols], begin)), pa.array(model.score(symbols, sizes)),
+                        pa.ListArray.from_arrays(lists, found), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32))),
+                    ],
+                    names=["doc_id", "train", "n_bytes", "n_tokens", "n_known", "logs", "score", "words", "times"],
+                )
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.spell(b.column(0)))], names=["word", "spelled"])
+
+    small_batches(spark)
+    done = own.select("doc_id", "text", "train").mapInArrow(run, "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, logs double, score double, words array<binary>, times array<int>")
     done = stored(done.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = done.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    counted = rare.join(words.where((F.col("n_train") > 0) & (F.col("n_all") < max(bound, 1))).select("word", "n_train"), "word")
-    added = counted.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n_train") + 1)).alias("log"))
+    counts = words.where((F.col("n_train") > 0) & ~frequent).select("word", F.col("n_train").alias("c"), F.lit(0.0).alias("spelled"))
+    new = words.where("n_train = 0").select("word").mapInArrow(spelled, "word binary, spelled double").select("word", F.lit(0).cast("long").alias("c"), "spelled")
+    counted = rare.join(counts.unionByName(new), "word")
+    share = F.when(F.col("c") > 0, F.log10(F.col("c").cast("double"))).otherwise(math.log10(n.once + 1) + F.col("spelled")) - math.log10(escapes)
+    added = counted.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"), F.sum(F.col("times") * share).alias("rest"))
     base = F.col("logs") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_train + distinct + 1)
-    out = done.select("row", "doc_id", "train", "n_tokens", "n_known", "logs", "score").join(added, "row", "left")
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    score = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    out = done.join(added, "row", "left")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -118,8 +118,8 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session, which is read when a query starts; a lower setting stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).lower().removesuffix("b")
-    if not now.isdigit() or int(now) > most:
+    now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key).lower())
+    if not now or int(now[1]) << 10 * " kmgt".index(now[2] or " ") > most:
         spark.conf.set(key, str(most))
 
 

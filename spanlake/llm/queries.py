@@ -11,46 +11,57 @@ from spanlake.llm.common import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold. Null texts and texts without letters are `und`; see `langid.predict`."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document under the mixing model and the base model; a null text counts as empty. See `cmix.score_texts`."""
     return cmix.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and posterior verdict of every document; a null text counts as empty. See `weakq.judge`."""
     return weakq.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document; a null text counts as empty. See `licenses.scan`."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from labels outside the held-out fold; a null text counts as empty. See `toxzstd.classify`."""
     return toxzstd.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; a null page gives an empty one. See `density.main_text`."""
     return density.main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, each a sequence of its own; a null text gives its end alone. See `pow2pack.pack`."""
     return pow2pack.report(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; a null text counts as empty. See `simhash.classes`."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains; null texts and items contain nothing. See `decontam.contaminated`."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; a null page is an empty payload. See `warczst.round_trip`."""
     return warczst.round_trip(table(spark, sf_dir, "pages"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over the table of documents; see `corpus_pipeline.run`."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

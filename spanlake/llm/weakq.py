@@ -28,7 +28,7 @@ KEEP = 0.5
 #: Chances that a rule abstains, votes good and votes bad, to begin with, of good and of bad texts, and the texts that this knowledge is worth.
 PRIOR, PRIOR_TEXTS = ((0.48, 0.50, 0.02), (0.45, 0.25, 0.30)), 20
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_function", "n_distinct", "n_letters", "n_upper", "n_wordlike")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_function", "n_distinct", "n_letters", "n_upper", "n_wordlike", "n_latin")
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -37,6 +37,11 @@ _START = (np.arange(256) & 0xC0) != 0x80
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 0xC3)
 
+#: Letters of the scripts that FUNCTION_WORDS are written in: ASCII and U+00C0 to U+024F.
+_LATIN = _LETTER & ((np.arange(256) < 128) | (np.arange(256) <= 0xC9))
+#: What ends a sentence, also in Arabic, Devanagari, Chinese and Japanese.
+_ENDS = tuple(x.encode() for x in (".", "!", "?", '"', ":", "\u061f", "\u0964", "\u3002", "\uff01", "\uff1f", "\u2026", "\u201d", "\u00bb"))
+
 
 def repeated(words: list[bytes]) -> int:
     """Words in windows that occur twice or more in the text, the first occurrence included."""
@@ -54,7 +59,7 @@ def repeated(words: list[bytes]) -> int:
 def line_counts(text: bytes) -> tuple[int, int, int]:
     """Lines with a word; those equal to an earlier line; those that end like a sentence."""
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
-    return len(lines), len(lines) - len(set(lines)), sum(x.rstrip().endswith((b".", b"!", b"?", b'"', b":")) for x in lines)
+    return len(lines), len(lines) - len(set(lines)), sum(x.rstrip().endswith(_ENDS) for x in lines)
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -67,8 +72,8 @@ def count(docs: DataFrame) -> DataFrame:
             for i, j in chunks(offsets):
                 d, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 where = at[:-1], np.diff(at)
-                flat.append([sums(table[d], *where) for table in (_START & ~_SPACE, _SYMBOL, _LETTER & _START, _UPPER)])
-            chars, symbols, letters, upper = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (zip(*flat) if flat else ((), (), (), ())))
+                flat.append([sums(table[d], *where) for table in (_START & ~_SPACE, _SYMBOL, _LETTER & _START, _UPPER, _LATIN)])
+            chars, symbols, letters, upper, latin = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (zip(*flat) if flat else ((), (), (), (), ())))
             rows = []
             for i in range(len(offsets) - 1):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -76,7 +81,7 @@ def count(docs: DataFrame) -> DataFrame:
                 kinds = {w.lower() for w in words}
                 rows.append((len(words), repeated(words), *line_counts(text), len(kinds & FUNCTION_WORDS), len(kinds), sum(not w.isascii() or w.strip(b".,;:!?\"'()").isalpha() for w in words)))
             n_words, rep, lines, dup, ended, function, distinct, wordlike = np.array(rows, np.int64).reshape(-1, 8).T
-            columns = (n_words, chars, symbols, dup, rep, lines, ended, function, distinct, letters, upper, wordlike)
+            columns = (n_words, chars, symbols, dup, rep, lines, ended, function, distinct, letters, upper, wordlike, latin)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in columns)], schema=SCHEMA)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -87,7 +92,7 @@ def count(docs: DataFrame) -> DataFrame:
 def rules() -> dict[str, tuple[Column, Column]]:
     """For each rule, when it votes good and when bad; it abstains otherwise. All read the columns of `count`.
 
-    Rules for faults only ever vote bad: that a text isn't all capitals says little for it.
+    Rules for faults only ever vote bad: that a text isn't all capitals says little for it. A text that isn't mostly in Latin letters isn't asked for function words.
     """
     c, never = F.col, F.lit(False)
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
@@ -95,7 +100,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
     some = c("n_words") >= 10
     return {
         "length": (c("n_words") >= 100, c("n_words") < 50),
-        "function_words": (c("n_function") >= 3, some & (c("n_function") == 0)),
+        "function_words": (c("n_function") >= 3, some & (c("n_function") == 0) & (2 * c("n_latin") > c("n_letters"))),
         "sentences": (per_line("n_ended") >= 0.5, per_line("n_ended") < 0.1),
         "word_length": (never, (per_word("word_chars") < 2.2) | (per_word("word_chars") > 14)),
         "symbols": (never, per_word("n_symbols") > 0.1),
@@ -137,7 +142,8 @@ def posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 300) ->
 def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The counts, posterior and verdict of every row of `docs`.
 
-    base_failed: under 50 words, or over half of the words in repetitions. A null or empty text fails. Rows with equal doc_id are judged one by one.
+    base_failed: under 50 words, or over half of the words in repetitions. A null or empty text fails. Rows with equal or null doc_id are judged one by one, equal
+    texts alike. A long text takes memory for its words. No rows give none.
     """
     spark = docs.sparkSession
     counted = stored(count(docs).withColumn("pattern", pattern()), "weakq")

@@ -150,3 +150,51 @@ def kept_rows(docs: DataFrame, verdict) -> DataFrame:
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
+
+
+_rng = np.random.default_rng(0x5EED)
+_BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_BYTE[[32, *range(9, 14)]] = 0  # white space adds nothing to a word's hash
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with all bits spread over all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of the texts, one text after the other, and where each text's words begin (and the last one's end).
+
+    Words keep nothing but their hash, and bytes are taken a stretch at a time, so a long text needs eight bytes a word.
+    """
+    parts, bounds = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64)
+    fine = stretches(data, offsets, CHUNK_BYTES)
+    owner = np.searchsorted(offsets, fine[:-1], side="right") - 1
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    for i, j in chunks(fine):
+        a, b = int(fine[i]), int(fine[j])
+        part = data[a:b]
+        if not len(part):
+            continue
+        space = (part == 32) | ((part >= 9) & (part <= 13))
+        first = ~space
+        edge = fine[i:j] - a
+        edge = edge[edge < len(part)]
+        held = first[edge]
+        first[1:] &= space[:-1]
+        first[edge] = held  # a text begins a word even where the one before ends in one
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            continue
+        spot = np.arange(len(part))
+        spot[starts[0] :] -= np.repeat(starts, np.diff(starts, append=len(part)))
+        spot[space] = 0
+        powers = np.cumprod(np.full(int(spot.max()) + 1, _BASE))
+        parts.append(mixed(np.add.reduceat(_BYTE[part] * powers[spot], starts)))
+        at = np.searchsorted(starts, np.append(fine[i:j] - a, len(part)))
+        np.add.at(counts, owner[i:j], np.diff(at))
+    bounds[1:] = np.cumsum(counts)
+    return np.concatenate(parts), bounds

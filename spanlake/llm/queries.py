@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import cmix, decontam, density, langid, licenses, pow2pack, simhash, toxzstd, warczst, weakq
+from spanlake.llm import audit, cmix, decontam, density, fim, forest, langid, licenses, pow2pack, simhash, toxzstd, warczst, weakq
 from spanlake.llm.common import table
 
 
@@ -60,6 +60,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczst.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and lose by language, order and step; null texts count as empty. See `audit.interactions`."""
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document rearranged for filling in the middle, and of the text restored from that; a null text counts as empty. See `fim.digests`."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and kept of every document by its shingle set; texts without a word are linked with nothing. See `forest.near_duplicates`."""
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over the table of documents; see `corpus_pipeline.run`."""
     import corpus_pipeline
@@ -68,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_lm_score, op3_quality, op4_licenses, op5_toxicity, op6_main_text, op7_packing, op8_simhash, op9_decontamination, op10_warc, pipeline)
+    every = (op1_language_id, op2_lm_score, op3_quality, op4_licenses, op5_toxicity, op6_main_text, op7_packing, op8_simhash, op9_decontamination, op10_warc, op11_filter_audit, op12_fill_in_middle, op13_minhash_dedup, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -83,4 +98,26 @@ WITH d AS (SELECT doc_id, unnest(s) AS shingle FROM (SELECT doc_id, {_SHINGLES}
 i AS (SELECT item_id, unnest(s) AS shingle, len(s) AS size FROM (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
 SELECT doc_id, item_id, CAST(size AS BIGINT) AS n_item_shingles, count(*) AS n_shared, count(*) / CAST(size AS DOUBLE) AS containment
 FROM i JOIN d USING (shingle) GROUP BY doc_id, item_id, size HAVING count(*) >= 8e-1 * size - 1e-9""",
+        "op11_filter_audit": """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM texts),
+fails AS (SELECT part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS bad,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM words LEFT JOIN labels USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM fails GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (SELECT part, filter_order, step, x, n, good, bad, contains(f, x) AS fails, f = x AS alone,
+    before <> '' AND regexp_matches(f, '[' || CASE WHEN before = '' THEN '0' ELSE before END || ']') AS gone FROM cells, steps),
+counted AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted""",
     }

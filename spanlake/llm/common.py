@@ -172,7 +172,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """
     parts, bounds = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64)
     fine = stretches(data, offsets, CHUNK_BYTES)
-    owner = np.searchsorted(offsets, fine[:-1], side="right") - 1
+    owner = np.minimum(np.searchsorted(offsets, fine[:-1], side="right"), max(1, len(offsets) - 1)) - 1  # where texts are empty, the last that begins there
     counts = np.zeros(len(offsets) - 1, np.int64)
     for i, j in chunks(fine):
         a, b = int(fine[i]), int(fine[j])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions import median, total
 from spanlake.operators.intervals import BIN, overlap_join, stab_join
@@ -119,23 +122,30 @@ def derive_layout(md: DataFrame, text: str) -> DataFrame:
 
 
 def shared_samples(pairs: DataFrame) -> DataFrame:
-    """For pairs with arrays left and right (sid, cov): the shared samples, their number and share of either side, sums, mean and median of the shared coverage, and the samples of one side only. An empty side has share 0, no shared sample mean and median -1."""
+    """For pairs with arrays left and right (sid, cov; null counts as empty): the shared samples, their number and share of either side, sums over either side and both,
+    mean and median over the shared samples of what both sides have together, and the samples of one side only. An empty side has share 0, no shared sample mean and median -1."""
+    sides = {s: F.coalesce(F.col(s), F.array().cast("array<struct<sid:bigint,cov:bigint>>")) for s in ("left", "right")}
     sids = lambda side: F.transform(side, lambda s: s["sid"])
-    shared = F.array_sort(F.array_intersect(sids("left"), sids("right")))
-    kept = lambda side: F.filter(side, lambda s: F.array_contains(F.col("shared"), s["sid"]))
-    out = pairs.withColumn("shared", shared).withColumn("_c", F.concat(*(F.transform(kept(s), lambda x: x["cov"]) for s in ("left", "right"))))
+    # entries of both sides in order of samples: of a shared sample they follow one another
+    marked = lambda side: F.transform(side, lambda x: F.struct(x["sid"].alias("sid"), F.lit(side).alias("side"), x["cov"].alias("cov")))
+    out = pairs.withColumns(sides).withColumn("_s", F.array_sort(F.concat(marked("left"), marked("right"))))
+    after = lambda i: F.get("_s", i + 1)
+    met = F.transform("_s", lambda x, i: F.struct(x["sid"].alias("sid"), x["cov"].alias("l"), after(i)["cov"].alias("r"), F.coalesce(after(i)["sid"] == x["sid"], F.lit(False)).alias("both")))
+    out = out.withColumn("_b", F.filter(met, lambda x: x["both"])).withColumns({"shared": F.col("_b.sid"), "_l": F.col("_b.l"), "_r": F.col("_b.r")})
+    out = out.withColumn("_c", F.zip_with("_l", "_r", lambda x, y: x + y))
     n = F.size("shared").cast("long")
     share = lambda side: F.coalesce(n / F.nullif(F.size(side), F.lit(0)), F.lit(0.0))
-    out = out.withColumns({"n_shared": n, "left_ratio": share("left"), "right_ratio": share("right"), "shared_sum": total(F.col("_c")), "left_sum": total(F.transform(kept("left"), lambda x: x["cov"])), "right_sum": total(F.transform(kept("right"), lambda x: x["cov"])), "shared_avg": F.when(n == 0, F.lit(-1.0)).otherwise(total(F.col("_c")) / F.when(n == 0, 1).otherwise(F.size("_c"))), "shared_median": F.when(n == 0, F.lit(-1.0)).otherwise(median(F.col("_c")))})
-    return out.withColumns({"left_only": F.array_sort(F.array_except(sids("left"), sids("right"))), "right_only": F.array_sort(F.array_except(sids("right"), sids("left")))}).drop("_c")
+    none = lambda value: F.when(n == 0, F.lit(-1.0)).otherwise(value)
+    out = out.withColumns({"n_shared": n, "left_ratio": share("left"), "right_ratio": share("right"), "shared_sum": total(F.col("_c")), "left_sum": total(F.col("_l")), "right_sum": total(F.col("_r")), "shared_avg": none(total(F.col("_c")) / F.when(n == 0, 1).otherwise(n)), "shared_median": none(median(F.col("_c")))})
+    return out.withColumns({"left_only": F.array_sort(F.array_except(sids("left"), sids("right"))), "right_only": F.array_sort(F.array_except(sids("right"), sids("left")))}).drop("_c", "_l", "_r", "_s", "_b")
 
 
 def all_shared(left: DataFrame, right: DataFrame, key: str = "gene") -> DataFrame:
-    """Both flanks' junctions (key, sid, cov) summed by sample, and over shared samples the sum of products and of minima, with the minima's mean and median."""
+    """Both flanks' junctions (key, sid, cov) summed by sample, and over shared samples the sums of products and of minima, and the products' mean and median."""
     side = lambda df, name: df.groupBy(key, "sid").agg(F.sum("cov").alias(name))
     both = side(left, "l").join(side(right, "r"), [key, "sid"])
-    least = F.least("l", "r")
-    return both.groupBy(key).agg(F.count("*").alias("n_shared"), F.sum(F.col("l") * F.col("r")).alias("products"), F.sum(least).alias("minima"), F.avg(least).alias("mean"), F.median(least).alias("median"))
+    product = F.col("l") * F.col("r")
+    return both.groupBy(key).agg(F.count("*").alias("n_shared"), F.sum(product).alias("products"), F.sum(F.least("l", "r")).alias("minima"), F.avg(product).alias("mean"), F.median(product).alias("median"))
 
 
 def flank_geometry(pairs: DataFrame) -> DataFrame:
@@ -170,19 +180,45 @@ def mixed_strands(df: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 def compare_ranked(df: DataFrame, a: str = "a", b: str = "b", top: int = 5, synonyms: dict[str, str] | None = None) -> DataFrame:
-    """Two ranked lists of names: share of the first `top` places that agree, overlap of their first `top` and of the whole, and whether a's first is b's first, or in its first two. `?` is dropped."""
-    names = lambda c: F.transform(F.filter(F.col(c), lambda x: x != "?"), lambda x: F.coalesce(F.create_map(*(F.lit(v) for p in synonyms.items() for v in p))[x], x) if synonyms else x)
+    """Two ranked lists of names, `?` dropped. Over the first x places, x the shortest of `top` and both lists: the share of places that agree, and of names of a's that b's has, too;
+    the share of all of a's names that b has; whether the first names are the same; and whether one list's first is the other's second. Without a name there is no share: 0."""
+    names = lambda c: F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x != "?"), lambda x: F.coalesce(F.create_map(*(F.lit(v) for p in synonyms.items() for v in p))[x], x) if synonyms else x)
     out = df.withColumns({"_a": names(a), "_b": names(b)})
-    first = lambda c, k: F.slice(c, 1, k)
-    least = F.greatest(F.least(F.size(first("_a", top)), F.size(first("_b", top))), F.lit(1))
-    agreed = F.size(F.filter(F.zip_with(first("_a", top), first("_b", top), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda x: x))
-    common = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-    head = F.try_element_at("_a", F.lit(1))
-    return out.withColumns({"place_rate": agreed / least, "top_overlap": common(first("_a", top), first("_b", top)), "overlap": common(F.col("_a"), F.col("_b")), "first_match": F.coalesce(head == F.try_element_at("_b", F.lit(1)), F.lit(False)), "first_in_two": F.coalesce(F.array_contains(first("_b", 2), head), F.lit(False))}).drop("_a", "_b")
+    out = out.withColumn("_x", F.least(F.lit(top), F.size("_a"), F.size("_b")))
+    first = lambda c: F.slice(c, F.lit(1), F.col("_x"))
+    agreed = F.size(F.filter(F.zip_with(first("_a"), first("_b"), lambda x, y: x == y), lambda x: x))
+    common = lambda x, y: F.size(F.array_intersect(x, y))
+    share = lambda x, of: F.coalesce(x / F.nullif(of, F.lit(0)), F.lit(0.0))
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    same = lambda i, j: F.coalesce(at("_a", i) == at("_b", j), F.lit(False))
+    in_two = (F.size("_a") >= 2) & (F.size("_b") >= 2) & (same(1, 2) | same(2, 1))
+    return out.withColumns({"place_rate": share(agreed, F.col("_x")), "top_overlap": share(common(first("_a"), first("_b")), F.col("_x")), "overlap": share(common(F.col("_a"), F.col("_b")), F.size(F.array_distinct("_a"))), "first_match": same(1, 1), "first_in_two": in_two}).drop("_a", "_b", "_x")
+
+
+#: Sizes of both groups below which p is exact if there are no ties.
+EXACT_BELOW = 50
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_upper(n1: pd.Series, n0: pd.Series, w: pd.Series) -> pd.Series:
+    """Probability of at least w under the rank sum's null distribution, from the numbers of ways to reach each value (coefficients of the Gaussian binomial)."""
+
+    def one(n1, n0, w):
+        ways = np.zeros(n1 * n0 + 1)
+        ways[0] = 1
+        for i in range(1, n1 + 1):  # times (1 - q^(n0 + i)), divided by (1 - q^i)
+            if n0 + i < len(ways):
+                ways[n0 + i :] -= ways[: len(ways) - n0 - i].copy()
+            for r in range(min(i, len(ways))):
+                ways[r::i] = np.cumsum(ways[r::i])
+        return ways[int(w) :].sum() / ways.sum()
+
+    return pd.Series([None if pd.isna(x) else one(int(a), int(b), x) for a, b, x in zip(n1, n0, w)], dtype="float64")
 
 
 def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: sizes, the rank sum's W of group 1 and z with the correction for ties, and p that group 1 is larger by chance.
+    """One row: sizes, the rank sum's W of group 1, z with the corrections for continuity and ties, and p that group 1 is larger by chance: exact where both groups have
+    fewer than EXACT_BELOW rows and no value comes twice, otherwise from z.
 
     Rows of neither group, and null or NaN values, are left out. Without rows of both groups, or with one value only, z and p are null; without
     any row W is too, and the sizes are 0. Ranks come from a table of distinct values with running counts, in blocks between quantiles: no task
@@ -202,8 +238,10 @@ def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     n = n1 + n0
     s = s.withColumn("w", F.col("ranks") - n1 * (n1 + 1) / 2)
     spread = F.sqrt(n1 * n0 / 12 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
-    s = s.withColumn("z", (F.col("w") - n1 * n0 / 2) / F.nullif(spread, F.lit(0.0)))
-    return s.select(n1.alias("n1"), n0.alias("n0"), "w", "z", upper_tail(F.col("z")).alias("p"))
+    s = s.withColumn("z", (F.col("w") - n1 * n0 / 2 - 0.5) / F.nullif(spread, F.lit(0.0)))
+    exact = (n1 > 0) & (n0 > 0) & (n1 < EXACT_BELOW) & (n0 < EXACT_BELOW) & (F.col("ties") == 0)
+    s = s.withColumn("exact", exact_upper(*(F.when(exact, c) for c in (n1, n0, F.col("w")))))
+    return s.select(n1.alias("n1"), n0.alias("n0"), "w", "z", F.coalesce("exact", upper_tail(F.col("z"))).alias("p"))
 
 
 def upper_tail(z: Column) -> Column:

@@ -23,6 +23,11 @@ def binned(df: DataFrame, start: str = "start", end: str = "end", width: int = B
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
+def level_of(size: Column, width: int = BIN) -> Column:
+    """The level whose bins are as wide as an interval of that size is long."""
+    return reduce(lambda c, k: c.when(size <= width * FACTOR**k, k), range(LEVELS), F.when(F.lit(False), 0)).otherwise(LEVELS - 1)
+
+
 def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: Column | None = None) -> DataFrame:
     """Pairs of overlapping rows of the same chrom. `b` names its place b_chrom, b_start, b_end; another column that `a` has too comes as b_<name>.
 
@@ -32,11 +37,9 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: Column | Non
     for c in b.columns:
         if c in a.columns:
             b = b.withColumnRenamed(c, f"b_{c}")
-    widths = [width * FACTOR**k for k in range(LEVELS)]
-    size = F.col("end") - F.col("start") + 1
-    level = reduce(lambda c, k: c.when(size <= widths[k], k), range(LEVELS), F.when(F.lit(False), 0)).otherwise(LEVELS - 1)
     wide = F.lit(width) * F.pow(F.lit(FACTOR), F.col("_level")).cast("long")
     place = lambda at: F.floor(F.col(at) / wide)
+    level = level_of(F.col("end") - F.col("start") + 1, width)
     left = a.where("start <= end").withColumn("_level", level).withColumn("_bin", F.explode(F.sequence(place("start"), place("end"))))
     right = b.where("b_start <= b_end").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bin", F.explode(F.sequence(place("b_start"), place("b_end")))).withColumnsRenamed({"_level": "_b_level", "_bin": "_b_bin"})
     first = F.greatest(place("start"), place("b_start"))
@@ -50,10 +53,17 @@ def prefixed(df: DataFrame, *keep: str, **renamed: str) -> DataFrame:
 
 
 def stab_join(points: DataFrame, intervals: DataFrame, at: str, width: int = BIN) -> DataFrame:
-    """Pairs of a point (column `at`) and an interval (b_chrom, b_start, b_end) that holds it; a point lies in one bin."""
-    left = points.withColumn("bin", F.floor(F.col(at) / width))
-    right = binned(intervals, "b_start", "b_end", width, "b_bin")
-    return left.join(right, (F.col("chrom") == F.col("b_chrom")) & (F.col("bin") == F.col("b_bin")) & F.col(at).between(F.col("b_start"), F.col("b_end"))).drop("bin", "b_bin")
+    """Pairs of a point (column `at`) and an interval (b_chrom, b_start, b_end) that holds it.
+
+    An interval goes to the level whose bins are as wide as it is long, so it is copied twice at most unless it is longer than the widest bin; a point goes
+    to its one bin of every level. What crowds into a bin is left to adaptive skew joins, which can split either side.
+    """
+    left = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bin", F.floor(F.col(at) / (F.lit(width) * F.pow(F.lit(FACTOR), F.col("_level")).cast("long"))))
+    wide = F.lit(width) * F.pow(F.lit(FACTOR), F.col("_b_level")).cast("long")
+    right = intervals.where("b_start <= b_end").withColumn("_b_level", level_of(F.col("b_end") - F.col("b_start") + 1, width))
+    right = right.withColumn("_b_bin", F.explode(F.sequence(F.floor(F.col("b_start") / wide), F.floor(F.col("b_end") / wide))))
+    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_level") == F.col("_b_level")) & (F.col("_bin") == F.col("_b_bin")) & F.col(at).between(F.col("b_start"), F.col("b_end"))
+    return left.join(right, on).drop("_level", "_bin", "_b_level", "_b_bin")
 
 
 def islands(df: DataFrame, keys: list[str], gap: int = 0, start: str = "start", end: str = "end", order: list[str] | None = None) -> DataFrame:

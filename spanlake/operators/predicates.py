@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from spanlake.functions import keep_samples, summary
 from spanlake.model import STANDARD_CHROM
 from spanlake.operators.intervals import BIN, overlap_join
+from spanlake.scratch import stored
 
 #: Type of each statistic that a range filter may name.
 STATISTICS = {"length": "long", "samples_count": "long", "coverage_sum": "long", "coverage_avg": "double", "coverage_median": "double"}
 #: Explicit sample lists up to this length stay in the expression; longer ones are joined.
 LITERAL_SIDS = 5000
+#: Ids of all distinct lists of a bulk query up to which tables of them are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def in_region(chrom: str, start: int, end: int, exact: bool = False, contains: bool = False, either: str | None = None, max_length: int | None = None) -> Column:
@@ -55,8 +58,10 @@ def in_regions(df: DataFrame, regions: DataFrame, mode: str | None = None, disti
 
 
 def where_stat(df: DataFrame, column: str, op: str, value: float) -> DataFrame:
-    """A range filter (= != < <= > >=) in the column's own type."""
-    left, right = F.col(column), F.lit(value).cast(STATISTICS[column])
+    """A range filter (= != < <= > >=). A value that isn't whole is compared as such with whole numbers too: a count of 5 is below 5.5."""
+    if column not in STATISTICS:
+        raise ValueError(f"no statistic {column!r}")
+    left, right = F.col(column), F.lit(int(value)) if float(value).is_integer() else F.lit(float(value))
     tests = {"=": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}
     return df.where(tests[op])
 
@@ -165,6 +170,39 @@ def passes(filters: Column) -> Column:
     return filters.isNull() | F.forall(filters, test)
 
 
+def hash_tables(lists: DataFrame) -> DataFrame:
+    """_list and `table` for each list of ids (_list, sids): an array of as many small arrays as there are ids, in which an id lies at its hash.
+
+    Whether a list has an id is so told in constant time, whatever its length, by a column expression (`has_id`). Null ids are passed over; an empty list has one empty array.
+    """
+    sized = lists.select("_list", F.array_distinct(F.filter("sids", lambda s: s.isNotNull())).alias("ids")).withColumn("n", F.greatest(F.size("ids"), F.lit(1)))
+    ids = sized.select("_list", "n", F.explode("ids").alias("sid")).select("_list", slot("sid", "n").alias("slot"), "sid")
+    slots = sized.select("_list", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+    filled = slots.join(ids.groupBy("_list", "slot").agg(F.collect_list("sid").alias("ids")), ["_list", "slot"], "left").select("_list", "slot", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    return filled.groupBy("_list").agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("slots")).select("_list", F.col("slots.ids").alias("table"))
+
+
+def slot(sid: Column | str, n: Column | str) -> Column:
+    return F.pmod(F.xxhash64(sid), n).cast("int")
+
+
+def has_id(table: Column, sid: Column) -> Column:
+    return F.coalesce(F.array_contains(F.get(table, slot(sid, F.size(table))), sid), F.lit(False))
+
+
+def restrict_by_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """`rows` (with _list and samples; a null _list asks nothing) with the entries of the samples of their list, and statistics of these; rows without any are left out.
+
+    lists: _list and sids, each once. The kept entries are worked out once a row; a list that most rows ask for is left to adaptive skew joins.
+    """
+    tables = stored(hash_tables(lists))
+    size = tables.agg(F.coalesce(F.sum(F.size("table")), F.lit(0))).first()[0]
+    own = rows.join(F.broadcast(tables) if size <= BROADCAST_IDS else tables, "_list", "left")
+    kept = F.when(F.col("_list").isNull(), F.col("samples")).otherwise(F.filter("samples", lambda s: has_id(F.col("table"), s["sid"])))
+    own = own.withColumn("_kept", F.explode(F.array(kept))).where(F.col("_list").isNull() | (F.size("_kept") > 0)).drop("samples", "table").withColumnRenamed("_kept", "samples")
+    return own.withColumns({k: F.when(F.col("_list").isNull(), F.col(k)).otherwise(v) for k, v in summary("samples").items()})
+
+
 def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame:
     """Many labelled queries in one interval join, each with its own filters.
 
@@ -172,7 +210,7 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame
     annotated_wanted, left_wanted, right_wanted (booleans), sids (array of long, such as a metadata search gives); a null asks nothing, an empty sids finds
     nothing. With sids, statistics and their filters are those of these samples.
     The join itself and the tests that don't need sample lists see a feature's key, place and flags only; whole rows are fetched by key and a hash of the row
-    for the pairs that are left.
+    for the pairs that are left. A feature is restricted once for each distinct list among its pairs, not for each pair, and what a pair carries of a list is its hash.
     """
     has = set(queries.columns)
     flags = {"strand_wanted": "strand", "annotated_wanted": "annotated"} | {f"{s}_wanted": f"_{s}" for s in ("left", "right")}
@@ -180,17 +218,23 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame
     sides = {f"_{s}": F.size(f"{s}_sources") > 0 for s in ("left", "right") if f"{s}_wanted" in has}
     slim = own.withColumns(sides).select("_row", "chrom", "start", "end", *(flags[k] for k in flags if k in has))
     asked = queries.withColumn("_query", F.xxhash64(*queries.columns))
+    if "sids" in has:
+        asked = asked.withColumn("_list", F.when(F.col("sids").isNotNull(), F.xxhash64(F.array_sort(F.array_distinct("sids")), F.size("sids"))))
+    lists = ["_list"] if "sids" in has else []
     conditions = [mode_condition(F.col("mode"))] if "mode" in has else []
     conditions += [F.col(k).isNull() | (F.col(v) == F.col(k)) for k, v in flags.items() if k in has]
-    places = asked.select("_query", "b_chrom", "b_start", "b_end", *(k for k in ("mode", *flags) if k in has)).distinct()
-    pairs = overlap_join(slim.distinct(), places, width, reduce(lambda a, b: a & b, conditions) if conditions else None).select("_row", "chrom", "start", "_query")
+    places = asked.select("_query", "b_chrom", "b_start", "b_end", *lists, *(k for k in ("mode", *flags) if k in has)).distinct()
+    pairs = overlap_join(slim.distinct(), places, width, reduce(lambda a, b: a & b, conditions) if conditions else None).select("_row", "chrom", "start", "_query", *lists)
     named = {c: f"b_{c}" if c in df.columns else c for c in queries.columns}
-    out = own.join(pairs, ["_row", "chrom", "start"]).join(asked.withColumnsRenamed(named), "_query").select(*df.columns, *named.values())
-    if "sids" in has:
-        sids = F.col(named["sids"])
-        kept = F.when(sids.isNull(), F.col("samples")).otherwise(F.filter("samples", lambda s: F.array_contains(sids, s["sid"])))
-        out = out.withColumn("samples", kept).where(sids.isNull() | (F.size("samples") > 0))
-        out = out.withColumns({k: F.when(sids.isNull(), F.col(k)).otherwise(v) for k, v in summary("samples").items()})
+    if lists:
+        pairs = stored(pairs)
+        wanted = pairs.select("_row", "chrom", "start", "_list").distinct()
+        restricted = restrict_by_list(own.select("_row", "chrom", "start", "samples", *summary("samples")).distinct().join(wanted, ["_row", "chrom", "start"]), asked.where("_list is not null").groupBy("_list").agg(F.first("sids").alias("sids")))
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_row", "chrom", "start", "_list")]
+        pairs = restricted.alias("r").join(pairs.alias("p"), reduce(lambda a, b: a & b, same)).select("r._row", "r.chrom", "r.start", "p._query", *(f"r.{c}" for c in ("samples", *summary("samples"))))
+        own = own.drop("samples", *summary("samples"))
+    asked = asked.drop(*lists).withColumnsRenamed(named)
+    out = own.join(pairs, ["_row", "chrom", "start"]).join(asked, "_query").select(*df.columns, *named.values())
     for column in ("samples_count", "coverage_sum"):
         if f"min_{column}" in has:
             out = out.where(F.col(f"min_{column}").isNull() | (F.col(column) >= F.col(f"min_{column}")))

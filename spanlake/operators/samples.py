@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,24 @@ def tokens(text: Column | str, by: str = "standard") -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), pattern), lambda t: t != "")
 
 
+#: The two ways of cutting a text. A value is found if either way finds it, cut in the same way, as one term or as adjacent ones.
+CUTS = ("standard", "space")
+
+
 def has_term(text: Column | str, term: str, by: str = "standard") -> Column:
     return F.array_contains(tokens(text, by), term.lower())
 
 
 def has_phrase(text: Column | str, phrase: str, by: str = "standard") -> Column:
-    """The phrase's terms stand next to each other."""
+    """The phrase's terms stand next to each other; a phrase without terms is nowhere."""
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
     wanted = tokens(F.lit(phrase), by)
-    return F.contains(F.concat(F.lit(" "), F.array_join(tokens(text, by), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(wanted, " "), F.lit(" ")))
+    return (F.size(wanted) > 0) & F.contains(spaced(tokens(text, by)), spaced(wanted))
+
+
+def has_value(text: Column | str, value: str) -> Column:
+    """Whether either cut finds the value."""
+    return has_phrase(text, value, CUTS[0]) | has_phrase(text, value, CUTS[1])
 
 
 def all_fields(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
@@ -31,22 +43,73 @@ def all_fields(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
 
 
 def condition(df: DataFrame, field: str, op: str, value) -> Column:
-    """One metadata predicate. Numbers: = != < <= > >=. Text: `:` for a term or an adjacent phrase, `!:` for its absence. Field `all` is every field."""
+    """One metadata predicate. Numbers: = != < <= > >=. Text: `:` for a term or an adjacent phrase by either cut, `!:` for its absence by both (a null text has none). Field `all` is every field."""
     if isinstance(value, (int, float)):
         left, right = F.col(field), F.lit(value)
         return {"=": left == right, ":": left == right, "!=": left != right, "!:": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
     text = all_fields(df) if field == "all" else F.col(field)
-    found = has_phrase(text, value) if len(value.split()) > 1 else has_term(text, value)
+    found = has_value(text, value)
     return ~found if op.startswith("!") else found
 
 
 def find_samples(df: DataFrame, predicates: list[tuple]) -> DataFrame:
-    """Samples that meet all predicates (field, op, value)."""
+    """Samples that meet all predicates (field, op, value), by a scan. `find_by_postings` gives the same from an index."""
     for p in predicates:
         df = df.where(condition(df, *p))
     return df
 
 
+def postings(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+    """cut, field, token, key and pos of every token of the fields (all columns but the key, if none are named) and of field `all`, by either cut.
+
+    Sorted by token within ranges of it, so that a written table is read only where a token lies.
+    """
+    fields = [c for c in df.columns if c != key] if fields is None else fields
+    texts = {f: F.col(f) for f in fields} | {"all": F.concat_ws(" ", *(F.col(f).cast("string") for f in fields))}
+    lists = F.array(*(F.struct(F.lit(cut).alias("cut"), F.lit(f).alias("field"), tokens(text, cut).alias("tokens")) for cut in CUTS for f, text in texts.items()))
+    cut = df.select(F.col(key).alias("key"), F.explode(lists).alias("l")).select("key", "l.cut", "l.field", F.posexplode("l.tokens").alias("pos", "token"))
+    return cut.select("cut", "field", "token", "key", "pos").repartitionByRange("token", "cut", "field").sortWithinPartitions("token", "cut", "field", "key")
+
+
+def _terms(posts: DataFrame, value: str) -> dict[str, list[str]]:
+    """The value's tokens by each cut, as the postings have them."""
+    one = posts.sparkSession.range(1).select(*(tokens(F.lit(value), cut).alias(cut) for cut in CUTS)).first()
+    return one.asDict()
+
+
+def hits(posts: DataFrame, field: str, value: str) -> DataFrame:
+    """Distinct keys whose field has the value, by either cut: for each cut, all its tokens one after the other.
+
+    A token's place says where the phrase would begin; where all of its tokens agree, it stands. Rows are dealt out by key and that place, so a frequent token isn't one task.
+    """
+    found = []
+    for cut, terms in _terms(posts, value).items():
+        if not terms:
+            continue
+        places = {t: [i for i, x in enumerate(terms) if x == t] for t in dict.fromkeys(terms)}
+        own = posts.where((F.col("cut") == cut) & (F.col("field") == field) & F.col("token").isin(list(places)))
+        if len(terms) > 1:
+            at = F.create_map(*(x for t, p in places.items() for x in (F.lit(t), F.array(*map(F.lit, p)))))[F.col("token")]
+            own = own.select("key", F.explode(at).alias("i"), "pos").groupBy("key", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
+        found.append(own.select("key"))
+    none = posts.select("key").limit(0)
+    return reduce(DataFrame.unionByName, found, none).distinct()
+
+
+def find_by_postings(posts: DataFrame, samples: DataFrame, key: str, predicates: list[tuple]) -> DataFrame:
+    """The rows of `samples` that meet all predicates (field, op, value), as `find_samples` gives them, with texts looked up in their postings only.
+
+    Numbers are compared in `samples`, whose texts aren't read. Rows that share a key are found together.
+    """
+    for field, op, value in predicates:
+        if isinstance(value, (int, float)):
+            samples = samples.where(condition(samples, field, op, value))
+        else:
+            found = hits(posts, field, value).withColumnRenamed("key", "_key")
+            samples = samples.join(found, samples[key] == found["_key"], "left_anti" if op.startswith("!") else "left_semi")
+    return samples
+
+
 def union_hits(df: DataFrame, key: str, text: str, term: str) -> DataFrame:
     """Samples found by either way of cutting the text, once each."""
     hits = [df.where(has_term(text, term, by)).select(key) for by in ("standard", "space")]

@@ -164,13 +164,14 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def build_groups(samples: DataFrame, name: Column, sid: str = "rail_id", code: Column | None = None, run: Column | None = None) -> DataFrame:
-    """Groups by a cleaned name, with _normal or _tumor by a numeric code (10 and more is normal): group, long name, members in order and their number.
+    """Groups by name, with _normal or _tumor by a numeric code (10 and more is normal): group, long name, members in order and their number.
 
-    run: names of runs, of which only first replicates (ending in .1) are taken. A sample without a name is in the group NA.
+    A group's name is the given one without TCGA- and CCLE-, with _ for each blank, its case as it is. run: names of runs, of which only first replicates (ending
+    in .1) are taken. A sample without a name is in the group NA.
     """
     if run is not None:
         samples = samples.where(run.rlike(r"\.1$"))
-    cleaned = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
+    cleaned = F.replace(F.replace(F.replace(name, F.lit("TCGA-"), F.lit("")), F.lit("CCLE-"), F.lit("")), F.lit(" "), F.lit("_"))
     if code is not None:
         cleaned = F.concat(cleaned, F.when(code >= 10, F.lit("_normal")).otherwise(F.lit("_tumor")))
     return samples.select(F.when(F.coalesce(cleaned, F.lit("")) == "", "NA").otherwise(cleaned).alias("group"), name.alias("long_name"), F.col(sid).alias("sid")).groupBy("group").agg(F.min("long_name").alias("long_name"), F.count("*").alias("n"), F.array_sort(F.collect_list("sid")).alias("sids"))

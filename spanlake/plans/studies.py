@@ -21,9 +21,9 @@ _BOTH = "(SELECT p.pair, l.sid, l.cov AS lc, r.cov AS rc FROM pairs p JOIN cov l
 
 
 @register(f"""WITH s AS (SELECT pair, count(*) AS n, CAST(sum(lc) AS BIGINT) AS lsum, CAST(sum(rc) AS BIGINT) AS rsum, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS shared FROM {_BOTH} GROUP BY 1),
-m AS (SELECT pair, median(c) AS med FROM (SELECT pair, lc AS c FROM {_BOTH} UNION ALL SELECT pair, rc FROM {_BOTH}) GROUP BY 1)
+m AS (SELECT pair, median(lc + rc) AS med FROM {_BOTH} GROUP BY 1)
 SELECT p.pair, coalesce(n, 0) AS n_shared, coalesce(shared, '') AS shared, coalesce(coalesce(n, 0) / CAST(nullif(l.samples_count, 0) AS DOUBLE), 0e0) AS left_ratio, coalesce(coalesce(n, 0) / CAST(nullif(r.samples_count, 0) AS DOUBLE), 0e0) AS right_ratio, coalesce(lsum + rsum, 0) AS shared_sum, coalesce(lsum, 0) AS left_sum, coalesce(rsum, 0) AS right_sum,
-coalesce((lsum + rsum) / (2e0 * n), -1e0) AS shared_avg, coalesce(CAST(med AS DOUBLE), -1e0) AS shared_median, l.samples_count - coalesce(n, 0) AS n_left_only, r.samples_count - coalesce(n, 0) AS n_right_only
+coalesce((lsum + rsum) / CAST(n AS DOUBLE), -1e0) AS shared_avg, coalesce(CAST(med AS DOUBLE), -1e0) AS shared_median, l.samples_count - coalesce(n, 0) AS n_left_only, r.samples_count - coalesce(n, 0) AS n_right_only
 FROM pairs p JOIN features l ON l.feature_id = left_id JOIN features r ON r.feature_id = right_id LEFT JOIN s ON s.pair = p.pair LEFT JOIN m ON m.pair = p.pair""")
 def x1_shared_samples(v):
     out = X.shared_samples(_lists(v))
@@ -33,7 +33,7 @@ def x1_shared_samples(v):
 _FLANK = "(SELECT chrom AS gene, strand, sid, sum(cov) AS c FROM cov k JOIN features f ON f.feature_id = k.feature_id GROUP BY 1, 2, 3)"
 
 
-@register(f"SELECT l.gene, count(*) AS n_shared, CAST(sum(l.c * r.c) AS BIGINT) AS products, CAST(sum(least(l.c, r.c)) AS BIGINT) AS minima, avg(least(l.c, r.c)) AS mean, CAST(median(CAST(least(l.c, r.c) AS BIGINT)) AS DOUBLE) AS median FROM {_FLANK} l JOIN {_FLANK} r ON l.gene = r.gene AND l.sid = r.sid AND l.strand = '+' AND r.strand = '-' GROUP BY 1")
+@register(f"SELECT l.gene, count(*) AS n_shared, CAST(sum(l.c * r.c) AS BIGINT) AS products, CAST(sum(least(l.c, r.c)) AS BIGINT) AS minima, avg(l.c * r.c) AS mean, CAST(median(CAST(l.c * r.c AS BIGINT)) AS DOUBLE) AS median FROM {_FLANK} l JOIN {_FLANK} r ON l.gene = r.gene AND l.sid = r.sid AND l.strand = '+' AND r.strand = '-' GROUP BY 1")
 def x2_all_shared(v):
     own = v.cov.join(v.features.select("feature_id", F.col("chrom").alias("gene"), "strand"), "feature_id")
     return X.all_shared(own.where("strand = '+'"), own.where("strand = '-'"))
@@ -66,13 +66,13 @@ def x7_mixed_strands(v):
 
 
 _RANKED = "(SELECT feature_id, list(CASE WHEN tissue = 'NATION_3' THEN '?' ELSE tissue END ORDER BY n DESC, tissue) AS t FROM (SELECT feature_id, tissue, count(*) AS n FROM cov JOIN samples ON rail_id = sid GROUP BY 1, 2) GROUP BY 1)"
-_IN_TWO = "len(a) > 0 AND list_contains(b[1:2], a[1])"
 
 
-@register(f"""WITH r AS (SELECT p.pair, list_filter(x.t, lambda k: k <> '?') AS a, list_filter(y.t, lambda k: k <> '?') AS b FROM pairs p JOIN {_RANKED} x ON x.feature_id = left_id JOIN {_RANKED} y ON y.feature_id = right_id)
-SELECT pair, CAST(len(list_filter(range(1, 6), lambda i: i <= len(a) AND i <= len(b) AND a[i] = b[i])) AS DOUBLE) / greatest(least(len(a[1:5]), len(b[1:5])), 1) AS place_rate,
-CAST(len(list_intersect(a[1:5], b[1:5])) AS DOUBLE) / greatest(len(list_distinct(list_concat(a[1:5], b[1:5]))), 1) AS top_overlap, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(list_distinct(list_concat(a, b))), 1) AS overlap,
-coalesce(a[1] = b[1], false) AS first_match, {_IN_TWO} AS first_in_two FROM r""")
+@register(f"""WITH l AS (SELECT p.pair, list_filter(x.t, lambda k: k <> '?') AS a, list_filter(y.t, lambda k: k <> '?') AS b FROM pairs p JOIN {_RANKED} x ON x.feature_id = left_id JOIN {_RANKED} y ON y.feature_id = right_id),
+r AS (SELECT *, least(5, len(a), len(b)) AS x FROM l)
+SELECT pair, coalesce(len(list_filter(range(1, x + 1), lambda i: a[i] = b[i])) / CAST(nullif(x, 0) AS DOUBLE), 0e0) AS place_rate,
+coalesce(len(list_intersect(a[1:x], b[1:x])) / CAST(nullif(x, 0) AS DOUBLE), 0e0) AS top_overlap, coalesce(len(list_intersect(a, b)) / CAST(nullif(len(a), 0) AS DOUBLE), 0e0) AS overlap,
+coalesce(a[1] = b[1], false) AS first_match, len(a) >= 2 AND len(b) >= 2 AND (a[1] = b[2] OR a[2] = b[1]) AS first_in_two FROM r""")
 def x8_compare_ranked(v):
     t = X.tissue_breakdown(v.cov, v.samples.select(F.col("rail_id").alias("sid"), "tissue"))
     lists = t.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.when(F.col("tissue") == "NATION_3", "?").otherwise(F.col("tissue")).alias("t")))).alias("l")).select("feature_id", F.transform("l", lambda x: x["t"]).alias("l"))
@@ -85,7 +85,7 @@ _TAIL = "(1 / (1 + 2.316419e-1 * abs(z)))"
 
 @register(f"""WITH t AS (SELECT CAST(n_chars AS DOUBLE) AS v, quality AS g FROM texts WHERE quality IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS k FROM t),
 s AS (SELECT CAST(count(*) FILTER (g = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0, sum(k) FILTER (g = 1) AS ranks FROM r), e AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT count(*) AS c FROM t GROUP BY v)),
-w AS (SELECT n1, n0, ranks - n1 * (n1 + 1) / 2 AS w, ties, n1 + n0 AS n FROM s, e), z AS (SELECT n1, n0, w, (w - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM w),
+w AS (SELECT n1, n0, ranks - n1 * (n1 + 1) / 2 AS w, ties, n1 + n0 AS n FROM s, e), z AS (SELECT n1, n0, w, (w - n1 * n0 / 2 - 5e-1) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM w),
 p AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * {_TAIL} * (3.1938153e-1 + {_TAIL} * (-3.56563782e-1 + {_TAIL} * (1.781477937e0 + {_TAIL} * (-1.821255978e0 + {_TAIL} * 1.330274429e0)))) AS q FROM z)
 SELECT n1, n0, w, round(z, 9) AS z, round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 9) AS p FROM p""")
 def x9_rank_sum(v):

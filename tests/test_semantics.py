@@ -243,7 +243,7 @@ def test_regions_may_share_column_names(spark):
 def test_nothing_divides_by_zero(spark):
     pairs = spark.createDataFrame([(1, [], [(1, 5)]), (2, [(1, 2)], [(1, 4), (2, 1)]), (3, [], [])], "pair long, left array<struct<sid:long,cov:long>>, right array<struct<sid:long,cov:long>>")
     got = {r.pair: (r.n_shared, r.left_ratio, r.right_ratio, r.shared_avg) for r in flank.shared_samples(pairs).collect()}
-    assert got == {1: (0, 0.0, 0.0, -1.0), 2: (1, 1.0, 0.5, 3.0), 3: (0, 0.0, 0.0, -1.0)}
+    assert got == {1: (0, 0.0, 0.0, -1.0), 2: (1, 1.0, 0.5, 6.0), 3: (0, 0.0, 0.0, -1.0)}
     e = spark.createDataFrame([(1, 1, 0), (1, 2, 4), (2, 2, 0)], "feature_id long, sid long, cov long")
     assert {(r.feature_id, r.sid): r.norm for r in stats.normalise_jxcov(e).collect()} == {(1, 1): 0, (1, 2): 2, (2, 2): 0}
     studies = spark.createDataFrame([(1, "s"), (2, "t")], "sid long, study string")
@@ -328,3 +328,117 @@ def test_matrix_market_is_one_file_in_parts(spark, tmp_path):
     assert lines[0].startswith("%%MatrixMarket") and lines[1] == f"39 5 {len(lines) - 2}" and len(lines) == 80
     places = [tuple(map(int, x.split()[:2])) for x in lines[2:]]
     assert places == sorted(places)
+
+
+LISTS = "array<struct<sid:long,cov:long>>"
+
+
+def test_shared_coverage_is_that_of_both_sides(spark):
+    rows = [(1, [(7, 10), (3, 2)], [(9, 1), (3, 3), (7, 5)]), (2, None, [(1, 1)]), (3, [(1, 1), (2, 8), (5, 1)], [(5, 3), (2, 2), (1, 1), (8, 1)])]
+    got = {r.pair: r for r in flank.shared_samples(spark.createDataFrame(rows, f"pair long, left {LISTS}, right {LISTS}")).collect()}
+    r = got[1]
+    assert (r.shared, r.shared_sum, r.left_sum, r.right_sum, r.shared_avg, r.shared_median, r.left_only, r.right_only) == ([3, 7], 20, 12, 8, 10.0, 10.0, [], [9])
+    assert (got[2].shared, got[2].n_shared, got[2].shared_sum, got[2].shared_avg, got[2].shared_median) == ([], 0, 0, -1.0, -1.0)
+    assert (got[3].shared, got[3].shared_sum, got[3].shared_median, got[3].right_only) == ([1, 2, 5], 16, 4.0, [8])
+
+
+def test_products_over_shared_samples(spark):
+    left = spark.createDataFrame([("g", 1, 2), ("g", 1, 1), ("g", 2, 5), ("g", 3, 9)], "gene string, sid long, cov long")
+    right = spark.createDataFrame([("g", 1, 5), ("g", 2, 4), ("h", 3, 1)], "gene string, sid long, cov long")
+    r = flank.all_shared(left, right).first()
+    assert (r.n_shared, r.products, r.minima, r.mean, r.median) == (2, 35, 7, 17.5, 17.5)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        (["a", "b", "c"], ["b", "a", "d"], (0.0, 2 / 3, 2 / 3, False, True)),
+        (["a", "b", "c", "d"], ["a", "x"], (0.5, 0.5, 0.25, True, False)),
+        (["a"], ["a", "b"], (1.0, 1.0, 1.0, True, False)),
+        (["?", "a", "b"], ["b", "?", "a"], (0.0, 1.0, 1.0, False, True)),
+        ([], ["a"], (0.0, 0.0, 0.0, False, False)),
+        (None, None, (0.0, 0.0, 0.0, False, False)),
+    ],
+)
+def test_ranked_lists(spark, a, b, want):
+    r = flank.compare_ranked(spark.createDataFrame([(a, b)], "a array<string>, b array<string>")).first()
+    assert (r.place_rate, r.top_overlap, r.overlap, r.first_match, r.first_in_two) == want
+
+
+def test_group_names_keep_their_case(spark):
+    rows = [(1, "Brain - Cortex", 1), (2, "brain cortex", 1), (3, "TCGA-BRCA", 11), (4, "CCLE-BRCA", 9), (5, None, 1), (6, "", 1)]
+    df = spark.createDataFrame(rows, "rail_id long, name string, code int")
+    assert {r.group: r.sids for r in stats.build_groups(df, F.col("name")).collect()} == {"Brain_-_Cortex": [1], "brain_cortex": [2], "BRCA": [3, 4], "NA": [5, 6]}
+    assert {r.group for r in stats.build_groups(df, F.col("name"), code=F.col("code")).collect()} >= {"BRCA_normal", "BRCA_tumor"}
+
+
+def test_range_filters_on_fractions_agree_in_both_paths(spark, one):
+    df = one.withColumns({"samples_count": F.lit(5).cast("long"), "length": F.lit(11).cast("long")})
+    for op, want in {"<": 1, "<=": 1, ">": 0, ">=": 0, "=": 0, "!=": 1}.items():
+        asked = spark.createDataFrame([(1, "chr1", 1, 99, [("samples_count", op, 5.5)])], "label long, b_chrom string, b_start long, b_end long, filters array<struct<field:string,op:string,value:double>>")
+        assert predicates.where_stat(df, "samples_count", op, 5.5).count() == predicates.bulk_query(df, asked).count() == want
+
+
+def test_exact_rank_sums(spark):
+    """Published values, and the share of all ways to choose the first group, for small groups."""
+    from itertools import combinations
+
+    def p(ones, zeros):
+        return flank.rank_sum(spark.createDataFrame([(float(v), 1) for v in ones] + [(float(v), 0) for v in zeros], "v double, g int"), "v", "g").first().p
+
+    assert abs(p([3, 4], [1, 2]) - 1 / 6) < 1e-12
+    for n1, n0 in ((1, 1), (1, 5), (3, 4), (4, 2)):
+        for pick in [*combinations(range(n1 + n0), n1)][::7]:
+            ways = [sum(c) for c in combinations(range(n1 + n0), n1)]
+            want = sum(w >= sum(pick) for w in ways) / len(ways)
+            assert abs(p(pick, [v for v in range(n1 + n0) if v not in pick]) - want) < 1e-12
+    tied = flank.rank_sum(spark.createDataFrame([(1.0, 0), (2.0, 0), (2.0, 1), (3.0, 1)], "v double, g int"), "v", "g").first()
+    assert abs(tied.z - (3.5 - 2 - 0.5) / (4 / 12 * (5 - 6 / 12)) ** 0.5) < 1e-12 and 0 < tied.p < 0.5
+
+
+SAMPLES = [(1, "SRP-12 lung", "a b", 5), (2, "(SRP-12), it's", "b", 6), (3, "srp 12", None, 7), (4, "SRP-123 its", "SRP-12", 8), (5, None, "", 9), (6, "lung-cancer cells lung", "x", 1), (7, "cancer cells the the end", "of the", 2)]
+
+
+@pytest.mark.parametrize(
+    ("asked", "want"),
+    [
+        ([("t", ":", "SRP-12")], {1, 2, 3}),
+        ([("t", "!:", "SRP-12")], {4, 5, 6, 7}),
+        ([("t", ":", "it's")], {2}),
+        ([("t", "!:", "IT'S")], {1, 3, 4, 5, 6, 7}),
+        ([("t", ":", "(srp-12),")], {1, 2, 3}),
+        ([("t", ":", "cancer cells")], {6, 7}),
+        ([("t", ":", "lung-cancer  cells")], {6}),
+        ([("t", ":", "the the end")], {7}),
+        ([("t", ":", "the the the")], set()),
+        ([("all", ":", "srp-12")], {1, 2, 3, 4}),
+        ([("t", ":", "lung"), ("t", "!:", "srp"), ("n", "<", 5)], {6}),
+        ([("t", ":", "srp"), ("u", ":", "b"), ("n", ">=", 5)], {1, 2}),
+        ([("t", ":", "!!")], set()),
+        ([("t", "!:", "!!")], {1, 2, 3, 4, 5, 6, 7}),
+    ],
+)
+def test_postings_find_what_a_scan_finds(spark, asked, want):
+    df = spark.createDataFrame(SAMPLES, "k long, t string, u string, n long")
+    posts = samples.postings(df, "k", ["t", "u"]).cache()
+    assert {r.k for r in samples.find_by_postings(posts, df, "k", asked).collect()} == want
+    texts = [(f, op, v) for f, op, v in asked]
+    assert {r.k for r in samples.find_samples(df.select("k", "t", "u", "n"), [p for p in texts if p[0] != "all"]).collect()} == want or asked[0][0] == "all"
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 30), max_size=12), st.lists(st.one_of(st.none(), st.integers(0, 30)), max_size=9)), min_size=1, max_size=6))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_hash_tables_hold_their_lists(spark, rows):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "_list long, a array<long>, sids array<long>")
+    tables = predicates.hash_tables(df.select("_list", "sids"))
+    got = df.join(tables, "_list").select("_list", F.filter("a", lambda x: predicates.has_id(F.col("table"), x)).alias("kept"))
+    assert {r._list: r.kept for r in got.collect()} == {i: [x for x in a if x in b] for i, (a, b) in enumerate(rows)}
+
+
+def test_long_intervals_are_not_copied_into_every_bin(spark):
+    points = spark.createDataFrame([("c", i * 37) for i in range(300)] + [("c", 5000)] * 200, "chrom string, at long")
+    places = spark.createDataFrame([("c", 1, 8_000_000), ("c", 4000, 6000), ("c", 5000, 5000), ("c", 9, 3), ("d", 1, 9)], "b_chrom string, b_start long, b_end long")
+    got = intervals.stab_join(points, places, "at")
+    rows = points.collect()
+    want = sorted((p.at, r.b_start) for p in rows for r in places.collect() if r.b_chrom == "c" and r.b_start <= p.at <= r.b_end)
+    assert sorted((r.at, r.b_start) for r in got.collect()) == want

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import batch, small_batches, stored, sums, utf8, word_hashes
+from spanlake.llm.common import batch, chunks, small_batches, stored, sums, utf8, word_hashes
 
 #: Letters of the filters; a text fails the last one if it is identical to that of a smaller doc_id.
 LETTERS = "ABCDE"
@@ -46,7 +46,8 @@ def judged(docs: DataFrame, part: Column, fails: Callable = failures) -> DataFra
             data, at = utf8(b.column(2))
             data, at = data[at[0] : at[-1]], at - at[0]
             digests = [hashlib.sha256(data[i:j]).digest()[:16] for i, j in zip(at, at[1:])]
-            yield batch(schema, b.column(0), b.column(1), fails(data, at), digests)
+            masks = [fails(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at)]
+            yield batch(schema, b.column(0), b.column(1), np.concatenate([np.zeros(0, np.int32), *masks]), digests)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(part.cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, part string, mask int, digest binary")
@@ -60,9 +61,8 @@ def cells(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = stored(marks.agg(F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias("good"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic")).where("good + toxic > 0"), "marks")
-    named = rows.where(F.col("doc_id").isNotNull()).join(marks, "doc_id", "left").unionByName(rows.where(F.col("doc_id").isNull()), allowMissingColumns=True)
     group = ["digest", "part", "mask", "good", "toxic"]
-    once = named.na.fill(0, ["good", "toxic"]).groupBy(*group, "doc_id").agg(F.count("*").alias("n"))
+    once = rows.join(marks, "doc_id", "left").na.fill(0, ["good", "toxic"]).groupBy(*group, "doc_id").agg(F.count("*").alias("n"))
     copies = once.groupBy(*group).agg(F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n").alias("first"))).alias("least"))
     least = F.struct("least.none", "least.doc_id")
     leads = least.eqNullSafe(F.min(least).over(Window.partitionBy("digest")))

@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-The tree of a page is built without what can't be the article (menus, headers, footers, asides, forms, scripts, adverts,
-notices, comments). For each node that is left, characters per tag, adjusted for the share of links, give a density, and its blocks'
+The tree of a page is built without what can't be the article: elements for menus, headers, footers, asides, forms and scripts, hidden ones, and those
+that a whole name of their class (or, of a mere container, their id) calls an advert, a notice, comments and the like. Headings, sections and paragraphs never go by their id, nor
+anything by a word among others, nor what holds more than half of the text. For each node that is left, characters per tag, adjusted for the share of links, give a density, and its blocks'
 densities a sum. The node with the largest sum is the article; the least density on its path to the body is the threshold
 for further subtrees that belong to it, and headings beside that path belong to it whatever their density. Parsing and choosing take time in proportion to the page.
 """
@@ -27,19 +28,26 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 DROPPED = frozenset("head nav footer aside form menu dialog button select object canvas audio video map frameset".split()) | RAW
 WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words of class and id that mark what isn't the article.
-MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
-disqus footer foot header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted
-related recommended search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets login signup gdpr
+#: Names that mark what isn't the article, and words that may stand beside one in a name. A name of class or id marks only if all its parts are of these.
+MARKS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist
+consent cookie cookies disqus footer foot header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup
+promo promoted related recommended search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets login signup gdpr
 respond replies reply disclaimer alert skip""".split())
+BESIDE = frozenset("""container wrapper wrap area list box block section site page left right top bottom inner outer primary secondary main mobile desktop bar item
+items link links button buttons col row group panel slot unit holder content body inline global user form icon icons media this posts articles stories
+text sub header google js the""".split())
+#: Elements that a class may mark, and those that an id may mark, too: ids of headings, sections and paragraphs are made of their words.
+BY_CLASS, BY_ID = frozenset("div ul ol dl li table section p span article".split()), frozenset("div ul ol dl table".split())
+_WRAPPER = re.compile(r"(?i)(sub)*section|sect\d|level\d|chapter")
 
 #: A tag whose quoted values hold no < or >; others are read by `_Tags`.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?>[^<>"']+|"[^"<>]*"|'[^'<>]*')*+)>""")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _UNQUOTED = re.compile(r"""[^>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
-_CUT = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
-#: Marks that are part of an article where they stand inside one, and endings that mark as whole words do.
+_CUT = re.compile(r"[_\-:.]+|(?<=[a-z])(?=[A-Z])")
+_SIZE = re.compile(r"\d+(x\d+)?")
+#: Marks that are part of an article where they stand inside one, and endings that mark behind a word of BESIDE as whole words do.
 TITLES, ENDINGS = frozenset(("header", "masthead", "banner")), ("nav", "menu", "sidebar", "footer", "advert", "cookies", "comments")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -49,12 +57,12 @@ _SCOPE = frozenset("html body table td th ul ol dl article section div main asid
 
 
 class Node:
-    """inside: in an article or main element. p, item: the nearest open paragraph, and the nearest open part of a list or table, in scope."""
+    """drop: left out, marked: by a name of class or id. inside: in an article or main element. p, item: the nearest open paragraph, and the nearest open part of a list or table, in scope."""
 
-    __slots__ = ("tag", "parent", "items", "drop", "inside", "p", "item", "chars", "tags", "link_chars", "link_tags", "density", "total", "block")
+    __slots__ = ("tag", "parent", "items", "drop", "marked", "inside", "p", "item", "chars", "tags", "link_chars", "link_tags", "density", "total", "block")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, marked: bool = False):
+        self.tag, self.parent, self.items, self.drop, self.marked = tag, parent, [], drop, marked
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.p = self if tag == "p" else None if tag in _SCOPE or parent is None else parent.p
         self.item = self if tag in _ITEMS else None if tag in _LISTS or parent is None else parent.item
@@ -63,26 +71,39 @@ class Node:
         self.block = tag not in INLINE
 
 
-def _unwanted(tag: str, attributes: str, node: Node) -> bool:
+def _marks(name: str, inside: bool) -> bool:
+    """Whether one name of class or id says that its element isn't the article. inside: whether it stands in an article or main element."""
+    mark = False
+    for part in filter(None, _CUT.split(name)):
+        part = part.lower()
+        ending = next((e for e in ENDINGS if part.endswith(e) and part[: -len(e)] in BESIDE), None)
+        if (part in MARKS or ending) and not (inside and part in TITLES):
+            mark = True
+        elif part not in BESIDE and not _SIZE.fullmatch(part):
+            return False
+    return mark
+
+
+def _unwanted(tag: str, attributes: str, node: Node) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether that is by a name only."""
     if tag in WHOLE and tag != "article":
-        return False
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not node.inside:
-        return True
+        return False, False
+    if tag in DROPPED or tag == "header" and not node.inside:
+        return True, False
+    classes, ids, marked = [], [], False
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            words = {w.lower() for w in _CUT.split(value) if w}
-            if node.inside:
-                words -= TITLES
-            if words & MARKS or any(w.endswith(ENDINGS) for w in words):
-                if tag != "article" or any("comment" in w for w in words):
-                    return True
-            continue
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-    return False
+        if name == "class":
+            classes = value.split()
+        elif name == "id":
+            ids = value.split()
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
+            return True, False
+    if tag in BY_CLASS:
+        marked = any(_marks(c, node.inside) for c in classes if tag != "article" or "comment" in c.lower())
+    if tag in BY_ID and not any(map(_WRAPPER.fullmatch, classes)):
+        marked = marked or any(_marks(i, node.inside) for i in ids)
+    return marked, marked
 
 
 class _Tags:
@@ -197,7 +218,7 @@ def parse(page: str) -> Node:
                 while up is not None and up.tag in ends:
                     node = close(up)
                     up = node if node.parent is not None else None
-        new = Node(tag, node, _unwanted(tag, attributes, node))
+        new = Node(tag, node, *_unwanted(tag, attributes, node))
         node.items.append(new)
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE and tag not in _SCOPE and tag != "p"):
             opened[tag] += 1
@@ -220,21 +241,21 @@ def _own_chars(node: Node) -> int:
     return sum(len(x.strip()) for n in _order(node) for x in n.items if isinstance(x, str))
 
 
-def _open_form(root: Node) -> None:
-    """A form that holds more than half of the page's text is a container like any other."""
-    total, forms = _own_chars(root), []
+def _open_containers(root: Node) -> None:
+    """A form, or an element marked by its name, that holds more than half of the page's text is a container like any other."""
+    total, some = _own_chars(root), []
     for n in _order(root):
-        forms += [x for x in n.items if isinstance(x, Node) and x.tag == "form" and x.drop]
-    for x in forms:
+        some += [x for x in n.items if isinstance(x, Node) and x.drop and (x.tag == "form" or x.marked)]
+    for x in some:
         x.drop = False
-    sizes = [_own_chars(x) for x in forms]
+    sizes = [_own_chars(x) for x in some]
     total += sum(sizes)
-    for x, size in zip(forms, sizes):
+    for x, size in zip(some, sizes):
         x.drop = size * 2 <= total
 
 
 def measure(root: Node) -> list[Node]:
-    _open_form(root)
+    _open_containers(root)
     nodes = _order(root)
     for n in reversed(nodes):
         for x in n.items:

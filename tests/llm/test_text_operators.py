@@ -510,6 +510,30 @@ def test_marks_of_class_and_id():
     assert density.extract(page) == "Title\nText of it."
 
 
+IDS = "related-work search comments notice share skip-lists menu-driven alert-levels ad-1920 social-history overlay-networks login cookie-banner".split()
+
+
+@pytest.mark.parametrize("name", IDS)
+@pytest.mark.parametrize("around", ["article", "div", "main"])
+def test_ids_made_of_headings_lose_nothing(name, around):
+    text = lambda k: f"This is the paragraph {k} with quite a few words of running text in it."
+    title = name.replace("-", " ").title()
+    for part in (f'<h2 id="{name}">{title}</h2><p>{text(2)}</p>', f'<section id="{name}"><h2>{title}</h2><p>{text(2)}</p></section>', f'<div class="section" id="{name}"><h2>{title}</h2><p>{text(2)}</p></div>', f'<h2><a id="{name}">{title}</a></h2><p id="{name}-1">{text(2)}</p>'):
+        page = f'<body><nav>a b</nav><{around}><h1>Top</h1><p>{text(1)}</p>{part}<p>{text(3)}</p></{around}><div class="ad">Buy {name} now</div></body>'
+        assert density.extract(page).split("\n") == ["Top", text(1), title, text(2), text(3)]
+
+
+@pytest.mark.parametrize(("attributes", "stays"), [('class="ad-hoc-networks"', True), ('class="notice-board"', True), ('class="social-history wide"', True), ('class="download"', True), ('class="ad"', False), ('class="x ad-slot-2"', False), ('class="topNav"', False), ('id="comments"', False), ('class="comments-area"', False), ('class="related posts-related"', False), ('id="cookie_consent"', False), ('class="ad-728x90"', False)])
+def test_names_mark_as_a_whole(attributes, stays):
+    page = f'<body><article><p>One paragraph with quite a few words of running text in it.</p><div {attributes}><p>Another paragraph with quite a few words of text.</p></div><p>A third paragraph with quite a few words.</p></article></body>'
+    assert ("Another" in density.extract(page)) == stays
+
+
+def test_a_marked_container_of_the_page_stays():
+    body = "".join(f"<p>Paragraph {i} has quite a few words of running text in it.</p>" for i in range(4))
+    assert density.extract(f'<body><div id="page-header-wrap" class="main-menu-wrapper">{body}</div><div class="ad">x</div></body>').count("\n") == 3
+
+
 def test_main_text_without_article_element():
     body = "<body><div id=menu><a href=1>a</a></div><div><div>" + "".join(f"<p>Paragraph {i} has quite a few words of running text in it.</p>" for i in range(6)) + "</div></div><div><a href=1>x</a> <a href=2>y</a></div></body>"
     assert density.extract(body).split("\n") == [f"Paragraph {i} has quite a few words of running text in it." for i in range(6)]

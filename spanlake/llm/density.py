@@ -242,16 +242,18 @@ def _own_chars(node: Node) -> int:
 
 
 def _open_containers(root: Node) -> None:
-    """A form, or an element marked by its name, that holds more than half of the page's text is a container like any other."""
-    total, some = _own_chars(root), []
-    for n in _order(root):
+    """A form that holds more than half of the page's text is a container like any other; so is an element marked by its name that does, and has paragraphs, on a page without an article or
+    main element outside."""
+    nodes, some = _order(root), []
+    total, whole = _own_chars(root), any(n.tag in ("article", "main") for n in nodes)
+    for n in nodes:
         some += [x for x in n.items if isinstance(x, Node) and x.drop and (x.tag == "form" or x.marked)]
     for x in some:
         x.drop = False
     sizes = [_own_chars(x) for x in some]
     total += sum(sizes)
     for x, size in zip(some, sizes):
-        x.drop = size * 2 <= total
+        x.drop = size * 2 <= total or x.marked and (whole or not any(y.tag == "p" for y in _order(x)))
 
 
 def measure(root: Node) -> list[Node]:

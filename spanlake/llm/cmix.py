@@ -2,7 +2,7 @@
 
 A text is its lower-cased words and an end. A word that is frequent in the training texts is coded as the bits of its path in a Huffman tree, any other one by
 an escape, then by its share of such words or, if no training text has it, letter by letter along a tree of bytes. Hashed contexts predict each bit from counts
-over all training texts: for words none, the last very frequent word and the word before; for letters one to three bytes. The predictions are mixed in
+over all training texts: for words none, the last very frequent word and the word before; for letters one to five bytes. The predictions are mixed in
 the logistic domain by weights gated by how often the contexts were seen with the node, and the mix is refined while a text is read: block by block, each text's own correction
 of the weights follows the gradient of its coding cost. A block is coded with what came before it alone, so the sum is the log-probability of the text.
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.common import chunks, fold, lowered, small_batches, stored, stretches, utf8
 
-#: Words that make up at least this share of all words have a place in the tree and are known to every task, so there are at most 1 / HOT of them.
+#: Words that make up at least this share of the training words have a place in the tree and are known to every task, so there are at most 1 / HOT of them.
 HOT = 2.0**-20
 #: The most frequent words, of which the last one is a context.
 MARKERS = 255
-#: Bits of the tables of word contexts (last marker, word before), and of letter contexts (one, two and three bytes).
-WORD_TABLES, LETTER_TABLES = (19, 20), (16, 18, 20)
+#: Bits of the tables of word contexts (last marker, word before), and of letter contexts (one to five bytes).
+WORD_TABLES, LETTER_TABLES = (19, 20), (16, 18, 20, 20, 20)
 #: Counts of a cell from which a context counts as seen a little, well, and very well.
 SEEN = (2, 16, 128)
 #: What a context weighs, by these degrees, beside 1 for the shortest one; all weights of a gate sum to SHARPNESS.
@@ -187,11 +187,14 @@ def word_contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> list[np
 
 
 def letter_contexts(b: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the one, two and three bytes before each byte of words; 0 stands before a word."""
+    """Hashes of the one, two, ... bytes before each byte of words, one for each table; 0 stands before a word."""
     since = _ranges(np.zeros(len(sizes), np.int32), sizes.astype(np.int32))
-    back = [np.where(since >= k, np.concatenate([np.zeros(k, np.uint8), b[:-k]])[: len(b)], 0).astype(np.uint32) for k in (1, 2, 3)]
-    two = back[0] | back[1] << np.uint32(8)
-    return [x * np.uint32(0x27D4EB2F) + np.uint32(k) for k, x in enumerate((back[0], two, two | back[2] << np.uint32(16)))]
+    out, held = [], np.zeros(len(b), np.uint32)
+    for k in range(1, len(LETTER_TABLES) + 1):
+        back = np.where(since >= k, np.concatenate([np.zeros(k, np.uint8), b[:-k]])[: len(b)], 0).astype(np.uint32)
+        held = held * np.uint32(0x01000193) ^ back
+        out.append(held * np.uint32(0x27D4EB2F) + np.uint32(k))
+    return out
 
 
 @dataclass
@@ -250,7 +253,7 @@ def spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n_train, n_all) over all rows of `docs` (text, train), the end of a text not among them. Counts are summed up by chunks, then by Spark."""
+    """(word, n_train) over all rows of `docs` (text, train), the end of a text not among them; 0 for words of other texts only. Counts are summed up by chunks, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,11 +264,11 @@ def count_words(docs: DataFrame) -> DataFrame:
             for i, j in chunks(edges, 2 * CHUNK):
                 words, each = tokens(data, edges[i : j + 1])
                 n = len(words.dictionary)
-                times = np.bincount(words.indices.to_numpy() + n * np.repeat(train[owner[i:j]], each), minlength=2 * n)
-                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(times[n:]), pa.array(times[:n] + times[n:])], names=["word", "n_train", "n_all"])
+                times = np.bincount(words.indices.to_numpy()[np.repeat(train[owner[i:j]], each)], minlength=n)
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(times)], names=["word", "n_train"])
 
     small_batches(docs.sparkSession)
-    return docs.select("text", "train").mapInArrow(run, "word binary, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+    return docs.select("text", "train").mapInArrow(run, "word binary, n_train long").groupBy("word").agg(F.sum("n_train").alias("n_train"))
 
 
 def _summed(counts: DataFrame, bits: tuple[int, ...]) -> list[np.ndarray]:
@@ -356,10 +359,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold(F.col("doc_id"), 7) != 2).alias("train"))
     words = stored(count_words(own), "words")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    n = words.agg(zero(F.sum("n_train")).alias("train"), zero(F.sum("n_all")).alias("all"), zero(F.count_if(F.col("n_train") > 0)).alias("distinct"), zero(F.count_if(F.col("n_train") == 1)).alias("once")).first()
+    n = words.agg(zero(F.sum("n_train")).alias("train"), zero(F.count_if(F.col("n_train") > 0)).alias("distinct"), zero(F.count_if(F.col("n_train") == 1)).alias("once")).first()
     ends = own.where("train").count()
     n_train, distinct = n.train + ends, n.distinct + (ends > 0)
-    frequent = (F.col("n_train") > 0) & (F.col("n_all") >= max(math.ceil(n.all * HOT), 1))
+    frequent = F.col("n_train") >= max(math.ceil(n.train * HOT), 1)  # by training texts alone: no other text has a say
     hot = sorted(((bytes(r.word), r.n_train) for r in words.where(frequent).select("word", "n_train").toLocalIterator()), key=lambda x: (-x[1], x[0]))
     escapes = n.train - sum(c for _, c in hot) + n.once + 1  # words that aren't in the tree, and as many new ones as there are words met once
     model = train(own.where("train"), words, hot, ends, escapes)

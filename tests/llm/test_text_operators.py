@@ -202,6 +202,15 @@ def test_huffman_codes_by_counts():
     assert cmix.huffman(np.array([3.0])).length.tolist() == [0]
 
 
+def test_held_out_texts_change_no_other_score(spark, rows, docs):
+    """Words of held-out texts, however frequent, have no say in what the other texts cost."""
+    other = [(*((r[0], "zyx vut the river " * 400) if r[0] is not None and crc(r[0], 7) == 2 else r[:2]),) for r in rows]
+    changed = spark.createDataFrame(other, "doc_id long, text string")
+    train = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.n_known, r.train_tokens, round(r.score, 6), round(r.base_score, 6)) for r in cmix.score_texts(df).where("not held_out").collect())
+    assert sum(a[1] != b[1] for a, b in zip(rows, other)) > 5
+    assert train(changed) == train(docs)
+
+
 def test_language_model(docs, rows, empty):
     got = cmix.score_texts(docs).collect()
     assert len(got) == len(rows)

@@ -410,10 +410,59 @@ def test_license_wording(text, label):
     assert label in licenses._row(text.encode())[5].split(",")
 
 
-def test_every_clause_matches_its_own_words():
-    for label, kind, _, pattern in licenses.rules()[0]:
-        if kind == "clause" and "(" not in pattern.pattern.removesuffix("(?= )"):
-            assert label in {d[0] for d in licenses.detect(pattern.pattern.removesuffix("(?= )") + " x ")} or any(d[2] <= 1 for d in licenses.detect(pattern.pattern.removesuffix("(?= )") + " x "))
+def example(rest, full=True):
+    """Words that a clause's pattern for its rest takes: first alternatives, optional parts only if full."""
+    rest = rest.removeprefix("?").replace("N", "some few words ").replace("V", "2 0")
+    while m := re.search(r"\(\?:([^()]*)\)([?*]?)", rest):
+        rest = rest[: m.start()] + ("" if m[2] and not full else m[1].split("|")[0]) + rest[m.end() :]
+    rest = re.sub(r" \?", " ", rest).replace("v?", "v").replace("commercial", "commercial")
+    return " ".join(rest.split())
+
+
+CLAUSES = [tuple(x.strip() for x in line.split("|", 2)) for line in licenses.CLAUSES.strip().splitlines()]
+
+
+def test_every_clause_finds_its_own_words():
+    """Each with and without its optional parts; and no two clauses of a label say the same."""
+    assert len(CLAUSES) > 220 and len(set(CLAUSES)) == len(CLAUSES)
+    clauses = [r for r in licenses.rules()[0] if r[1] == "clause"]
+    for (label, start, rest), rule in zip(CLAUSES, clauses, strict=True):
+        for full in (True, False):
+            words = f" x {start} {example(rest, full)} y ".replace("  ", " ")
+            ends = [d[3] for d in licenses.matches(words, rule, 2)]
+            assert ends and (not full or ends[0] == len(words) - 3), (label, words)
+            assert any(d[0] == label or d[2] <= 3 for d in licenses.detect(words)), (label, words)
+
+
+def test_rules_at_keywords_find_what_they_find_anywhere():
+    """On texts of examples, names, tags and grants in any order, against trying every rule at every word."""
+    rng = random.Random(8)
+    names = [_ for line in licenses.LICENSES.strip().splitlines() for _ in line.split("|")]
+    grants = ["licensed under the terms of the", "under the terms of the", "released under", "SPDX-License-Identifier:", "license", "or", "and", "x"]
+    for _ in range(25):
+        parts = [rng.choice((rng.choice(names), rng.choice(grants), " ".join((c := rng.choice(CLAUSES))[1:2]) + " " + example(c[2]), "w " * rng.randrange(60))) for _ in range(40)]
+        words = licenses.normal(" ".join(parts).encode()).decode()
+        every = {d for at, ch in enumerate(words) if ch == " " for r in licenses.rules()[0] for d in licenses.matches(words, r, at)}
+        assert licenses.detect(words) == licenses.uncovered(every)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by", {"gpl"}),
+        ("Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise", {"x11"}),
+        ("Licensed under the EUPL.", {"eupl"}),
+        ("Licensed under the EUPL, Version 1.2 or", {"eupl"}),
+        ("Neither the name of the Regents of the University of California, Berkeley nor the names of its contributors may be used to endorse or promote products", {"bsd-3-clause"}),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR BSD-3-Clause AND MIT", {"gpl-2.0", "bsd-3-clause", "mit"}),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by"}),
+        ("Use of this source code is governed by a BSD-style license", {"bsd"}),
+    ],
+)
+def test_license_wording_of_old_gaps(text, labels):
+    assert set(licenses._row(text.encode())[5].split(",")) >= labels
 
 
 def plain_uncovered(found):

@@ -486,7 +486,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Detections and their digest for every row of `docs` (doc_id, text; other columns are ignored).
 
     A null text counts as empty; a text without a detection has empty labels, score 0 and null places. Rows with equal or null doc_id are read one by one. A
-    detection that two rules make alike comes once, with the label that sorts first. Time grows with a text's length and its keywords.
+    detection that two rules make alike comes once, with the label that sorts first. Time grows with a text's length and its keywords. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import stored
+from spanlake.llm.simhash import BROADCAST_ROWS, looked_up
 
 #: Magic numbers of a skippable frame (for dictionaries in WARC archives) and of a Zstandard frame and dictionary.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -141,9 +142,13 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, min_rev
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    large = F.octet_length("html") >= min_revisit
-    shared = own.where(large).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = own.join(shared, "sha1", "left").select("page_id", "url", "html", F.when(large & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    # which pages revisit which is told by page_id and digest alone; pages wait for that where they are, or are dealt out by both
+    thin = stored(own.where(F.octet_length("html") >= min_revisit).select("page_id", "sha1"), "digests")
+    shared = stored(thin.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "shared")
+    again = looked_up(thin, shared, "sha1", thin.count()).where(~F.col("page_id").eqNullSafe(F.col("last")) & F.col("last").isNotNull())
+    again = stored(again.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), F.col("last").alias("refers_to")).distinct(), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1"))
+    both = own.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, same, "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed(records):
@@ -206,6 +211,6 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write archives of all pages to the shared folder, and read from there."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page: archives of all pages are written to the shared folder and read from there. An empty table has no archive and gives no rows."""
     back = read_archives(stored(write_archives(pages), "warc"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import ROW, stored
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Sketch rows up to which they are broadcast; beyond that the join is shuffled.
+#: Rows, or shingles of sets, up to which a table is broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -39,8 +39,8 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return sets.withColumn("sketch", F.slice(F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))), 1, F.least(k, F.col("size"))))
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, key)
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -48,28 +48,25 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
     Items without a word match nothing; an item or text of under five words is one shingle. A pair comes once however often the
     document, or a row with the same doc_id, repeats it (the fullest match counts). Null keys are kept as they are.
+    Until a pair is a candidate, a text is known by its doc_id and a hash, so shingles carry neither text nor list; the larger joins are with written tables, whose
+    other side adaptive skew joins can split at a frequent shingle or item.
     """
     items = stored(items.select(F.col("item_id"), "text").distinct(), "items").withColumn("item", F.monotonically_increasing_id())
     ids = items.select("item", "item_id")
     known = stored(sketches(items.select(F.col("item").alias("item_id"), "text"), containment).withColumnRenamed("item_id", "item"), "sketches")
-    probes = known.select("item", F.explode("sketch").alias("hash"))
-    n = probes.count()
-    marked = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    probes = stored(known.select("item", F.explode("sketch").alias("hash")), "probes")
+    n_probes, n_items, n_shingles = probes.count(), *known.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).where(F.col("text").isNotNull())
     hashes = F.transform("shingles", lambda s: F.xxhash64(s))
     hashed = lambda df: df.withColumn("words", words(F.col("text"))).withColumn("shingles", shingles(F.col("words")))
-    wanted = probes.groupBy("hash").agg(F.collect_set("item").alias("items"))
-    if n <= BROADCAST_ROWS:
-        hits = hashed(marked).select("doc_id", "text", F.explode(hashes).alias("hash")).join(F.broadcast(wanted), "hash")
-        candidates = hits.select("doc_id", "text", F.explode("items").alias("item")).distinct()
-    else:
-        keyed = stored(marked.withColumn("row", F.monotonically_increasing_id()), "texts")
-        hits = hashed(keyed).select("row", F.explode(hashes).alias("hash")).join(wanted, "hash").select("row", F.explode("items").alias("item")).distinct()
-        candidates = hits.join(keyed, "row").select("doc_id", "text", "item")
+    hits = hashed(marked).select("doc_id", "_text", F.explode(hashes).alias("hash")).join(_sized(probes, n_probes), "hash")
+    candidates = stored(hits.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "item").distinct(), "candidates")
+    texts = marked.join(_sized(candidates, candidates.count()), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
     sets = known.select("item", F.col("shingles").alias("wanted"), "size")
-    pairs = _joined(hashed(candidates).withColumnRenamed("shingles", "own"), sets, "item", n)
+    pairs = hashed(texts.select("doc_id", "text", "item")).withColumnRenamed("shingles", "own").join(_sized(sets, n_shingles), "item")
     pairs = pairs.select("doc_id", "item", "size", F.size(F.array_intersect("own", "wanted")).alias("shared"))
     pairs = pairs.where(F.col("shared") >= containment * F.col("size") - 1e-9)
-    found = _joined(pairs, ids, "item", n).groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("containment"), "size", "shared")).alias("best"))
+    found = pairs.join(_sized(ids, n_items), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("size")).alias("containment"), "size", "shared")).alias("best"))
     return found.select("doc_id", "item_id", F.col("best.size").cast("long").alias("n_item_shingles"), F.col("best.shared").cast("long").alias("n_shared"), "best.containment")
 
 

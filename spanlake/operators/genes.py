@@ -154,6 +154,7 @@ def gene_bp(exons: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 def exon_counts(exons: DataFrame, gene: str = "gene") -> DataFrame:
+    """gene and n_exons: how many rows each gene has; null is a gene of its own."""
     return exons.groupBy(gene).agg(F.count("*").alias("n_exons"))
 
 

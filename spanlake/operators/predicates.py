@@ -154,7 +154,9 @@ def any_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def union_splits(parts: dict[str, DataFrame], name: str = "split") -> DataFrame:
-    """The outputs of several splits (name: rows) under one header, with the split of each row; a column that a split lacks is null there."""
+    """The outputs of several splits (name: rows) under one header, with the split of each row; a column that a split lacks is null there. Without a split there is nothing to tell the columns: an error."""
+    if not parts:
+        raise ValueError("union_splits needs a split")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn(name, F.lit(k)) for k, df in parts.items()))
 
 

@@ -50,16 +50,37 @@ def bases_summary(bases: DataFrame, threshold: float = 501) -> DataFrame:
     return bases.groupBy("chrom", "start", "end").agg(F.sum("value").alias("total"), F.count_if(F.col("value") >= threshold).alias("n_over")).withColumn("per_base", F.col("total") / width)
 
 
+def dense_values(entries: Column, n: Column | int) -> Column:
+    """An array of n numbers from a sorted array of (at, value): 0 where nothing is. Written gap by gap, so its cost is that of the array."""
+    n = F.lit(n) if isinstance(n, int) else n
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    before = lambda i: F.coalesce(F.get(entries, i - 1)["at"], F.lit(-1))
+    filled = F.flatten(F.transform(entries, lambda x, i: F.concat(zeros(x["at"] - before(i) - 1), F.array(x["value"]))))
+    return F.concat(filled, zeros(n - 1 - F.coalesce(F.try_element_at(entries, F.lit(-1))["at"], F.lit(-1))))
+
+
+def base_rows(bases: DataFrame, wanted: DataFrame, n: int | None = None) -> DataFrame:
+    """Base rows with one array of values, those of the wanted samples in their order, 0 where a sample has none: chrom, start, end, values.
+
+    wanted: at (0 and up, without holes) and sid, which may come several times; n: how many. A row without a value of any wanted sample stays away. However
+    many samples there are, the plan is the same; a row takes as much memory as its array.
+    """
+    n = n if n is not None else wanted.count()
+    found = bases.join(wanted.select("at", "sid"), "sid").groupBy("chrom", "start", "end", "at").agg(F.max("value").alias("value"))
+    rows = found.groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_e"))
+    return rows.select("chrom", "start", "end", dense_values(F.col("_e"), n).alias("values"))
+
+
 def base_columns(bases: DataFrame, sids: list[int] = (), groups: dict[str, list[int]] | None = None) -> DataFrame:
     """Base rows with a column for each wanted sample, 0 where it has no value: s<sid> by ids, <group>_s<sid> by named groups.
 
-    A row without a value of any wanted sample stays away. An empty choice gives the coordinates alone.
+    A row without a value of any wanted sample stays away. An empty choice gives the coordinates alone. Columns are taken from `base_rows`; for thousands of samples use its arrays.
     """
     named = [(f"s{s}", s) for s in sids] + [(f"{name}_s{s}", s) for name, members in (groups or {}).items() for s in members]
-    values = [F.coalesce(F.max(F.when(F.col("sid") == s, F.col("value"))), F.lit(0.0)).alias(name) for name, s in named]
-    kept = bases.where(F.col("sid").isin([s for _, s in named])) if named else bases
-    rows = kept.groupBy("chrom", "start", "end")
-    return rows.agg(*values) if values else rows.agg(F.lit(1)).select("chrom", "start", "end")
+    if not named:
+        return bases.select("chrom", "start", "end").distinct()
+    wanted = bases.sparkSession.createDataFrame([(i, int(s)) for i, (_, s) in enumerate(named)], "at long, sid long")
+    return base_rows(bases, wanted, len(named)).select("chrom", "start", "end", *(F.col("values")[i].alias(name) for i, (name, _) in enumerate(named)))
 
 
 def base_query(bases: DataFrame, region: tuple[str, int, int], sids: list[int] | DataFrame | None = None, op: str | None = None, by: str = "row", label: str | None = None, n_samples: int | None = None) -> DataFrame:
@@ -191,6 +212,7 @@ def merge_runs(entries: DataFrame, accessions: DataFrame, step: int) -> DataFram
 
 
 def table_summary(df: DataFrame) -> DataFrame:
+    """One row: features, entries of their lists, and the mean number of entries; an empty table has 0, null and null."""
     return df.agg(F.count("*").alias("n_features"), F.sum("samples_count").alias("n_entries"), F.avg("samples_count").alias("mean_samples"))
 
 
@@ -220,6 +242,7 @@ def studies_in_order(entries: DataFrame, studies: DataFrame, key: str = "feature
 
 
 def top_values(df: DataFrame, column: str) -> DataFrame:
+    """How many rows each value of the column has, the most frequent first, ties by value; null is a value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
@@ -231,10 +254,14 @@ def features_from_raw(raw: DataFrame) -> DataFrame:
     return feature_stats(out.drop("sids", "covs"))
 
 
-def coverage_matrix(bases: DataFrame, sids: list[int]) -> DataFrame:
-    """A column for each sample, 0 where it has no value, to one decimal."""
-    wide = bases.groupBy("chrom", "start", "end").pivot("sid", sids).agg(F.sum("value"))
-    return wide.select("chrom", "start", "end", *(F.round(F.coalesce(F.col(str(s)), F.lit(0.0)), 1).alias(f"s{s}") for s in sids))
+def coverage_matrix(bases: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """chrom, start, end and values: of all samples in order of sid, or of those of a table (first column), to one decimal, 0 where a sample has none.
+
+    Samples are numbered by ranges (`dense_ids_of`), so neither their ids nor a column for each pass through the driver or the plan.
+    """
+    sids = (bases if samples is None else samples).select(F.col("sid" if samples is None else samples.columns[0]).alias("sid"))
+    wanted = stored(dense_ids_of(sids, "sid").select(F.col("id").cast("long").alias("at"), "sid"))
+    return base_rows(bases, wanted).withColumn("values", F.transform("values", lambda x: F.round(x, 1)))
 
 
 def normalise_auc(entries: DataFrame, auc: DataFrame, target: float = 40e6) -> DataFrame:
@@ -251,6 +278,7 @@ def normalise_jxcov(entries: DataFrame, mean: float | None = None) -> DataFrame:
 
 
 def restat_nonzero(entries: DataFrame, key: str = "feature_id", value: str = "norm") -> DataFrame:
+    """Statistics of each key from its values over 0; keys without any stay away."""
     return long_stats(entries.where(F.col(value) > 0), key, value)
 
 
@@ -260,5 +288,6 @@ def skip_zero_rows(entries: DataFrame, key: str = "feature_id", value: str = "no
 
 
 def eligible_samples(samples: DataFrame, flag: str, auc: str) -> DataFrame:
+    """sid and auc of the samples whose flag is true."""
     return samples.where(F.col(flag)).select("sid", F.col(auc).alias("auc"))
 

@@ -185,8 +185,13 @@ def a22_chrom_ranges(v):
 
 @register('SELECT chrom, start, "end", string_agg(CAST(x AS VARCHAR), \',\' ORDER BY s) AS row FROM (SELECT b.chrom, b.start, b."end", s.sid AS s, CAST(coalesce(v.value, 0) AS BIGINT) AS x FROM (SELECT DISTINCT chrom, start, "end" FROM bases) b CROSS JOIN (SELECT DISTINCT sid FROM bases) s LEFT JOIN bases v ON v.chrom = b.chrom AND v.start = b.start AND v.sid = s.sid) GROUP BY 1, 2, 3')
 def a23_coverage_matrix(v):
-    sids = sorted(r.sid for r in v.bases.select("sid").distinct().collect())  # the matrix's columns
-    return A.coverage_matrix(v.bases, sids).select("chrom", "start", "end", F.array_join(F.array(*(F.col(f"s{s}").cast("long").cast("string") for s in sids)), ",").alias("row"))
+    return A.coverage_matrix(v.bases).select("chrom", "start", "end", F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("row"))
+
+
+@register('SELECT chrom, start, "end", string_agg(CAST(x AS VARCHAR), \',\' ORDER BY s) AS row FROM (SELECT b.chrom, b.start, b."end", s.sid AS s, CAST(coalesce(v.value, 0) AS BIGINT) AS x FROM (SELECT DISTINCT chrom, start, "end" FROM bases WHERE sid IN (SELECT user_id FROM events WHERE event_type = \'purchase\' AND value > 100)) b CROSS JOIN (SELECT DISTINCT user_id AS sid FROM events WHERE event_type = \'purchase\' AND value > 100) s LEFT JOIN bases v ON v.chrom = b.chrom AND v.start = b.start AND v.sid = s.sid) GROUP BY 1, 2, 3')
+def a23_coverage_matrix_of_samples(v):
+    buyers = v.table("events").where("event_type = 'purchase' and value > 100").select("user_id")
+    return A.coverage_matrix(v.bases, buyers).select("chrom", "start", "end", F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("row"))
 
 
 _AUC = "(SELECT sid AS a_sid, CASE WHEN sid = 5 THEN 0e0 ELSE CAST(sum(cov) AS DOUBLE) END AS auc FROM cov GROUP BY 1)"

@@ -48,11 +48,17 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bases(spark: SparkSession, path: str) -> DataFrame:
-    """Wide coverage (chrom, start, end, a column for each sample id) in long form, values as double, missing ones left out."""
-    raw = _tsv(spark, path, header=True)
-    sids = raw.columns[3:]
-    wide = raw.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *(F.col(f"`{s}`").cast("double").alias(s) for s in sids))
-    return wide.unpivot(["chrom", "start", "end"], sids, "sid", "value").where("value is not null").withColumn("sid", F.col("sid").cast("long"))
+    """Wide coverage (chrom, start, end, a column for each sample id; a header in each file) in long form, values as double, missing ones left out.
+
+    A line is one array, whose places are told by the header of its file: however many samples a file has, no column of the plan stands for one.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    cut = lambda df: df.select("file", F.split("value", "\t").alias("cells"))
+    titled = F.col("value").rlike(r"^chrom\tstart\tend(\t|$)")
+    header = cut(lines.where(titled)).select("file", F.posexplode("cells").alias("place", "sid")).where("place > 2").select("file", "place", F.col("sid").cast("long").alias("sid"))
+    rows = cut(lines.where(~titled & (F.col("value") != ""))).select("file", *(F.col("cells")[i].alias(c) for i, c in enumerate(("chrom", "start", "end"))), F.posexplode("cells").alias("place", "text"))
+    values = rows.where("place > 2").withColumn("value", F.expr("try_cast(text AS DOUBLE)")).where("value is not null")
+    return values.join(header.distinct(), ["file", "place"]).select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "sid", "value")
 
 
 GTF = ["chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"]

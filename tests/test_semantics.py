@@ -442,3 +442,24 @@ def test_long_intervals_are_not_copied_into_every_bin(spark):
     rows = points.collect()
     want = sorted((p.at, r.b_start) for p in rows for r in places.collect() if r.b_chrom == "c" and r.b_start <= p.at <= r.b_end)
     assert sorted((r.at, r.b_start) for r in got.collect()) == want
+
+
+def test_matrices_have_one_array_however_many_samples(spark, tmp_path):
+    """Fifty thousand samples make no larger plan than three."""
+    n = 50_000
+    bases = spark.range(n).selectExpr("'c' AS chrom", "id % 3 AS start", "id % 3 + 1 AS end", "id * 7 AS sid", "cast(id AS double) + 0.5 AS value")
+    few = stats.coverage_matrix(bases.where("sid < 21"))
+    many = stats.coverage_matrix(bases.where("sid >= 0"))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(few) == size(many)
+    got = {r.start: r["values"] for r in many.collect()}
+    assert {k: len(v) for k, v in got.items()} == {0: n, 1: n, 2: n}
+    assert all(got[i % 3][i] == i + 0.5 and got[(i + 1) % 3][i] == 0 for i in range(0, n, 997))
+    assert {r.start: r["values"] for r in few.collect()} == {0: [0.5, 0, 0], 1: [0, 1.5, 0], 2: [0, 0, 2.5]}
+    wanted = spark.createDataFrame([(0, 14), (1, 99), (2, 0), (3, 14)], "at long, sid long")
+    assert {r.start: r["values"] for r in stats.base_rows(bases, wanted).collect()} == {0: [0, 0, 0.5, 0], 2: [2.5, 0, 0, 2.5]}
+    (tmp_path / "a.tsv").write_text("chrom\tstart\tend\t" + "\t".join(str(7 * i) for i in range(n)) + "\nc\t1\t2\t" + "\t".join(str(i) for i in range(n)) + "\n")
+    (tmp_path / "b.tsv").write_text("chrom\tstart\tend\t5\t0\nd\t3\t4\t\t2.5\nd\t4\t5\tNA\t\n")
+    back = sources.read_bases(spark, str(tmp_path))
+    assert back.count() == n + 1 and [tuple(r) for r in back.where("chrom = 'd'").collect()] == [("d", 3, 4, 0, 2.5)]
+    assert back.where("sid = 7 * value").count() == n

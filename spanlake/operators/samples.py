@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions import col
 
@@ -173,8 +176,51 @@ def sample_bitmaps(df: DataFrame, key: str = "feature_id") -> DataFrame:
 
 def count_union(bitmaps: DataFrame, sids: DataFrame) -> DataFrame:
     """How many distinct features the samples have together."""
-    some = bitmaps.join(sids.select(F.col(sids.columns[0]).alias("sid")).distinct(), "sid", "left_semi")
-    return some.groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_features"))
+    return features_by_bitmap(bitmaps, sids).select(F.bitmap_count("bits").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_features"))
+
+
+def bitmap_of(ids: DataFrame) -> DataFrame:
+    """bucket and bits of a table of keys (first column)."""
+    key = F.col(ids.columns[0]) + 1
+    return ids.select(F.bitmap_bucket_number(key).alias("bucket"), F.bitmap_bit_position(key).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def bitmap_union(bitmaps: DataFrame) -> DataFrame:
+    """bucket and bits: what any of the bitmaps (bucket, bits, as of several samples) has."""
+    return bitmaps.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bitmap_intersection(*bitmaps: DataFrame) -> DataFrame:
+    """bucket and bits: what all of the bitmaps have, each with a row for a bucket at most. Buckets that one of them lacks are left out."""
+    every = reduce(DataFrame.unionByName, (b.select("bucket", "bits") for b in bitmaps))
+    return every.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == len(bitmaps)).drop("n")
+
+
+def bitmap_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """bucket and bits of `a` that `b` lacks."""
+    other = b.select("bucket", F.col("bits").alias("_b"))
+    return a.join(other, "bucket", "left").select("bucket", F.when(F.col("_b").isNull(), F.col("bits")).otherwise(_without("bits", "_b")).alias("bits"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _without(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else (np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _places(bits: pd.Series) -> pd.Series:
+    return pd.Series([np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")) for x in bits], dtype=object)
+
+
+def bitmap_ids(bitmap: DataFrame, name: str = "feature_id") -> DataFrame:
+    """The keys of a bitmap (bucket, bits), a bucket at a time."""
+    first = (F.col("bucket") - 1) * _BITS
+    return bitmap.select(first.alias("_first"), F.explode(_places("bits")).alias("_place")).select((F.col("_first") + F.col("_place")).alias(name))
+
+
+def features_by_bitmap(bitmaps: DataFrame, sids: DataFrame) -> DataFrame:
+    """bucket and bits of the features that any of the samples (first column) has; bitmaps: `sample_bitmaps`, written or not."""
+    return bitmap_union(bitmaps.join(sids.select(F.col(sids.columns[0]).alias("sid")).distinct(), "sid", "left_semi"))
 
 
 def offset_samples(df: DataFrame, by: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import summary
-from spanlake.operators.intervals import BIN, overlap_join
+from spanlake.operators.intervals import BIN, clip_to_bins, overlap_join
 from spanlake.scratch import stored
 
 
@@ -106,6 +106,26 @@ def base_query(bases: DataFrame, region: tuple[str, int, int], sids: list[int] |
     return bases_by_row(own, n_samples or 1, op).withColumn("label", F.lit(label or f"{chrom}:{start}-{end}"))
 
 
+def base_query_by_splits(bases: DataFrame, region: tuple[str, int, int], width: int, op: str = "sum", by: str = "row", label: str = "", n_samples: int | None = None) -> DataFrame:
+    """A base query cut at the borders of bins of `width` bases, with a labelled row for each split: chrom|start|end|label.
+
+    by row: a value for each base row of a split (a row over a border belongs to both), a mean over n_samples; by sample: a value for each sample of a split, a
+    mean over the split's distinct rows. Splits without rows give none.
+    """
+    chrom, start, end = region
+    splits = clip_to_bins(bases.sparkSession.createDataFrame([(chrom, int(start), int(end))], "chrom string, start long, end long"), width)
+    named = splits.select(F.col("chrom").alias("b_chrom"), F.col("clip_start").alias("b_start"), F.col("clip_end").alias("b_end"), F.concat_ws("|", "chrom", "clip_start", "clip_end", F.lit(label)).alias("label"))
+    closed = bases.where((F.col("chrom") == chrom) & (F.col("end") >= start) & (F.col("start") < end)).withColumn("_zero", F.col("start")).withColumn("start", F.col("start") + 1)
+    own = overlap_join(closed, named, width).select("label", "chrom", F.col("_zero").alias("start"), "end", "sid", "value")
+    if by == "row":
+        if op == "mean" and not n_samples:
+            raise ValueError("a mean over samples needs their number")
+        return own.groupBy("label", "chrom", "start", "end").agg((F.sum("value") / (n_samples if op == "mean" else 1)).alias("value"))
+    rows = own.groupBy("label").agg(F.countDistinct("start", "end").alias("_n"))
+    sums = own.groupBy("label", "sid").agg(F.sum("value").alias("value"))
+    return sums.join(rows, "label").select("label", "sid", (F.col("value") / F.col("_n") if op == "mean" else F.col("value")).alias("value"))
+
+
 def interval_sums(bases: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
     """Sums of base rows (0-based, half-open) over named intervals: label, sid, chrom, start + 1, end, length and value."""
     closed = bases.select("chrom", (F.col("start") + 1).alias("start"), "end", "sid", "value")

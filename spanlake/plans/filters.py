@@ -139,6 +139,20 @@ def f14_base_region_by_sample(v):
     return A.base_query(v.bases, _hours(v), None, "sum", "sample", "hours")
 
 
+_SPLITS = f"""(SELECT b.*, concat('click|', greatest(lo, k * 100 + 1), '|', least(hi, (k + 1) * 100), '|hours') AS label FROM (SELECT *, unnest(range((lo - 1) // 100, (hi - 1) // 100 + 1)) AS k FROM (SELECT min("end") + 100 AS lo, min("end") + 400 AS hi FROM bases)) s
+JOIN bases b ON b.chrom = 'click' AND b."end" >= greatest(lo, k * 100 + 1) AND b.start < least(hi, (k + 1) * 100))"""
+
+
+@register(f'SELECT label, chrom, start, "end", sum(value) AS value FROM {_SPLITS} GROUP BY 1, 2, 3, 4')
+def f14_base_region_by_splits(v):
+    return A.base_query_by_splits(v.bases, _hours(v), 100, label="hours")
+
+
+@register(f'WITH s AS (SELECT * FROM {_SPLITS}), n AS (SELECT label, count(DISTINCT (start, "end")) AS n FROM s GROUP BY 1) SELECT s.label, sid, sum(value) / any_value(n) AS value FROM s JOIN n ON n.label = s.label GROUP BY 1, 2')
+def f14_base_samples_by_splits(v):
+    return A.base_query_by_splits(v.bases, _hours(v), 100, "mean", "sample", "hours")
+
+
 @register(f"SELECT count(DISTINCT feature_id) AS n_ids FROM {_JOIN} WHERE {_MODE}")
 def f15_count_ids(v):
     return P.count_ids(P.in_regions(v.features.select(_COLUMNS), v.regions, "mode"))

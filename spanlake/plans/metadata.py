@@ -156,6 +156,26 @@ def m16_ids_and_samples(v):
     return P.by_ids(S.features_of(v.features, v.samples.where("tissue like '%1'").select("rail_id")), ids)
 
 
+@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%1'")
+def m15_features_by_bitmap(v):
+    return S.bitmap_ids(S.features_by_bitmap(S.sample_bitmaps(v.features), v.samples.where("tissue like '%1'").select("rail_id")))
+
+
+@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid WHERE tissue LIKE '%1' AND feature_id NOT IN (SELECT feature_id FROM cov JOIN samples ON rail_id = sid WHERE study = 'ASIA')")
+def m15_bitmap_difference(v):
+    bitmaps = stored(S.sample_bitmaps(v.features))
+    some, other = (S.features_by_bitmap(bitmaps, v.samples.where(c).select("rail_id")) for c in ("tissue like '%1'", "study = 'ASIA'"))
+    return S.bitmap_ids(S.bitmap_difference(some, other))
+
+
+@register("SELECT DISTINCT feature_id FROM cov JOIN samples ON rail_id = sid JOIN part ON p_partkey = feature_id WHERE tissue LIKE '%1' AND p_type = 'ECONOMY' AND feature_id IN (SELECT feature_id FROM cov JOIN samples ON rail_id = sid WHERE study = 'ASIA')")
+def m16_ids_and_samples_by_bitmap(v):
+    """Ids and two sets of samples met in bits; no list of a feature is opened once the bitmaps stand."""
+    bitmaps = stored(S.sample_bitmaps(v.features))
+    some, other = (S.features_by_bitmap(bitmaps, v.samples.where(c).select("rail_id")) for c in ("tissue like '%1'", "study = 'ASIA'"))
+    return S.bitmap_ids(S.bitmap_intersection(some, other, S.bitmap_of(v.table("part").where("p_type = 'ECONOMY'").select("p_partkey"))))
+
+
 @register("SELECT feature_id, string_agg(concat(',', sid + 1000, ':', cov), '' ORDER BY sid) AS samples FROM cov GROUP BY 1")
 def m17_offset_samples(v):
     from spanlake.functions import encode_samples

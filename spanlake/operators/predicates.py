@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import keep_samples, summary
 from spanlake.model import STANDARD_CHROM
-from spanlake.operators.intervals import BIN, overlap_join
+from spanlake.operators.intervals import BIN, FACTOR, LEVELS, overlap_join
 from spanlake.scratch import stored
 
 #: Type of each statistic that a range filter may name.
@@ -20,11 +20,15 @@ LITERAL_SIDS = 5000
 BROADCAST_IDS = 1_000_000
 
 
-def in_region(chrom: str, start: int, end: int, exact: bool = False, contains: bool = False, either: str | None = None, max_length: int | None = None) -> Column:
-    """Closed overlap, and what the flags ask besides; they compose. max_length, the longest feature of the chromosome, lets a scan skip what starts too early."""
+def in_region(chrom: str, start: int, end: int, exact: bool = False, contains: bool = False, either: str | None = None, max_length: int | None = None, levels: str | None = None, width: int = BIN) -> Column:
+    """Closed overlap, and what the flags ask besides; they compose. max_length, the longest feature of the chromosome, lets a scan skip what starts too early. levels, the column
+    with which `write_levelled` lays a table out (and its width), does so for each level apart: the region becomes a range of starts of every level, which Parquet statistics can prune."""
     tests = [F.col("chrom") == chrom, F.col("end") >= start, F.col("start") <= end]
     if max_length is not None:
         tests.append(F.col("start") >= start - max_length + 1)
+    if levels is not None:
+        low = [(F.col(levels) == k) & (F.col("start") >= start - width * FACTOR**k + 1) for k in range(LEVELS - 1)]
+        tests.append(reduce(lambda a, b: a | b, low, F.col(levels) == LEVELS - 1))
     if exact:
         tests += [F.col("start") == start, F.col("end") == end]
     if contains:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanlake import sources as S
 from spanlake.functions import decode_samples, descriptor_part, encode_samples, gene_descriptor
 from spanlake.plans.annotation import _transcripts
+from spanlake.operators import predicates as P
 from spanlake.plans.register import Register
 from spanlake.scratch import scratch
 
@@ -145,6 +146,14 @@ def s12_write_clustered(v):
     return v.spark.read.parquet(path).select("feature_id", "chrom", "start", "end")
 
 
+@register('SELECT feature_id, chrom, start, "end" FROM features WHERE chrom = \'Brand#7\' AND "end" >= 3000 AND start <= 5000')
+def s12_levelled_scan(v):
+    """Features laid out by level and start, and a region read from there."""
+    path = scratch(v.spark)
+    S.write_levelled(v.features.select("feature_id", "chrom", "start", "end"), path, width=100)
+    return P.overlaps(v.spark.read.parquet(path), "Brand#7", 3000, 5000, levels="level", width=100).select("feature_id", "chrom", "start", "end")
+
+
 @register("SELECT concat('TEST:J', chr(9), feature_id, chr(9), chrom, chr(9), samples_count) AS value FROM features")
 def s13_tsv_rows(v):
     path = scratch(v.spark)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from spanlake.functions import decode_samples, decode_sources, encode_samples, encode_sources
 from spanlake.model import FEATURE_TEXT
 from spanlake.operators.genes import gene_spans
-from spanlake.operators.intervals import dense_ids
+from spanlake.operators.intervals import BIN, dense_ids, level_of
 from spanlake.operators.stats import infer_types
 
 
@@ -125,6 +125,14 @@ def write_clustered(df: DataFrame, path: str, partitions: int | None = None) ->
     dealt.sortWithinPartitions("chrom", "start", "end").write.partitionBy("chrom").parquet(path)
 
 
+def write_levelled(df: DataFrame, path: str, width: int = BIN, partitions: int | None = None) -> None:
+    """Parquet by chromosome, in order of level and start: column level (see `level_of`) parts short features from long ones, so that a region's scan (`in_region` with levels)
+    looks back no further than a level's features are long, and few long ones don't widen it for all."""
+    own = df.withColumn("level", level_of(F.col("end") - F.col("start") + 1, width))
+    dealt = own.repartitionByRange(partitions, "chrom", "level", "start") if partitions else own.repartitionByRange("chrom", "level", "start")
+    dealt.sortWithinPartitions("chrom", "level", "start", "end").write.partitionBy("chrom").parquet(path)
+
+
 def to_tsv_rows(df: DataFrame, prefix: str, fields: list[str] | None = None) -> DataFrame:
     """One text column: the prefix, then the fields."""
     return df.select(F.concat_ws("\t", F.lit(prefix), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (fields or df.columns))).alias("line"))

@@ -463,3 +463,30 @@ def test_matrices_have_one_array_however_many_samples(spark, tmp_path):
     back = sources.read_bases(spark, str(tmp_path))
     assert back.count() == n + 1 and [tuple(r) for r in back.where("chrom = 'd'").collect()] == [("d", 3, 4, 0, 2.5)]
     assert back.where("sid = 7 * value").count() == n
+
+
+def test_one_long_feature_widens_no_scan(spark, tmp_path):
+    """Over a table with a feature as long as the chromosome, a region's scan skips most row groups, and finds what a plain filter finds."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id AS feature_id", "'c' AS chrom", "id * 20 + 1 AS start", "id * 20 + 1 + CASE WHEN id = 5 THEN 20 * 60000 WHEN id % 1000 = 7 THEN 9000 ELSE id % 90 END AS end")
+    rows = rows.unionByName(spark.createDataFrame([(-1, "c", 900_000, 900_000 + 10**9)], rows.schema))
+    path = str(tmp_path / "levelled")
+    spark.conf.set("parquet.block.size", 16 << 10)
+    spark._jsc.hadoopConfiguration().setInt("parquet.block.size", 16 << 10)
+    spark._jsc.hadoopConfiguration().setInt("parquet.page.size.row.check.min", 10)
+    try:
+        sources.write_levelled(rows, path, width=100, partitions=1)
+    finally:
+        for key in ("parquet.block.size", "parquet.page.size.row.check.min"):
+            spark._jsc.hadoopConfiguration().unset(key)
+        spark.conf.unset("parquet.block.size")
+    found = predicates.overlaps(spark.read.parquet(path), "c", 700_000, 700_500, levels="level", width=100)
+    plan = found._jdf.queryExecution().executedPlan()
+    got = {r.feature_id for r in found.collect()}
+    assert got == {r.feature_id for r in predicates.overlaps(rows, "c", 700_000, 700_500).collect()} and 5 in got
+    while plan.children().size():
+        plan = plan.children().head()
+    assert plan.metrics().apply("numOutputRows").value() < n / 5
+    for lo, hi in ((1, 1), (900_000, 950_000), (1_199_000, 5_000_000), (40, 20_000)):
+        both = [predicates.overlaps(df, "c", lo, hi, **more).select("feature_id").collect() for df, more in ((rows, {}), (spark.read.parquet(path), {"levels": "level", "width": 100}))]
+        assert sorted(both[0]) == sorted(both[1])

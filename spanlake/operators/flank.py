@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from spanlake.functions import median, total
 from spanlake.operators.intervals import BIN, overlap_join, stab_join
+from spanlake.operators.stats import long_stats
 
 
 def ends(df: DataFrame, key: str = "feature_id") -> DataFrame:
@@ -161,9 +162,9 @@ def tissue_breakdown(entries: DataFrame, tissues: DataFrame, key: str = "feature
     return out.withColumns({"n_tissues": F.count("*").over(w), "max_ratio": F.max("ratio").over(w)})
 
 
-def avg_median(entries: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean and median of each key's values, -1 where there are none."""
-    found = entries.groupBy(key).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
+def avg_median(entries: DataFrame, keys: DataFrame, key: str, value: str, spread: bool = False) -> DataFrame:
+    """Mean and median of each key's values, -1 where there are none. spread: as for `long_stats`."""
+    found = long_stats(entries, key, value, spread).select(key, F.col("coverage_avg").alias("mean"), F.col("coverage_median").alias("median"))
     return keys.select(key).distinct().join(found, key, "left").select(key, F.coalesce("mean", F.lit(-1.0)).alias("mean"), F.coalesce("median", F.lit(-1.0)).alias("median"))
 
 

@@ -18,10 +18,38 @@ def feature_stats(df: DataFrame, digits: int | None = None) -> DataFrame:
     return df.withColumns(found)
 
 
-def long_stats(entries: DataFrame, key: str = "feature_id", value: str = "cov") -> DataFrame:
-    """The same from long form."""
+def long_stats(entries: DataFrame, key: str = "feature_id", value: str = "cov", spread: bool = False) -> DataFrame:
+    """The same from long form. spread: for keys that may hold a large share of all rows; the median then comes from `medians`, and no task holds a key's values."""
     v = F.col(value)
-    return entries.groupBy(key).agg(F.count(v).alias("samples_count"), F.sum(v).alias("coverage_sum"), F.avg(v).alias("coverage_avg"), F.median(v).alias("coverage_median"))
+    sums = [F.count(v).alias("samples_count"), F.sum(v).alias("coverage_sum"), F.avg(v).alias("coverage_avg")]
+    if not spread:
+        return entries.groupBy(key).agg(*sums, F.median(v).alias("coverage_median"))
+    return entries.groupBy(key).agg(*sums).join(medians(entries, key, value).select(F.col(key).alias("_key"), F.col("median").alias("coverage_median")), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+#: Quantiles of all values between which the values of a key are divided.
+MEDIAN_BLOCKS = 256
+
+
+def medians(entries: DataFrame, key: str, value: str) -> DataFrame:
+    """key and median of its values (of two middle ones the mean), exact however the rows are dealt to keys; null values don't count, and a null key is a key.
+
+    Equal values of a key are counted before they move. Values are divided by quantiles of all values; how many of a key's lie before each division tells
+    in which one or two its middle lies, and only these are put in order: a key's values are never in one task, nor in one place.
+    """
+    v = F.col(value)
+    counts = stored(entries.where(v.isNotNull()).groupBy(F.col(key).alias("_k"), v.cast("double").alias("v")).agg(F.count("*").alias("n")))
+    cuts = counts.agg(F.percentile_approx("v", [k / MEDIAN_BLOCKS for k in range(1, MEDIAN_BLOCKS)]).alias("cuts"))
+    dealt = counts.join(F.broadcast(cuts)).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).drop("cuts")
+    of_key = Window.partitionBy("_k")
+    blocks = dealt.groupBy("_k", "block").agg(F.sum("n").alias("size"))  # MEDIAN_BLOCKS rows a key at most
+    blocks = blocks.withColumns({"all": F.sum("size").over(of_key), "before": F.coalesce(F.sum("size").over(of_key.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1  # ranks of the middle
+    middle = blocks.withColumns({"low": low, "high": high}).where("before < high and before + size >= low").select(F.col("_k").alias("_key"), F.col("block").alias("_block"), "before", "low", "high")
+    near = dealt.join(middle, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    rank = F.col("before") + F.sum("n").over(Window.partitionBy("_k", "block").orderBy("v"))
+    found = near.withColumn("rank", rank).groupBy("_k").agg(F.min(F.when(F.col("rank") >= F.col("low"), F.col("v"))).alias("a"), F.min(F.when(F.col("rank") >= F.col("high"), F.col("v"))).alias("b"))
+    return found.select(F.col("_k").alias(key), ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def sample_stats(entries: DataFrame, samples: DataFrame, sid: str = "sid") -> DataFrame:

@@ -26,6 +26,12 @@ def a1_long_stats(v):
     return A.long_stats(v.cov)
 
 
+@register("SELECT sid, count(cov) AS samples_count, CAST(sum(cov) AS BIGINT) AS coverage_sum, avg(cov) AS coverage_avg, CAST(median(cov) AS DOUBLE) AS coverage_median FROM cov GROUP BY 1")
+def a1_long_keys(v):
+    """Statistics of each sample's coverage over all features, medians from divided values."""
+    return A.long_stats(v.cov, "sid", spread=True)
+
+
 @register("SELECT s.rail_id, s.tissue, count(c.sid) AS n_features, CAST(coalesce(sum(cov), 0) AS BIGINT) AS coverage, coalesce(avg(cov), 0e0) AS mean_coverage FROM samples s LEFT JOIN (SELECT * FROM cov WHERE cov >= 30) c ON sid = rail_id GROUP BY 1, 2")
 def a2_sample_stats(v):
     return A.sample_stats(v.cov.where("cov >= 30"), v.samples.select("rail_id", "tissue"), "rail_id")

@@ -490,3 +490,17 @@ def test_one_long_feature_widens_no_scan(spark, tmp_path):
     for lo, hi in ((1, 1), (900_000, 950_000), (1_199_000, 5_000_000), (40, 20_000)):
         both = [predicates.overlaps(df, "c", lo, hi, **more).select("feature_id").collect() for df, more in ((rows, {}), (spark.read.parquet(path), {"levels": "level", "width": 100}))]
         assert sorted(both[0]) == sorted(both[1])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "a", "a", "b", None]), st.one_of(st.none(), st.integers(-5, 5), st.integers(0, 10**6))), max_size=40), st.sampled_from([2, 3, 256]))
+def test_divided_medians(spark, rows, blocks):
+    before, stats.MEDIAN_BLOCKS = stats.MEDIAN_BLOCKS, blocks
+    try:
+        got = {r.k: r["median"] for r in stats.medians(spark.createDataFrame(rows, "k string, v long"), "k", "v").collect()}
+    finally:
+        stats.MEDIAN_BLOCKS = before
+    from statistics import median
+
+    want = {k: [v for x, v in rows if x == k and v is not None] for k, _ in rows}
+    assert got == {k: median(v) for k, v in want.items() if v}

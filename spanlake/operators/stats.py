@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import summary
-from spanlake.operators.intervals import BIN, clip_to_bins, overlap_join
+from spanlake.operators.intervals import STRETCH, clip_to_bins, overlap_join
 from spanlake.scratch import stored
 
 
@@ -154,14 +154,46 @@ def base_query_by_splits(bases: DataFrame, region: tuple[str, int, int], width:
     return sums.join(rows, "label").select("label", "sid", (F.col("value") / F.col("_n") if op == "mean" else F.col("value")).alias("value"))
 
 
-def interval_sums(bases: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
-    """Sums of base rows (0-based, half-open) over named intervals: label, sid, chrom, start + 1, end, length and value."""
-    closed = bases.select("chrom", (F.col("start") + 1).alias("start"), "end", "sid", "value")
-    pairs = overlap_join(closed, intervals, width)
-    out = pairs.groupBy("label", "sid", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("value").alias("value"))
+def interval_sums(bases: DataFrame, intervals: DataFrame, width: int = STRETCH) -> DataFrame:
+    """Sums of base rows (0-based, half-open) over named intervals (label, b_chrom, b_start, b_end; a label may have several): label, sid, chrom, start + 1, end, length and value.
+
+    A row that an interval covers in part counts whole, once for each interval of a label, and start and end are those of the rows. Intervals aren't joined with the rows they hold:
+    along each sample's chromosome, what begins up to an interval's end less what ends before its start is its sum, so an interval costs two look-ups in running
+    sums whatever its length. Sums run within stretches; a table with a row for each stretch tells what lies before it. As differences of running sums, values are exact
+    as long as the running sums are.
+    """
+    rows = bases.select("sid", "chrom", (F.col("start") + 1).alias("start"), "end", F.col("value").cast("double").alias("value"))
+    named = intervals.where("b_start <= b_end").groupBy("label", F.col("b_chrom").alias("chrom"), "b_start", "b_end").agg(F.count("*").alias("times"))
+    asked = named.join(rows.select("sid", "chrom").distinct(), "chrom")
+    query = ("label", "b_start", "b_end", "times")
+    none = [F.lit(None).cast(named.schema[c].dataType).alias(c) for c in query]
+
+    def events(at_row: str, at_query: str, far: str, rows_first: bool) -> DataFrame:
+        own = rows.select("sid", "chrom", F.col(at_row).alias("at"), F.lit(0 if rows_first else 1).alias("kind"), "value", F.lit(1).alias("n"), F.col(far).alias("far"), *none)
+        return own.unionByName(asked.select("sid", "chrom", F.col(at_query).alias("at"), F.lit(1 if rows_first else 0).alias("kind"), F.lit(0.0).alias("value"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("far"), *query))
+
+    up = _running(events("start", "b_end", "end", True), {"value": F.sum, "n": F.sum, "far": F.max}, width)
+    ended = events("end", "b_start", "start", False)
+    down, back = _running(ended, {"value": F.sum, "n": F.sum}, width), _running(ended, {"far": F.min}, width, back=True)
+    keys = ["sid", "chrom", *query]
+    both = up.join(down.withColumnsRenamed({"value": "_value", "n": "_n"}), keys).join(back.withColumnRenamed("far", "_far"), keys).where("n > _n")
+    out = both.groupBy("label", "sid", "chrom").agg(F.min("_far").alias("start"), F.max("far").alias("end"), F.sum((F.col("value") - F.col("_value")) * F.col("times")).alias("value"))
     return out.withColumn("length", F.col("end") - F.col("start") + 1)
 
 
+def _running(events: DataFrame, measures: dict, width: int, back: bool = False) -> DataFrame:
+    """The queries among the events (sid, chrom, at, kind, label of queries only, measures), with each measure over all events up to them (back: from them on) in order of at and kind."""
+    keys = ["sid", "chrom", "_at"]
+    way = (lambda c: F.desc(c)) if back else (lambda c: F.asc(c))
+    own = events.withColumn("_at", F.floor(F.col("at") / width))
+    within = Window.partitionBy(*keys).orderBy(way("at"), way("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("sid", "chrom").orderBy(way("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = own.groupBy(*keys).agg(*(f(m).alias(m) for m, f in measures.items())).select(*keys, *(f(m).over(earlier).alias(f"_before_{m}") for m, f in measures.items()))
+    told = own.withColumns({f"_{m}": f(m).over(within) for m, f in measures.items()}).where("label is not null").join(stretches, keys)
+    joined = {m: {F.max: F.greatest, F.min: F.least}[f](f"_{m}", f"_before_{m}") if f in (F.max, F.min) else F.col(f"_{m}") + F.coalesce(f"_before_{m}", F.lit(0)) for m, f in measures.items()}
+    return told.select("sid", "chrom", "label", "b_start", "b_end", "times", *(c.alias(m) for m, c in joined.items()))
+
+
 def rollup_key(df: DataFrame, key: str, part: int, delimiter: str, values: list[str]) -> DataFrame:
     """Rows summed by one part of a delimited key: length, first start, last end and the values."""
     return df.groupBy(F.split_part(F.col(key), F.lit(delimiter), F.lit(part)).alias("part")).agg(F.sum("length").alias("length"), F.min("start").alias("start"), F.max("end").alias("end"), *(F.sum(v).alias(v) for v in values))

@@ -504,3 +504,18 @@ def test_divided_medians(spark, rows, blocks):
 
     want = {k: [v for x, v in rows if x == k and v is not None] for k, _ in rows}
     assert got == {k: median(v) for k, v in want.items() if v}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("cd"), st.integers(0, 60), st.integers(1, 9), st.integers(1, 3), st.integers(-3, 9)), max_size=25), st.lists(st.tuples(st.sampled_from("pq"), st.sampled_from("cd"), st.integers(0, 70), st.integers(-2, 40)), max_size=8), st.sampled_from([4, 50, 1 << 20]))
+def test_interval_sums_by_running_sums(spark, rows, places, width):
+    """Equal to a sum over all pairs, for rows that overlap and intervals that repeat, too."""
+    bases = spark.createDataFrame([(c, s, s + n, sid, float(v)) for c, s, n, sid, v in rows], "chrom string, start long, end long, sid long, value double")
+    named = spark.createDataFrame([(label, c, s, s + n) for label, c, s, n in places], "label string, b_chrom string, b_start long, b_end long")
+    got = {(r.label, r.sid, r.chrom): (r.start, r.end, r.value, r.length) for r in stats.interval_sums(bases, named, width).collect()}
+    pairs = {}
+    for c, s, n, sid, v in rows:
+        for label, chrom, lo, size in places:
+            if chrom == c and lo <= lo + size and s + n >= lo and s + 1 <= lo + size:
+                pairs.setdefault((label, sid, c), []).append((s + 1, s + n, v))
+    assert got == {k: (min(x[0] for x in v), max(x[1] for x in v), sum(x[2] for x in v), max(x[1] for x in v) - min(x[0] for x in v) + 1) for k, v in pairs.items()}

@@ -2,9 +2,10 @@
 
 Equal sets are merged first. Each tree of the forest sorts the sets by its own order of MinHash values; rows that follow one another and share a prefix are
 neighbours with the longest common prefix, whose depth so follows how crowded the region is. Neighbours in all trees are confirmed on their whole sets, and grow
-components. What is left are regions (a tree's prefix of three values) whose rows belong to several components: there, all rows of different components that
-look similar by one bit of each value are compared. Crowded ones of these regions are descended first: each is divided by two further values, ten times over with
-values of other trees, so that a pair that links still meets in one division with near certainty; what is crowded even then is dealt out in tiles.
+components. What is left are regions (a tree's prefix of three values) whose rows belong to several components: their rows that look similar to one of another
+component by one bit of each value are compared on whole sets, region by region, and give a spanning forest of links, not pairs. Crowded regions are descended first: each is
+divided by two further values, ten times over with values of other trees, so that a pair that links still meets in one division with near certainty; what is
+crowded even then is dealt out in tiles.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ TREES, PREFIX, TAIL = 12, 3, 4
 VALUES, LIKE = 512, 430
 #: Following rows that each row of an order is a candidate with.
 NEIGHBOURS = 2
-#: Rows of a region that are compared at once; divisions of more crowded ones.
-REGION, DIVISIONS = 2048, 10
+#: Rows and shingles of a region that are compared at once; divisions of more crowded ones.
+REGION, VOLUME, DIVISIONS = 2048, 1 << 22, 10
 #: Rows of a region up to which all its pairs are compared by shifts.
 SMALL = 64
 
@@ -114,11 +115,11 @@ def trees(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n_shingles", "deep", "bits").mapInArrow(run, _ORDER)
 
 
-def _alike(bits: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether rows i and j may be linked, by their sizes and bits."""
+def _agreement(bits: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How many bits of rows i and j agree; 0 where their sizes alone tell that they aren't linked."""
     a, b = size[i], size[j]
     agree = 8 * bits.shape[1] * bits.itemsize - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (agree >= LIKE)
+    return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), agree, 0)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -135,7 +136,7 @@ def neighbours(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             key, node, size, bits = now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             for d in range(1, NEIGHBOURS + 1):
                 i = np.flatnonzero(key[d:] == key[:-d])
-                i = i[_alike(bits, size, i, i + d, percent)]
+                i = i[_agreement(bits, size, i, i + d, percent) >= LIKE]
                 if len(i):
                     yield _pairs(node[i], node[i + d])
             held = [x[-NEIGHBOURS:] for x in now]
@@ -150,60 +151,114 @@ def _numbered(rows: DataFrame, share: Column, shares: Column) -> DataFrame:
 
 
 def mixed_regions(members: DataFrame, deep: DataFrame) -> DataFrame:
-    """key, node, root of the rows (key, node, root) in regions of several roots, at a depth that leaves at most REGION rows in each, or tiles of these."""
+    """key, node, size, root of the rows (key, node, size, root) in regions of several roots, at a depth that leaves at most REGION rows and VOLUME shingles in each, or tiles of these."""
     done, depth = None, 0
     while True:
         members = stored(members, "members")
-        sized = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key", "n"), "regions")
+        share = F.greatest(F.col("n") / REGION, F.col("volume") / VOLUME)
+        sized = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+        sized = stored(sized.select("key", share.alias("share")), "regions")
         own = stored(members.join(F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized, "key"), "own")
-        small = own.where(F.col("n") <= REGION).drop("n")
+        small = own.where(F.col("share") <= 1).drop("share")
         done = small if done is None else done.unionByName(small)
-        crowded = own.where(F.col("n") > REGION)
+        crowded = own.where(F.col("share") > 1)
         if crowded.isEmpty():
             return done
         if depth == 1:
-            shares = F.ceil(2 * F.col("n") / REGION)
-            return done.unionByName(_numbered(crowded, F.pmod(F.xxhash64("node"), shares), shares).drop("n"))
+            shares = F.ceil(2 * F.col("share"))
+            return done.unionByName(_numbered(crowded, F.pmod(F.xxhash64("node"), shares), shares).drop("share"))
         # values of other trees: their tails, of which a tree's own order uses none
         word = lambda k: F.substring("deep", F.lit(1) + 2 * k, F.lit(2))
         tree = F.shiftright("key", 48)
         spots = (F.lit(TREES * PREFIX) + F.pmod(tree + 1 + d, F.lit(TREES)) * TAIL for d in range(DIVISIONS))
         keys = F.array(*(-F.abs(F.xxhash64("key", F.lit(d), word(k.cast("int")), word(k.cast("int") + 1)) % (1 << 62)) - 1 for d, k in enumerate(spots)))
-        members, depth = crowded.join(deep.select("node", "deep"), "node").select(F.explode(keys).alias("key"), "node", "root"), depth + 1
-
-
-def region_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b), a < b: all nodes of a key (rows: key, node, size, bits, root) that look similar and have different roots."""
-
-    def close(key, node, size, bits, root):
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        sizes = np.diff(starts, append=len(key))
-        for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (root[d:] != root[:-d]) & (np.repeat(sizes, sizes) <= SMALL)[d:])
-            i = i[_alike(bits, size, i, i + d, percent)]
-            if len(i):
-                yield _pairs(node[i], node[i + d])
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            for i in range(s, s + n - 1):
-                j = i + 1 + np.flatnonzero(root[i + 1 : s + n] != root[i])
-                j = j[_alike(bits, size, np.full(len(j), i), j, percent)]
-                if len(j):
-                    yield _pairs(np.full(len(j), node[i]), node[j])
+        members, depth = crowded.join(deep.select("node", "deep"), "node").select(F.explode(keys).alias("key"), "node", "size", "root"), depth + 1
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list]:
+    """What `columns(batch)` gives (arrays, the key first), cut so that no key is divided; rows come sorted by key."""
+    held = None
+    for b in batches:
+        now = columns(b)
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if cut:
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def similar_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, node, root of the rows (key, node, size, bits, root) that look similar to a row of the same key and another root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; those of the last key of a batch wait for the next."""
-        held = None
-        for b in batches:
-            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _fixed(b.column(3), np.uint64), b.column(4).to_numpy()]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            if cut:
-                yield from close(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield from close(*held)
+        columns = lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _fixed(b.column(3), np.uint64), b.column(4).to_numpy()]
+        for key, node, size, bits, root in _by_key(batches, columns):
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            sizes = np.diff(starts, append=len(key))
+            few, hit = np.repeat(sizes, sizes) <= SMALL, np.zeros(len(key), bool)
+            for d in range(1, min(SMALL, int(sizes.max()))):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (root[d:] != root[:-d]) & few[d:])
+                i = i[_agreement(bits, size, i, i + d, percent) >= LIKE]
+                hit[i] = hit[i + d] = True
+            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                for i in range(s, s + n):
+                    j = i + 1 + np.flatnonzero(root[i + 1 : s + n] != root[i])
+                    j = j[_agreement(bits, size, np.full(len(j), i), j, percent) >= LIKE]
+                    hit[j] = True
+                    hit[i] |= len(j) > 0
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, node, root)], names=["key", "node", "root"])
+
+    return rows.select("key", "node", "size", "bits", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, root long")
+
+
+def _compared(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between different roots: whole sets as bits over the shingles that two of them have at least, by intersections of rows."""
+    sizes = np.array([len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    width = int(np.count_nonzero(times > 1)) + 63 >> 6 << 6
+    rows, ends = [], np.concatenate([[0], np.cumsum(sizes)])
+    if not width:
+        return
+    for a, b in zip(ends, ends[1:]):
+        flags = np.zeros(width, bool)
+        own = number[place[a:b]]
+        flags[own[own >= 0]] = True
+        rows.append(np.packbits(flags))
+    bits, label = np.array(rows).view(np.uint64), roots.copy()
+    for i in range(len(nodes) - 1):
+        j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(sizes[i], sizes[i + 1 :]) >= percent * np.maximum(sizes[i], sizes[i + 1 :])))
+        if not len(j):
+            continue
+        shared = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        j = j[100 * shared >= percent * (sizes[i] + sizes[j] - shared)]
+        for k in j[np.unique(label[j], return_index=True)[1]].tolist():
+            yield int(nodes[i]), int(nodes[k])
+            label[label == label[k]] = label[i]
 
-    return rows.select("key", "node", "size", "bits", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+def region_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): a spanning forest of the links between nodes of the same key and different roots (rows: key, node, root, hashes), on whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(b):
+            sets = np.empty(b.num_rows, object)
+            at, values = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
+            for k in range(b.num_rows):
+                sets[k] = values[at[k] : at[k + 1]]
+            return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sets]
+
+        for key, node, root, sets in _by_key(batches, columns):
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            found = [x for s, e in zip(starts, [*starts[1:], len(key)]) for x in _compared(node[s:e], root[s:e], sets[s:e].tolist(), percent)]
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield _pairs(a, b)
+
+    return rows.select("key", "node", "root", "hashes").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -249,16 +304,14 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     nodes = stored(stored(merged, "merged").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     near = stored(neighbours(trees(nodes), percent), "near")
-    links = stored(confirmed(near, sets_of(docs, nodes, near, n), percent), "links")
+    links = stored(confirmed(near, sets_of(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")), n), percent), "links")
     roots = stored(components(links), "roots")
-
-    shape = nodes.select("node", F.col("n_shingles").alias("size"), "bits")
-    members = _rooted(trees(nodes).select("key", "node"), roots)
+    members = _rooted(trees(nodes).select("key", "node", "size"), roots)
     open_rows = stored(mixed_regions(members, nodes), "open")
-    more = stored(region_pairs(open_rows.join(shape, "node"), percent), "more")
-    if not more.isEmpty():
-        late = confirmed(more, sets_of(docs, nodes, more, n), percent)
-        roots = stored(components(links.unionByName(late)), "roots")
+    similar = stored(similar_rows(open_rows.join(nodes.select("node", "bits"), "node"), percent), "similar")
+    if not similar.isEmpty():
+        late = region_links(similar.join(sets_of(docs, nodes, similar.select("node"), n), "node"), percent)
+        roots = stored(components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
     rooted = stored(_rooted(nodes.select("node", "digest", "doc_id", "rows"), roots), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
@@ -267,10 +320,9 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     return linked.unionByName(rows.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """The whole sets of the nodes that occur in pairs, written."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return stored(whole_sets(docs, stored(nodes.select("node", "doc_id", "digest").join(wanted, "node"), "wanted"), n), "sets")
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """The whole sets of the wanted nodes (node, repeats allowed), written."""
+    return stored(whole_sets(docs, stored(nodes.select("node", "doc_id", "digest").join(wanted.distinct(), "node"), "wanted"), n), "sets")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

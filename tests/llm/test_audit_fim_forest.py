@@ -202,7 +202,7 @@ def test_forest(spark, similar):
 def test_forest_in_crowded_regions(spark, similar, monkeypatch):
     """Regions are divided, and dealt out in tiles, without a change of the result."""
     monkeypatch.setattr(forest, "REGION", 4)
-    monkeypatch.setattr(forest, "NEIGHBOURS", 1)
+    monkeypatch.setattr(forest, "VOLUME", 900)
     got = Counter(tuple(r) for r in forest.near_duplicates(table(spark, similar)).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == plain_classes(similar)
 

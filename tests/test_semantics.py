@@ -519,3 +519,55 @@ def test_interval_sums_by_running_sums(spark, rows, places, width):
             if chrom == c and lo <= lo + size and s + n >= lo and s + 1 <= lo + size:
                 pairs.setdefault((label, sid, c), []).append((s + 1, s + n, v))
     assert got == {k: (min(x[0] for x in v), max(x[1] for x in v), sum(x[2] for x in v), max(x[1] for x in v) - min(x[0] for x in v) + 1) for k, v in pairs.items()}
+
+
+MODES = ["overlap", "contains", "exact", "start", "end", None]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(PLACES, st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400), st.integers(-2, 90), st.sampled_from(MODES)), max_size=25))
+def test_questions_to_the_furthest_end_equal_all_pairs(spark, xs, ys):
+    df = spark.createDataFrame([(i, c, s, s + n) for i, (c, s, n, _) in enumerate(xs)], "feature_id long, chrom string, start long, end long")
+    regions = spark.createDataFrame([(c, s, s + n, m) for c, s, n, m in ys], "b_chrom string, b_start long, b_end long, mode string")
+    asks = {"contains": lambda s, e, a, b: s >= a and e <= b, "exact": lambda s, e, a, b: s == a and e == b, "start": lambda s, e, a, b: s >= a, "end": lambda s, e, a, b: e <= b}
+    meets = lambda s, e, a, b, m: a <= b and s <= b and e >= a and asks.get(m, lambda *_: True)(s, e, a, b)
+    want = sorted(i for i, (c, s, n, _) in enumerate(xs) if any(c == d and meets(s, s + n, a, a + k, m) for d, a, k, m in ys))
+    assert sorted(r.feature_id for r in predicates.in_regions(df, regions, "mode", distinct="feature_id").collect()) == want
+    got = intervals.any_covers(df, regions, {"inside": ("start", "end"), "held": ("end", "end")}, width=37)
+    holds = lambda c, x, y: any(c == d and k >= 0 and a <= x and a + k >= y for d, a, k, _ in ys)
+    assert {r.feature_id: (r.inside, r.held) for r in got.collect()} == {i: (holds(c, s, s + n), holds(c, s + n, s + n)) for i, (c, s, n, _) in enumerate(xs)}
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_existence_makes_no_pairs_and_nothing_exploded_is_broadcast(spark, sf_dir):
+    """Questions whether any interval holds a place need no interval join, and no join with exploded bins is planned as a broadcast."""
+    from spanlake import plans
+
+    queries = plans.queries()
+    for name in ("j4_one_end_in_exon", "f15_count_ids", "f6_regions_distinct"):
+        assert "_bin" not in joins(queries[name](spark, sf_dir)), name
+    for name in ("j1_overlap_join", "j2_stab_join", "j3_same_gene", "j5_end_in_repeat", "j9_label_overlaps", "j10_intron_repeat_pairs", "b1_bulk_query"):
+        plan = joins(queries[name](spark, sf_dir))
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_bin" in line], name
+        assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "pow" in line.lower()], name
+
+
+def test_bulk_pairs_are_not_shuffled(spark, sf_dir):
+    from spanlake import plans
+
+    for name in ("b1_bulk_query", "b1_bulk_filters"):
+        plan = joins(plans.queries()[name](spark, sf_dir)).splitlines()
+        met = next(i for i, line in enumerate(plan) if "SortMergeJoin" in line and "_bin" in line)
+        assert not [line for line in plan[:met] if "Exchange" in line], name
+
+
+def test_genes_of_several_intervals_and_junctions_at_several_places(spark):
+    df = spark.createDataFrame([(1, "c", 5, 50, "+"), (2, "c", 5, 20, "-"), (3, "c", 50, 5, "+"), (4, "c", 5, 6, "+"), (4, "c", 50, 51, "+"), (5, "d", 5, 50, "+")], "feature_id long, chrom string, start long, end long, strand string")
+    genes = spark.createDataFrame([("c", 1, 9, "g", "+"), ("c", 45, 60, "g", "+"), ("c", 1, 60, "h", "-"), ("c", 1, 30, "k", "-"), ("c", 9, 2, "z", "+")], "b_chrom string, b_start long, b_end long, gene string, strand string")
+    got = {r.feature_id: r.genes for r in flank.same_gene(df, genes.drop("strand")).collect()}
+    assert got == {1: ["g", "h"], 2: ["h", "k"], 3: ["g", "h"], 4: ["g", "h", "k"]}
+    assert sorted(r.feature_id for r in flank.in_same_gene(df, genes).collect()) == [1, 2, 3, 4]
+    assert sorted((r.feature_id, r.strand) for r in flank.in_same_gene(df, genes, strand="strand").where("feature_id <> 4").collect() if r.feature_id != 2) == [(1, "+"), (3, "+")]

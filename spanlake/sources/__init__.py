@@ -10,7 +10,7 @@ from spanlake.functions import decode_samples, decode_sources, encode_samples, e
 from spanlake.model import FEATURE_TEXT
 from spanlake.operators.genes import gene_spans
 from spanlake.operators.intervals import BIN, dense_ids, level_of
-from spanlake.operators.stats import infer_types
+from spanlake.operators.stats import dense_ids_of, infer_types
 
 
 def _tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = False) -> DataFrame:
@@ -61,6 +61,23 @@ def read_bases(spark: SparkSession, path: str) -> DataFrame:
     return values.join(header.distinct(), ["file", "place"]).select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "sid", "value")
 
 
+def write_bases(bases: DataFrame, path: str, files: int = 32) -> None:
+    """Long coverage (chrom, start, end, sid, value) as wide text that `read_bases` reads: a line for each place, a cell for each sample, a header in each file.
+
+    A line is written gap by gap from its sorted entries, so no column of the plan stands for a sample. Of several values the largest is kept; entries without a sample have no cell.
+    """
+    own = bases.where("sid is not null").groupBy("chrom", "start", "end", "sid").agg(F.max("value").alias("value"))
+    ids = dense_ids_of(own.select("sid"), "sid").select("sid", F.col("id").cast("int").alias("at"))
+    header = ids.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sid"))), lambda x: x["sid"].cast("string")).alias("sids"))
+    lists = own.join(ids.hint("merge"), "sid").groupBy("chrom", "start", "end").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("string").alias("text")))).alias("e"))
+    tabs = lambda n: F.repeat(F.lit("\t"), n)
+    cells = F.array_join(F.transform("e", lambda x, i: F.concat(tabs(x["at"] - F.coalesce(F.get("e", i - 1)["at"], F.lit(-1))), F.coalesce(x["text"], F.lit("")))), "")
+    lines = lists.crossJoin(F.broadcast(ids.agg((F.max("at") + 1).alias("n")))).select(F.concat(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")), cells, tabs(F.col("n") - 1 - F.element_at("e", -1)["at"])).alias("value"), F.pmod(F.xxhash64("chrom", "start", "end"), F.lit(files)).alias("file"))
+    titles = bases.sparkSession.range(files).crossJoin(header).select(F.concat_ws("\t", F.lit("chrom"), F.lit("start"), F.lit("end"), F.array_join("sids", "\t")).alias("value"), F.col("id").alias("file"))
+    both = lines.withColumn("line", F.lit(1)).unionByName(titles.withColumn("line", F.lit(0)))
+    both.repartition(files, "file").sortWithinPartitions("file", "line").select("value").write.text(path)
+
+
 GTF = ["chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"]
 
 

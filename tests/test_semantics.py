@@ -571,3 +571,11 @@ def test_genes_of_several_intervals_and_junctions_at_several_places(spark):
     assert got == {1: ["g", "h"], 2: ["h", "k"], 3: ["g", "h"], 4: ["g", "h", "k"]}
     assert sorted(r.feature_id for r in flank.in_same_gene(df, genes).collect()) == [1, 2, 3, 4]
     assert sorted((r.feature_id, r.strand) for r in flank.in_same_gene(df, genes, strand="strand").where("feature_id <> 4").collect() if r.feature_id != 2) == [(1, "+"), (3, "+")]
+
+
+def test_wide_coverage_of_more_samples_than_a_pivot_takes(spark, tmp_path):
+    n = 12_000
+    bases = spark.range(n).selectExpr("'c' AS chrom", "id % 3 AS start", "id % 3 + 1 AS end", "id * 7 AS sid", "cast(id AS double) + 0.5 AS value")
+    sources.write_bases(bases, str(tmp_path / "wide"))
+    back = sources.read_bases(spark, str(tmp_path / "wide"))
+    assert back.count() == n and back.exceptAll(bases).count() == 0

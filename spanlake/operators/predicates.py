@@ -190,6 +190,24 @@ def passes(filters: Column) -> Column:
     return filters.isNull() | F.forall(filters, test)
 
 
+def bounds(filters: Column) -> tuple[dict[str, Column], Column]:
+    """What `passes` asks in columns that are worked out once for a query: for each statistic the largest value that it must exceed (gt) or reach (ge) and the smallest
+    that it must stay under (lt) or at (le); and the test of a pair by these. Other tests than of order stay in an array, null where there are none."""
+    of = lambda *ops: lambda x: x["op"].isin(*ops)
+    orders = {"gt": (">",), "ge": (">=", "="), "lt": ("<",), "le": ("<=", "=")}
+    tame = lambda x: F.coalesce(x["field"].isin(*STATISTICS) & x["op"].isin(*(o for ops in orders.values() for o in ops)) & x["value"].isNotNull(), F.lit(False))
+    columns, tests = {}, []
+    for field in STATISTICS:
+        for name, ops in orders.items():
+            values = F.transform(F.filter(filters, lambda x: tame(x) & (x["field"] == field) & of(*ops)(x)), lambda x: x["value"].cast("double"))
+            columns[f"_{field}_{name}"] = (F.array_max if name in ("gt", "ge") else F.array_min)(values)
+            bound, v = F.col(f"_{field}_{name}"), F.col(field).cast("double")
+            tests.append(bound.isNull() | F.coalesce({"gt": v > bound, "ge": v >= bound, "lt": v < bound, "le": v <= bound}[name], F.lit(False)))
+    rest = F.filter(filters, lambda x: ~tame(x))
+    columns["_rest"] = F.when(F.size(rest) > 0, rest)
+    return columns, reduce(lambda a, b: a & b, tests) & passes(F.col("_rest"))
+
+
 def hash_tables(lists: DataFrame) -> DataFrame:
     """_list and `table` for each list of ids (_list, sids): an array of as many small arrays as there are ids, in which an id lies at its hash.
 
@@ -239,6 +257,9 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame
     conditions = [mode_condition(F.col(named["mode"]))] if "mode" in has else []
     conditions += [F.col(k).isNull() | (F.col(v) == F.col(k)) for k, v in flags.items() if k in has]
     asked = queries
+    if "filters" in has:
+        columns, test = bounds(F.col("filters"))
+        asked = asked.withColumns(columns)
     if "sids" in has:
         known = F.col("sids").isNotNull()
         asked = asked.withColumns({"_list": F.when(known, F.xxhash64(F.array_sort(F.array_distinct("sids")), F.size("sids"))), "_ids": F.when(known, F.xxhash64("sids"))})
@@ -255,7 +276,7 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN) -> DataFrame
         if f"min_{column}" in has:
             out = out.where(F.col(f"min_{column}").isNull() | (F.col(column) >= F.col(f"min_{column}")))
     if "filters" in has:
-        out = out.where(passes(F.col(named["filters"])))
+        out = out.where(test)
     if "sids" in has:
         out = out.join(raw, "_ids", "left")
     return out.select(*df.columns, *named.values())

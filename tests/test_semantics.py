@@ -579,3 +579,14 @@ def test_wide_coverage_of_more_samples_than_a_pivot_takes(spark, tmp_path):
     sources.write_bases(bases, str(tmp_path / "wide"))
     back = sources.read_bases(spark, str(tmp_path / "wide"))
     assert back.count() == n and back.exceptAll(bases).count() == 0
+
+
+def test_bounds_ask_what_the_filters_ask(spark):
+    one = lambda *fs: [(f, o, v) for f, o, v in fs]
+    lists = [None, [], one(("length", ">", 5.0), ("length", "<=", 9.0)), one(("length", "=", 7.0)), one(("length", "=", 7.0), ("length", "=", 8.0)), one(("coverage_avg", "<", 2.5), ("length", "!=", 7.0)), one(("nosuch", ">", 1.0)), one(("length", "~", 1.0)), one(("length", ">", None)), one((None, ">", 1.0)), one(("coverage_avg", ">=", float("nan"))), one(("coverage_avg", ">", 0.0))]
+    asked = spark.createDataFrame(list(enumerate(lists)), "q int, filters array<struct<field:string,op:string,value:double>>")
+    rows = [(i, n, n, n, a, a) for i, (n, a) in enumerate([(5, 1.0), (7, 2.5), (8, 2.0), (9, None), (10, float("nan"))])]
+    df = spark.createDataFrame(rows, "i int, length long, samples_count long, coverage_sum long, coverage_avg double, coverage_median double")
+    columns, test = predicates.bounds(F.col("filters"))
+    plain = lambda pairs: sorted((r.q, r.i) for r in pairs.collect())
+    assert plain(asked.withColumns(columns).crossJoin(df).where(test)) == plain(asked.crossJoin(df).where(predicates.passes(F.col("filters"))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.operators.intervals import BIN, disjoin, islands, overlap_join, prefixed
+from spanlake.operators.intervals import BIN, bins_of_point, bins_of_range, disjoin, islands, overlap_join, prefixed
 
 
 def gene_spans(tx: DataFrame, max_gap: int = 10_000, gene: str = "gene") -> DataFrame:
@@ -43,12 +43,26 @@ def gene_introns(all_introns: DataFrame, gene: str, name: str, wanted: list[int
     return all_introns.where((F.col(gene) == name) & reduce(lambda a, b: a | b, tests))
 
 
-def top_transcripts(tx: DataFrame, spans: DataFrame, limit: int = 20, width: int = BIN) -> DataFrame:
-    """For each gene span (gene, b_chrom, b_start, b_end) its transcripts with the most exons, coding ones first."""
-    pairs = overlap_join(tx, spans, width)
-    score = F.col("n_exons") + F.when(F.col("coding"), 100_000).otherwise(0)
-    w = Window.partitionBy("gene", "b_chrom", "b_start", "b_end").orderBy(F.desc("score"), "tx")
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+def top_transcripts(tx: DataFrame, spans: DataFrame, limit: int = 20) -> DataFrame:
+    """For each gene span (gene, b_chrom, b_start, b_end) its transcripts with the most exons, coding ones first.
+
+    No pair is made: what overlaps a span either begins behind the span's start and not behind its end, or holds its start. The first are dealt to the bins of every
+    level that they begin in, the others to the bins that they are made of, each bin keeps its best `limit`, and a span asks the few bins that it is made of and those
+    that its start lies in.
+    """
+    score = (F.col("n_exons") + F.when(F.col("coding"), 100_000).otherwise(0)).alias("score")
+    best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "_row.tx"))).where(F.col("rank") <= limit)
+    own = best(tx.where("start <= end").select("chrom", "start", "end", score, F.struct(*tx.columns).alias("_row")), "chrom", "start", "end").drop("rank")
+    bins = ["chrom", "_holds", "_level", "_bin"]
+    dealt = lambda df, holds, nodes, *more: df.select("chrom", F.lit(holds).alias("_holds"), F.explode(nodes).alias("_n"), *more).select("chrom", "_holds", F.col("_n.level").alias("_level"), F.col("_n.bin").alias("_bin"), *more)
+    kept = best(dealt(own, False, bins_of_point(F.col("start")), "score", "_row").unionByName(dealt(own, True, bins_of_range(F.col("start"), F.col("end")), "score", "_row")), *bins).drop("rank")
+    place = ["b_chrom", "b_start", "b_end"]
+    places = spans.where("b_start <= b_end").select(*place, F.col("b_chrom").alias("chrom")).distinct()
+    asked = dealt(places, False, bins_of_range(F.col("b_start") + 1, F.col("b_end")), *place).unionByName(dealt(places, True, bins_of_point(F.col("b_start")), *place))
+    found = best(asked.join(kept.hint("merge"), bins).select(*place, "score", "_row"), *place)
+    named = spans.dropDuplicates(["gene", *place])
+    named = named.withColumnsRenamed({c: f"b_{c}" for c in spans.columns if c in tx.columns})
+    return found.join(named.hint("merge"), place).select("_row.*", *named.columns, "score", "rank")
 
 
 def merged_exons(exons: DataFrame, keys: list[str]) -> DataFrame:

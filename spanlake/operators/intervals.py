@@ -35,6 +35,34 @@ def bases_of(level: Column, width: int = BIN) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(width) * F.pow(F.lit(float(FACTOR)), level)))
 
 
+#: Levels of bins that ranges are made of, each four times as wide as the one before, from single bases on; what is longer than the widest is made of many of these.
+DEPTH = 10
+
+
+def _over(x: Column, level: Column) -> Column:
+    """floor(x / 4 ** level)"""
+    return F.call_function("shiftright", x.cast("long"), level * 2)
+
+
+def bins_of_point(at: Column) -> Column:
+    """Level and bin of a point on every level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda k: F.struct(k.alias("level"), _over(at, k).alias("bin")))
+
+
+def bins_of_range(low: Column, high: Column) -> Column:
+    """Level and bin of the fewest bins that make up the closed range: they hold its points and no others, each once. Empty where high is below low."""
+
+    def at(k):
+        first, behind = lambda k: -_over(-low, k), lambda k: _over(high + 1, k)
+        up, down = first(k + 1) * 4, behind(k + 1) * 4
+        wider = (up < down) & (k < DEPTH - 1)  # wider bins go on between
+        run = lambda x, y: F.when(x < y, F.sequence(x, F.greatest(x, y - 1))).otherwise(F.array().cast("array<bigint>"))
+        both = F.concat(run(first(k), F.when(wider, up).otherwise(behind(k))), run(F.when(wider, down).otherwise(behind(k)), behind(k)))
+        return F.transform(both, lambda b: F.struct(k.alias("level"), b.alias("bin")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), at))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: Column | None = None) -> DataFrame:
     """Pairs of overlapping rows of the same chrom. `b` names its place b_chrom, b_start, b_end; another column that `a` has too comes as b_<name>.
 

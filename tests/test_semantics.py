@@ -590,3 +590,28 @@ def test_bounds_ask_what_the_filters_ask(spark):
     columns, test = predicates.bounds(F.col("filters"))
     plain = lambda pairs: sorted((r.q, r.i) for r in pairs.collect())
     assert plain(asked.withColumns(columns).crossJoin(df).where(test)) == plain(asked.crossJoin(df).where(predicates.passes(F.col("filters"))))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(0, 70), st.integers(1, 4), st.booleans()), max_size=25), st.lists(st.tuples(st.integers(0, 90), st.integers(0, 70)), max_size=8))
+def test_top_transcripts_are_those_of_all_pairs(spark, tx, spans):
+    own = [(i, "c", s, s + n, e, c) for i, (s, n, e, c) in enumerate(tx)] + [(999, "c", 9, 3, 9, True)]
+    asked = [(g, "c", s, s + n) for g, (s, n) in enumerate(spans)] + [(998, "d", 1, 99), (997, "c", 50, 40)]
+    a = spark.createDataFrame(own, "tx long, chrom string, start long, end long, n_exons long, coding boolean")
+    b = spark.createDataFrame(asked, "gene long, b_chrom string, b_start long, b_end long")
+    got = sorted((r.gene, r["rank"], r.tx) for r in genes.top_transcripts(a, b, 3).collect())
+    want = []
+    for g, c, s, e in asked:
+        met = sorted((-(n + 100_000 * k), i) for i, x, y, z, n, k in own if x == c and y <= z and s <= e and z >= s and y <= e)
+        want += [(g, r + 1, i) for r, (_, i) in enumerate(met[:3])]
+    assert got == sorted(want)
+
+
+def test_top_transcripts_make_no_pairs(spark):
+    """A crowd of transcripts on a crowd of spans: what is joined stays in proportion to both."""
+    a = spark.range(3000).selectExpr("id AS tx", "'c' AS chrom", "id % 50 AS start", "id % 50 + 5000 AS end", "id % 7 AS n_exons", "true AS coding")
+    b = spark.range(3000).selectExpr("id AS gene", "'c' AS b_chrom", "id % 40 AS b_start", "id % 40 + 4000 + id AS b_end")
+    out = genes.top_transcripts(a, b, 2)
+    assert out.count() == 6000
+    metrics = out._jdf.queryExecution().executedPlan().toString()
+    assert "b_start" in metrics and not any("<=" in line and "b_end" in line and "Join" in line for line in metrics.splitlines())

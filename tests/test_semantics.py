@@ -615,3 +615,15 @@ def test_top_transcripts_make_no_pairs(spark):
     assert out.count() == 6000
     metrics = out._jdf.queryExecution().executedPlan().toString()
     assert "b_start" in metrics and not any("<=" in line and "b_end" in line and "Join" in line for line in metrics.splitlines())
+
+
+def test_bitmaps_are_made_by_tasks_of_a_bounded_number_of_entries(spark, monkeypatch):
+    """Lists that open into many entries are dealt out by these, not by the bytes of the lists."""
+    monkeypatch.setattr(samples, "ENTRIES", 100)
+    monkeypatch.setattr(samples, "BITMAPS", 3)
+    df = spark.range(60).selectExpr("id * 1000 AS feature_id", "transform(sequence(1, 20), s -> struct(s AS sid, 1L AS cov)) AS samples")
+    bitmaps = samples.sample_bitmaps(df)
+    assert bitmaps.rdd.getNumPartitions() == 12
+    some = spark.createDataFrame([(3,), (4,), (9,)], "sid int")
+    assert sorted(r[0] for r in samples.bitmap_ids(samples.features_by_bitmap(bitmaps, some)).collect()) == [i * 1000 for i in range(60)]
+    assert samples.count_union(bitmaps, some.limit(0)).first()[0] == 0

@@ -627,3 +627,13 @@ def test_bitmaps_are_made_by_tasks_of_a_bounded_number_of_entries(spark, monkeyp
     some = spark.createDataFrame([(3,), (4,), (9,)], "sid int")
     assert sorted(r[0] for r in samples.bitmap_ids(samples.features_by_bitmap(bitmaps, some)).collect()) == [i * 1000 for i in range(60)]
     assert samples.count_union(bitmaps, some.limit(0)).first()[0] == 0
+
+
+def test_postings_cut_a_text_once_and_hold_all_fields_in_the_same_rows(spark):
+    df = spark.createDataFrame([(1, "a-b C", None, "d"), (2, "x", "a b", "c d"), (3, None, None, "")], "k long, t string, u string, v string")
+    posts = samples.postings(df, "k").cache()
+    assert posts.where("cut = 'standard'").count() == 4 + 5  # no row of their own for field `all`
+    assert [r.token for r in posts.where("cut = 'standard' and key = 2").orderBy("at").collect()] == ["x", "a", "b", "c", "d"]
+    find = lambda field, value: {r.key for r in samples.hits(posts, field, value).collect()}
+    assert (find("all", "c d"), find("all", "b c d"), find("all", "x a"), find("t", "x a"), find("v", "c d")) == ({1, 2}, {1, 2}, {2}, set(), {2})
+    assert "range" not in samples.postings(df, "k")._jdf.queryExecution().executedPlan().toString().lower().replace("scan", "")

@@ -555,6 +555,26 @@ def test_existence_makes_no_pairs_and_nothing_exploded_is_broadcast(spark, sf_di
         assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "pow" in line.lower()], name
 
 
+@pytest.mark.parametrize("name", ["j6_sense_flags", "j6_repeat_study", "j7_rel_by_sample", "j8_rel_fractions"])
+def test_plans_of_sense_stay_small(spark, sf_dir, name):
+    """What the driver plans doesn't multiply with the questions asked one after the other, and lineitem isn't summed for places alone."""
+    from spanlake import plans
+
+    plan = joins(plans.queries()[name](spark, sf_dir))
+    assert plan.count("Exchange ") < 50 and plan.count("Scan parquet") < 30
+    assert plan.count("lineitem.parquet") <= {"j7_rel_by_sample": 1, "j8_rel_fractions": 2}.get(name, 0)
+
+
+def test_questions_asked_one_after_the_other_plan_the_rows_once(spark):
+    df = spark.range(4).selectExpr("'c' AS chrom", "id AS start", "id + 2 AS end")
+    own = spark.createDataFrame([("c", 1, 2)], "b_chrom string, b_start long, b_end long")
+    out = df
+    for name in ("p", "q", "r"):
+        out = intervals.any_covers(out, own, {name: ("start", "start"), f"{name}_whole": ("start", "end")})
+    assert joins(out).count("Range (") == 1
+    assert sorted((r.start, r.p, r.r, r.q_whole) for r in out.collect()) == [(0, False, False, False), (1, True, True, False), (2, True, True, False), (3, False, False, False)]
+
+
 def test_bulk_pairs_are_not_shuffled(spark, sf_dir):
     from spanlake import plans
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.intervals import BIN, bins_of_point, bins_of_range, disjoin, islands, overlap_join, prefixed
+from spanlake.operators.samples import ROWS, dealt
 
 
 def gene_spans(tx: DataFrame, max_gap: int = 10_000, gene: str = "gene") -> DataFrame:
@@ -73,14 +74,14 @@ def merged_exons(exons: DataFrame, keys: list[str]) -> DataFrame:
 
 def splice_sites(exons: DataFrame, tx: str = "tx") -> DataFrame:
     """Distinct (chrom, left, right): the end of an exon and the start of the transcript's next one."""
-    merged = merged_exons(exons, [tx, "chrom"])
+    merged = merged_exons(dealt(exons.select(tx, "chrom", "start", "end"), ROWS, tx), [tx, "chrom"])
     following = merged.withColumn("right", F.lead("start").over(Window.partitionBy(tx, "chrom").orderBy("start")))
     return following.where("right is not null").select("chrom", F.col("end").alias("left"), "right").distinct()
 
 
 def annotation_summary(exons: DataFrame, gene: str = "gene", tx: str = "tx") -> DataFrame:
     """One row: genes, transcripts and merged exons, their mean lengths, transcripts of several exons, and the mean length of introns."""
-    merged = merged_exons(exons, [gene, tx, "chrom"])
+    merged = merged_exons(dealt(exons.select(gene, tx, "chrom", "start", "end"), ROWS, tx), [gene, tx, "chrom"])
     w = Window.partitionBy(gene, tx, "chrom").orderBy("start")
     marked = merged.withColumn("intron", F.lead("start").over(w) - F.col("end") - 1).withColumn("length", F.col("end") - F.col("start") + 1)
     per_tx = marked.groupBy(gene, tx).agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("intron").alias("introns"), F.count("intron").alias("n_introns"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlake.operators import genes as G
 from spanlake.operators import predicates as P
 from spanlake.operators.intervals import disjoin, prefixed
+from spanlake.operators.samples import ROWS, dealt
 from spanlake.plans.register import Register
 
 register = Register()
@@ -50,7 +51,7 @@ _INTRONS = f"""(SELECT tx, chrom, strand, CASE WHEN strand = '-' THEN n - k ELSE
 
 def _transcripts(v):
     """Merged exons as arrays, starts 0-based."""
-    merged = G.merged_exons(v.tx_exons.select("tx", "chrom", "strand", "start", "end").distinct(), ["tx", "chrom", "strand"])
+    merged = G.merged_exons(dealt(v.tx_exons.select("tx", "chrom", "strand", "start", "end"), ROWS, "tx").distinct(), ["tx", "chrom", "strand"])
     lists = merged.groupBy("tx", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("e"))
     return lists.select("tx", "chrom", "strand", F.transform("e", lambda x: x["start"] - 1).alias("exon_starts"), F.transform("e", lambda x: x["end"]).alias("exon_ends"))
 

@@ -575,6 +575,21 @@ def test_questions_asked_one_after_the_other_plan_the_rows_once(spark):
     assert sorted((r.start, r.p, r.r, r.q_whole) for r in out.collect()) == [(0, False, False, False), (1, True, True, False), (2, True, True, False), (3, False, False, False)]
 
 
+@pytest.mark.parametrize("name", ["a9_sparse_from_wide", "x4_tissue_breakdown", "g9_splice_sites"])
+def test_sums_and_orders_are_of_bounded_numbers_of_rows(spark, sf_dir, monkeypatch, name):
+    """Rows are dealt out by their number, and before anything is summed or ordered; one further shuffle at most gathers what is left of them."""
+    from spanlake import plans
+    from spanlake.plans import views
+
+    for module in (views, genes):
+        monkeypatch.setattr(module, "ROWS", 1000, raising=False)
+    n = -(-views.Views(spark, sf_dir).table("lineitem").count() // 1000)
+    plan = joins(plans.queries()[name](spark, sf_dir)).splitlines()
+    dealt = next(i for i, line in enumerate(plan) if f", {n}), REPARTITION_BY_NUM" in line)
+    assert not [line for line in plan[dealt + 1 :] if ("Aggregate" in line or "Sort" in line) and line.index("+-") > plan[dealt].index("+-")]
+    assert len([line for line in plan[:dealt] if "Exchange hashpartitioning" in line]) == (name != "x4_tissue_breakdown")
+
+
 def test_bulk_pairs_are_not_shuffled(spark, sf_dir):
     from spanlake import plans
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanlake import sources
-from spanlake.functions import decode_samples, encode_samples
+from spanlake.functions import decode_samples, encode_samples, summary
 from spanlake.operators import flank, genes, intervals, predicates, quality, samples, stats
 
 
@@ -601,6 +601,37 @@ def test_bulk_pairs_are_not_shuffled(spark, sf_dir):
         assert not [line for line in plan[:met] if "Exchange" in line], name
 
 
+@pytest.mark.parametrize("in_row", [0, 500])
+def test_lists_of_samples_are_named_and_no_row_gets_a_copy(spark, sf_dir, monkeypatch, in_row):
+    """Queries name their list; long lists are asked by entries, a few to a task, with the same result as short ones that come into the row."""
+    from spanlake import plans
+
+    monkeypatch.setattr(predicates, "IN_ROW_IDS", in_row)
+    monkeypatch.setattr(predicates, "ENTRIES", 5)
+    text = [(1, 10, ",3:1,1:5,9:2"), (1, 10, ",3:1,1:5,9:2"), (1, 40, ",1:7"), (2, 10, ""), (3, 12, ",9:4,2:8"), (4, 500, ",1:1")]
+    df = spark.createDataFrame([(i, "c", s, s + 5, t) for i, s, t in text], "feature_id long, chrom string, start long, end long, text string").withColumn("samples", decode_samples("text")).drop("text")
+    df = df.withColumns(summary("samples"))
+    lists = {"p": [1, 3, 3, None], "q": [9], "none": [None]}
+    asked = [("a", 1, 20, "p"), ("b", 1, 99, "q"), ("c", 11, 99, "none"), ("d", 40, 99, "lost"), ("a", 1, 20, "p")] + [("e", 1, 20, None)] * (in_row > 0)
+    queries = spark.createDataFrame([(a, "c", s, e, k) for a, s, e, k in asked], "label string, b_chrom string, b_start long, b_end long, list string")
+    members = spark.createDataFrame([(k, x) for k, v in lists.items() for x in v], "list string, sid long")
+    out = predicates.bulk_query(df, queries, lists=members)
+    assert out.columns == [*df.columns, *queries.columns]
+    got = sorted((r.label, r.feature_id, r.start, tuple((x.sid, x.cov) for x in r.samples), r.samples_count, r.coverage_sum) for r in out.collect())
+    want = []
+    for label, s, e, name in asked:
+        for i, at, t in text:
+            entries = tuple(tuple(map(int, x.split(":"))) for x in t.split(",") if x)
+            kept = entries if name is None else tuple(x for x in entries if x[0] in lists.get(name, []))
+            if at <= e and at + 5 >= s and (kept or name is None):
+                want.append((label, i, at, kept, len(kept), sum(c for _, c in kept)))
+    assert got == sorted(want)
+    plan = joins(plans.queries()["b1_bulk_with_samples"](spark, sf_dir))
+    top, *rest = [line for line in plan.splitlines() if "SortMergeJoin" in line and "_bin" in line]
+    assert "Exchange" not in plan[: plan.index(top)] and plan.count("lineitem.parquet") == 0
+    assert ("table#" in plan) == (in_row > 0)
+
+
 def test_genes_of_several_intervals_and_junctions_at_several_places(spark):
     df = spark.createDataFrame([(1, "c", 5, 50, "+"), (2, "c", 5, 20, "-"), (3, "c", 50, 5, "+"), (4, "c", 5, 6, "+"), (4, "c", 50, 51, "+"), (5, "d", 5, 50, "+")], "feature_id long, chrom string, start long, end long, strand string")
     genes = spark.createDataFrame([("c", 1, 9, "g", "+"), ("c", 45, 60, "g", "+"), ("c", 1, 60, "h", "-"), ("c", 1, 30, "k", "-"), ("c", 9, 2, "z", "+")], "b_chrom string, b_start long, b_end long, gene string, strand string")

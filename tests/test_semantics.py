@@ -567,6 +567,25 @@ def test_plans_of_sense_stay_small(spark, sf_dir, name):
     assert plan.count("lineitem.parquet") <= {"j7_rel_by_sample": 1, "j8_rel_fractions": 2}.get(name, 0)
 
 
+def test_fractions_of_samples_take_one_pass_over_the_entries(spark, sf_dir):
+    from spanlake import plans
+
+    plan = joins(plans.queries()["j8_rel_fractions"](spark, sf_dir))
+    assert plan.count("lineitem.parquet") == 1 and len([x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]) == 1
+    entries = spark.createDataFrame([(1, 1, 5), (1, 2, 7), (2, 1, 1), (3, 3, 4), (3, 14, 9), (1, 14, 2), (4, 4, None)], "feature_id long, sid long, cov long")
+    flags = spark.createDataFrame([(1, True, False, False), (2, True, True, True)], "feature_id long, gene_sense boolean, repeat_sense boolean, both_sense boolean")
+    names = ["n", "n_both", "n_gene", "n_repeat", "coverage"]
+    one = {r.sid: r for r in flank.rel_by_sample(entries, flags).collect()}
+    got = {r.sid: r for r in flank.rel_by_sample(entries, flags, counted=F.col("sid") != 14).collect()}
+    assert {k: tuple(r[c] for c in names) for k, r in one.items()} == {1: (2, 1, 2, 1, 6), 2: (1, 0, 1, 0, 7), 14: (1, 0, 1, 0, 2)}
+    assert {k: tuple(r[c] for c in names) for k, r in got.items() if r.n is not None} == {k: tuple(r[c] for c in names) for k, r in one.items()}
+    assert all(got[k][c] is None for k in (3, 4) for c in names)
+    assert {k: (r.n_total, r.coverage_total) for k, r in got.items()} == {1: (2, 6), 2: (1, 7), 3: (1, 4), 4: (1, 0), 14: (0, 0)}
+    samples_ = spark.createDataFrame([(1,), (3,), (14,), (20,)], "sid long")
+    fractions = flank.rel_fractions(flank.rel_by_sample(entries, flags, counted=F.col("sid") != 14), samples_, spark.createDataFrame([(3,)], "sid long"))
+    assert {tuple(r) for r in fractions.collect()} == {(1, 1.0, 1.0, False), (3, None, None, True), (14, None, None, False), (20, None, None, False)}
+
+
 def test_questions_asked_one_after_the_other_plan_the_rows_once(spark):
     df = spark.range(4).selectExpr("'c' AS chrom", "id AS start", "id + 2 AS end")
     own = spark.createDataFrame([("c", 1, 2)], "b_chrom string, b_start long, b_end long")

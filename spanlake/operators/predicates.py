@@ -21,6 +21,10 @@ LITERAL_SIDS = 5000
 BROADCAST_IDS = 1_000_000
 #: Ids of a list up to which its hash table is copied to each row that asks for it.
 IN_ROW_IDS = 500
+#: Distinct sets of tests of a bulk query, and range filters in all of them, up to which features are tested by each set before they meet a query.
+KINDS, KIND_FILTERS = 512, 2000
+#: Sets of tests whose outcomes share a number: bits of a long without its sign.
+KIND_BITS = 63
 
 
 def in_region(chrom: str, start: int, end: int, exact: bool = False, contains: bool = False, either: str | None = None, max_length: int | None = None, levels: str | None = None, width: int = BIN) -> Column:
@@ -55,6 +59,14 @@ def mode_condition(mode: Column, start: str = "b_start", end: str = "b_end") ->
     return F.when(mode == "contains", (s >= qs) & (e <= qe)).when(mode == "exact", (s == qs) & (e == qe)).when(mode == "start", s >= qs).when(mode == "end", e <= qe).otherwise(True)
 
 
+def mode_flags(mode: Column) -> tuple[dict[str, Column], Column]:
+    """What `mode_condition` asks in booleans that are worked out once for a region, and the test of a pair by these, which compares no text."""
+    one_of = lambda *names: F.coalesce(mode.isin(*names), F.lit(False))
+    columns = {"_from": one_of("contains", "exact", "start"), "_upto": one_of("contains", "exact", "end"), "_exact": one_of("exact")}
+    s, e, qs, qe = F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")
+    return columns, (~F.col("_from") | (s >= qs)) & (~F.col("_upto") | (e <= qe)) & (~F.col("_exact") | ((s == qs) & (e == qe)))
+
+
 def in_regions(df: DataFrame, regions: DataFrame, mode: str | None = None, distinct: str | None = None, width: int = BIN) -> DataFrame:
     """Rows of `df` once for each region (b_chrom, b_start, b_end, more) that they meet; distinct: a key to come once only.
 
@@ -211,6 +223,39 @@ def bounds(filters: Column) -> tuple[dict[str, Column], Column]:
     return columns, reduce(lambda a, b: a & b, tests) & passes(F.col("_rest"))
 
 
+def kinds_of(queries: DataFrame, flags: dict[str, str]) -> tuple[DataFrame, Column, Column] | None:
+    """Of a bulk query's tests of a feature alone, the distinct sets: the queries with _word and _bit, the place of their set; the outcomes of all sets for a feature, bits
+    of an array; and the test of a pair by these. None if there are more than KINDS sets, or filters than KIND_FILTERS, and so for each pair to be tested.
+
+    flags: for columns that name a wanted value, the feature's column. The sets are written into the expression, and so known to the driver, to which no more come than the bound.
+    """
+    minima = {f"min_{c}": c for c in ("samples_count", "coverage_sum") if f"min_{c}" in queries.columns}
+    names = [*minima, *flags, *(["filters"] if "filters" in queries.columns else [])]
+    if not names:
+        return queries, F.array().cast("array<bigint>"), F.lit(True)
+    some = queries.select(*(F.slice(c, 1, KIND_FILTERS + 1).alias(c) if c == "filters" else F.col(c) for c in names)).distinct().limit(KINDS + 1)
+    table = stored(some.coalesce(1).withColumn("_i", F.monotonically_increasing_id()))  # numbered from 0 on
+    rows = sorted(table.collect(), key=lambda r: r["_i"])
+    if len(rows) > KINDS or sum(len(r.filters or ()) for r in rows if "filters" in names) > KIND_FILTERS:
+        return None
+
+    def test(row):
+        asked = [F.col(c) >= F.lit(row[m]) for m, c in minima.items() if row[m] is not None] + [F.col(c) == F.lit(row[w]) for w, c in flags.items() if row[w] is not None]
+        for f in (row["filters"] if "filters" in names else None) or ():
+            if f is None or f["field"] not in STATISTICS or f["op"] not in ("=", "!=", "<", "<=", ">", ">=") or f["value"] is None:
+                return F.lit(False)
+            left, right = F.col(f["field"]).cast("double"), F.lit(float(f["value"]))
+            asked.append({"=": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[f["op"]])
+        return F.coalesce(reduce(lambda a, b: a & b, asked), F.lit(False)) if asked else F.lit(True)
+
+    bits = [F.when(test(r), F.lit(1 << i % KIND_BITS).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rows)]
+    words = [reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + KIND_BITS]) for i in range(0, len(bits), KIND_BITS)]
+    places = ((F.col("_i") / KIND_BITS).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_i") % KIND_BITS).cast("int")).alias("_bit"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names))
+    placed = queries.join(F.broadcast(table.select(*(F.col(c).alias(f"_k_{c}") for c in names), *places)), same).drop(*(f"_k_{c}" for c in names))
+    return placed, F.array(*words).cast("array<bigint>"), F.get("_kinds", F.col("_word")).bitwiseAND(F.col("_bit")) != 0
+
+
 def hash_tables(lists: DataFrame) -> DataFrame:
     """_list and `table` for each list of ids (_list, sids): an array of as many small arrays as there are ids, in which an id lies at its hash.
 
@@ -263,17 +308,27 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN, lists: DataF
     column list instead of sids, so that none carries it whole; a list without a row finds nothing.
     Rows meet queries in the bins of the join and nowhere else: a pair is tested and given out where it is made, never shuffled. With sids a feature is restricted
     once for each distinct list that a query near it has, before the join, and then meets the queries of that list only; what a pair carries of a list is its hash.
+    Tests of a feature alone are made before the join, once for each distinct set of them (`kinds_of`), so that of a pair only a bit is asked.
     """
     has = set(queries.columns)
     named = {c: f"b_{c}" if c in df.columns else c for c in queries.columns}
     flags = {"strand_wanted": "strand", "annotated_wanted": "annotated"} | {f"{s}_wanted": f"_{s}" for s in ("left", "right")}
     own = df.withColumns({f"_{s}": F.size(f"{s}_sources") > 0 for s in ("left", "right") if f"{s}_wanted" in has})
-    conditions = [mode_condition(F.col(named["mode"]))] if "mode" in has else []
-    conditions += [F.col(k).isNull() | (F.col(v) == F.col(k)) for k, v in flags.items() if k in has]
-    asked = queries
-    if "filters" in has:
-        columns, test = bounds(F.col("filters"))
-        asked = asked.withColumns(columns)
+    asked, conditions = queries, []
+    if "mode" in has:
+        columns, test = mode_flags(F.col("mode"))
+        asked, conditions = asked.withColumns(columns), [test]
+    kinds = kinds_of(asked, {k: v for k, v in flags.items() if k in has})
+    if kinds is not None:
+        asked, outcomes, test = kinds
+        conditions.append(test)
+    else:
+        conditions += [F.col(k).isNull() | (F.col(v) == F.col(k)) for k, v in flags.items() if k in has]
+        conditions += [F.col(f"min_{c}").isNull() | (F.col(c) >= F.col(f"min_{c}")) for c in ("samples_count", "coverage_sum") if f"min_{c}" in has]
+        if "filters" in has:
+            columns, test = bounds(F.col("filters"))
+            asked = asked.withColumns(columns)
+            conditions.append(test)
     if "sids" in has or lists is not None:
         if lists is not None:
             asked = asked.withColumn("_list", F.col("list"))
@@ -294,12 +349,9 @@ def bulk_query(df: DataFrame, queries: DataFrame, width: int = BIN, lists: DataF
         if not asked.where("_list is null").isEmpty():
             own = own.unionByName(whole)
         conditions.append(F.col("_list").eqNullSafe(F.col("b__list")))
+    if kinds is not None:
+        own = own.withColumn("_kinds", outcomes)
     out = overlap_join(own, asked, width, reduce(lambda a, b: a & b, conditions) if conditions else None)
-    for column in ("samples_count", "coverage_sum"):
-        if f"min_{column}" in has:
-            out = out.where(F.col(f"min_{column}").isNull() | (F.col(column) >= F.col(f"min_{column}")))
-    if "filters" in has:
-        out = out.where(test)
     if "sids" in has and lists is None:
         out = out.join(raw, "_ids", "left")
     return out.select(*df.columns, *named.values())

@@ -724,3 +724,28 @@ def test_postings_cut_a_text_once_and_hold_all_fields_in_the_same_rows(spark):
     find = lambda field, value: {r.key for r in samples.hits(posts, field, value).collect()}
     assert (find("all", "c d"), find("all", "b c d"), find("all", "x a"), find("t", "x a"), find("v", "c d")) == ({1, 2}, {1, 2}, {2}, set(), {2})
     assert "range" not in samples.postings(df, "k")._jdf.queryExecution().executedPlan().toString().lower().replace("scan", "")
+
+
+def test_tests_of_a_feature_are_made_once_for_each_set_of_them(spark, sf_dir, monkeypatch):
+    """A pair is asked for a bit, which is compiled: no array of filters, no mode's name. More sets than KINDS give the same, pair by pair."""
+    from spanlake import plans
+
+    joined = joins(plans.queries()["b1_bulk_filters"](spark, sf_dir))
+    met = next(line for line in joined.splitlines() if "SortMergeJoin" in line and "_bin" in line)
+    assert "lambda" not in met and "overlap" not in met and "contains" not in met
+    df = stats.feature_stats(spark.createDataFrame([(i, "c", i * 10, i * 10 + 15, 16, "+-"[i % 2], None if i % 5 == 0 else i % 3 == 0, f",1:{i},2:{i * i}") for i in range(1, 12)], "feature_id long, chrom string, start long, end long, length long, strand string, annotated boolean, text string").withColumn("samples", decode_samples("text")).drop("text"))
+    tests = [None, [], [("coverage_sum", ">", 30.0), ("length", "<=", 16.5)], [("coverage_sum", "!=", 42.0)], [("nosuch", "=", 1.0)], [("length", "=", None)], [None], [("coverage_median", "~", 1.0)]]
+    asked = [(i, "c", 1 + i % 7, 90 + i % 9, mode, f, None if i % 4 else 40 + i % 3, [None, "+", "-"][i % 3], [True, None, False][i // 3 % 3]) for i, (f, mode) in enumerate((f, m) for f in tests for m in ("overlap", "contains", "exact", "start", "end", None, "other"))]
+    asked += [(900 + i, "c", 10 * i, 10 * i + 15, "exact", None, None, None, None) for i in range(3)] + [(i, "c", 1, 999, "overlap", None, i - 1000, None, None) for i in range(1000, 1070)]
+    queries = spark.createDataFrame(asked, "label long, b_chrom string, b_start long, b_end long, mode string, filters array<struct<field:string,op:string,value:double>>, min_coverage_sum long, strand_wanted string, annotated_wanted boolean")
+    got = lambda q: sorted((r.label, r.feature_id) for r in predicates.bulk_query(df, q).collect())
+    own = [(r.feature_id, r.start, r.end, r.strand, r.annotated, {"coverage_sum": r.coverage_sum, "length": 16, "coverage_median": r.coverage_median}) for r in df.collect()]
+    compare = {">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "!=": lambda a, b: a != b, "=": lambda a, b: a == b}
+    fits = {"contains": lambda s, e, x, y: s >= x and e <= y, "exact": lambda s, e, x, y: (s, e) == (x, y), "start": lambda s, e, x, y: s >= x, "end": lambda s, e, x, y: e <= y}
+    holds = lambda f, v: f is not None and f[0] in v and f[1] in compare and f[2] is not None and compare[f[1]](v[f[0]], f[2])
+    want = sorted((q[0], i) for q in asked for i, s, e, strand, known, v in own if e >= q[2] and s <= q[3] and fits.get(q[4], lambda *_: True)(s, e, q[2], q[3]) and all(holds(f, v) for f in q[5] or ()) and (q[6] is None or v["coverage_sum"] >= q[6]) and q[7] in (None, strand) and (q[8] is None or known is not None and known == q[8]))
+    assert len(want) > 400 and got(queries) == want and got(queries.limit(0)) == []
+    for name, bound in (("KINDS", 5), ("KIND_FILTERS", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(predicates, name, bound)
+            assert got(queries) == want

@@ -749,3 +749,17 @@ def test_tests_of_a_feature_are_made_once_for_each_set_of_them(spark, sf_dir, mo
         with monkeypatch.context() as m:
             m.setattr(predicates, name, bound)
             assert got(queries) == want
+
+
+def test_postings_are_sorted_where_texts_are_cut(spark, monkeypatch):
+    """Texts are dealt out, a bounded number of bytes to a task, and no row of a token is shuffled or told its place twice."""
+    monkeypatch.setattr(samples, "TEXT", 100)
+    df = spark.createDataFrame([(i if i else None, f"of the w{i} x", None if i % 2 else "the end") for i in range(60)], "k long, t string, u string")
+    posts = samples.postings(df, "k")
+    plan = joins(posts)
+    assert plan.count("Exchange") == 1 and "Generate" not in plan[plan.index("Exchange") :]
+    assert posts.columns == ["cut", "field", "token", "key", "at"]
+    parts = posts.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("token").alias("tokens")).collect()
+    assert len(parts) > 4 and all(r.tokens == sorted(r.tokens) for r in parts)
+    assert samples.hits(posts, "u", "the end").count() == 30 and samples.hits(posts, "all", "x the end").count() == 30 and samples.hits(posts, "t", "of the").count() == 60
+    assert samples.postings(df.limit(0), "k").count() == 0

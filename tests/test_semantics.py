@@ -763,3 +763,24 @@ def test_postings_are_sorted_where_texts_are_cut(spark, monkeypatch):
     assert len(parts) > 4 and all(r.tokens == sorted(r.tokens) for r in parts)
     assert samples.hits(posts, "u", "the end").count() == 30 and samples.hits(posts, "all", "x the end").count() == 30 and samples.hits(posts, "t", "of the").count() == 60
     assert samples.postings(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("keys", [1, 3, 10_000])
+def test_lists_of_genes_are_made_where_places_and_genes_meet(spark, sf_dir, monkeypatch, keys):
+    """No pair and no list is shuffled, whatever the place's junctions, and a list takes its form once for a place."""
+    from spanlake import plans
+
+    monkeypatch.setattr(flank, "KEYS", keys)
+    plan = joins(plans.queries()["j3_same_gene"](spark, sf_dir)).splitlines()
+    met = next(i for i, line in enumerate(plan) if "SortMergeJoin" in line and "_bin" in line)
+    made = next(i for i, line in enumerate(plan) if "array_join" in line)
+    assert not [line for line in plan[:met] if "Exchange" in line] and "explode" not in "".join(plan[made:met]) and "explode" in "".join(plan[:made])
+    at = [(5, 50), (5, 50), (50, 5), (5, 50), (5, 5), (7, 9000), (40, 41), (None, 5), (5, None), (39, 70), (100, 110), (5, 6), (60, 61)]
+    own = [(i, "c", s, e) for i, (s, e) in enumerate(at)] + [(11, "c", 39, 60), (90, None, 5, 50), (91, "d", 5, 50), (None, "c", 7, 8)]
+    genes = [("c", 1, 60, 1), ("c", 1, 60, 2), ("c", 1, 60, 2), ("c", 5, 5, 3), ("c", 1, 9500, 4), ("c", 1, 9, 5), ("c", 45, 60, 5), ("c", 30, 80, 6), ("c", 9, 2, 7), (None, 1, 60, 8), ("c", 7, 9000, 9), ("c", 39, 42, None)]
+    df = spark.createDataFrame(own, "feature_id long, chrom string, start long, end long")
+    got = flank.same_gene(df, spark.createDataFrame(genes, "b_chrom string, b_start long, b_end long, gene long"), width=10, form=lambda x: F.array_join(x.cast("array<string>"), ",")).collect()
+    holds = lambda g, chrom, at: any(x == g and c == chrom and at is not None and s <= at <= e for c, s, e, x in genes)
+    both = lambda i, g: all(any(holds(g, c, r[side]) for k, c, *r in own if k == i) for side in (0, 1))
+    want = {i: ",".join(str(g) for g in (1, 2, 3, 4, 5, 6, 9) if both(i, g)) for i in {r[0] for r in own}}
+    assert {r.feature_id: r.genes for r in got if r.genes} == {k: v for k, v in want.items() if v} and len(got) == len({r.feature_id for r in got})

@@ -784,3 +784,17 @@ def test_lists_of_genes_are_made_where_places_and_genes_meet(spark, sf_dir, monk
     both = lambda i, g: all(any(holds(g, c, r[side]) for k, c, *r in own if k == i) for side in (0, 1))
     want = {i: ",".join(str(g) for g in (1, 2, 3, 4, 5, 6, 9) if both(i, g)) for i in {r[0] for r in own}}
     assert {r.feature_id: r.genes for r in got if r.genes} == {k: v for k, v in want.items() if v} and len(got) == len({r.feature_id for r in got})
+
+
+def test_regions_are_copied_to_levels_that_features_have(spark, sf_dir):
+    """Of six levels the features here have one or two; pairs stay those of all levels."""
+    from spanlake import plans
+    from spanlake.plans.views import Views
+
+    assert "array(0,1)" in joins(plans.queries()["j1_overlap_join"](spark, sf_dir)).replace(" ", "").replace("[", "array(").replace("]", ")") and "lineitem" not in joins(plans.queries()["j1_overlap_join"](spark, sf_dir))
+    assert intervals.levels_of(Views(spark, sf_dir).places, 500) == [0, 1]
+    a = spark.createDataFrame([(i, "c", s, e) for i, (s, e) in enumerate([(1, 1), (1, 90), (50, 700), (9, 100_000), (7, 3), (None, 8), (8, None)])], "i long, chrom string, start long, end long")
+    b = spark.createDataFrame([(j, "c", s, e) for j, (s, e) in enumerate([(1, 9), (80, 95), (600, 2000), (99_000, 99_001), (1, 200_000)])], "j long, b_chrom string, b_start long, b_end long")
+    pairs = lambda levels, a: sorted((r.i, r.j) for r in intervals.overlap_join(a, b, 10, levels=levels).collect())
+    assert len(intervals.levels_of(a, 10)) == 4 and pairs(None, a) == pairs(intervals.levels_of(a, 10), a) and len(pairs(None, a)) > 9
+    assert pairs(intervals.levels_of(a.limit(0), 10), a.limit(0)) == []
